@@ -22,6 +22,11 @@ def has(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(c: Column, words) -> Column:
     hit = F.lit(False)
     for w in words:
@@ -31,7 +36,10 @@ def contains_any(c: Column, words) -> Column:
 
 def first_alias(c: Column, table) -> Column:
     """Canonical name of the first table row with an alias inside the (compacted) text, else ''."""
-    squeezed = compact(c)
+    return let(compact(c), lambda z: first_alias_in(z, table))
+
+
+def first_alias_in(squeezed: Column, table) -> Column:
     cases = [F.when(contains_any(squeezed, ["".join(a.split()) for a in aliases]), F.lit(name))
              for name, aliases in table]
     return F.coalesce(*cases, F.lit(""))
@@ -44,16 +52,17 @@ def present(*flagged) -> Column:
 
 
 # --- article body -------------------------------------------------------------------------------------------
+_HEAD = rf"(?s)^.*?{lx.BYLINE_ANCHOR}(?:{lx.UPDATE_STAMP[1:]})?"
+_FOOT = r"(?s)(?:" + "|".join(r"\Q" + m + r"\E" for m in lx.FOOTER_MARKERS) + r").*$"
+
+
 def strip_chrome(body: Column) -> Column:
-    """struct(text, anchored): body after the byline stamp, before the first footer marker."""
-    raw = F.coalesce(body, F.lit(""))
-    start = F.regexp_instr(raw, F.lit(lx.BYLINE_ANCHOR))
-    stamp = F.regexp_extract(raw, lx.BYLINE_ANCHOR, 0)
-    tail = F.substring(raw, start + F.length(stamp), F.length(raw))
-    text = F.when(start > 0, F.regexp_replace(tail, lx.UPDATE_STAMP, "")).otherwise(raw)
-    cut = F.least(*[F.nullif(F.locate(m, text), F.lit(0)) for m in lx.FOOTER_MARKERS])
-    kept = F.when(cut.isNull(), text).otherwise(F.substring(text, F.lit(1), cut - 1))
-    return F.struct(strip(kept).alias("text"), (start > 0).alias("anchored"))
+    """Body after the first byline stamp and before the earliest footer marker: two linear passes."""
+    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), _HEAD, ""), _FOOT, ""))
+
+
+def anchored(body: Column) -> Column:
+    return F.coalesce(body, F.lit("")).rlike(lx.BYLINE_ANCHOR)
 
 
 def clean_body(body: Column) -> Column:
@@ -186,7 +195,10 @@ def period(sentence: Column, date_text: Column) -> Column:
     s = sentence
     for noise in lx.PERIOD_NOISE:
         s = F.regexp_replace(s, noise, " ")
-    day = article_day(date_text)
+    return let(s, lambda clean: _period_of(clean, article_day(date_text)))
+
+
+def _period_of(s: Column, day: Column) -> Column:
     year, prev = F.year(day), F.add_months(day, -1)
 
     def g(pattern, i):
@@ -260,8 +272,10 @@ def _longest_keyword(squeezed: Column, group: dict) -> Column:
 
 def source_label(s: Column, routing: dict = lx.DEFAULT_ROUTING) -> Column:
     """struct(source_type, domain, claim_type, route, confidence, reason, matched_keyword)."""
-    squeezed = compact(s)
-    kind = claim_type(s)
+    return let(F.struct(compact(s).alias("z"), claim_type(s).alias("k")), lambda v: _label_of(s, v["z"], v["k"], routing))
+
+
+def _label_of(s: Column, squeezed: Column, kind: Column, routing: dict) -> Column:
     official = _longest_keyword(squeezed, routing["kosis_domestic"])
     official_len = F.coalesce(official["len"], F.lit(0))
     home_activity = contains_any(squeezed, ["".join(k.split()) for k in routing["domestic_overseas_activity"]])
@@ -319,14 +333,17 @@ def _useful_tokens(text: Column) -> Column:
 
 
 def make_query(sentence: Column, aliases=()) -> Column:
-    text = substitute_aliases(sentence, aliases)
+    return let(substitute_aliases(sentence, aliases), lambda text: _query_of(text, sentence))
+
+
+def _query_of(text: Column, sentence: Column) -> Column:
+    lead = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(lx.QUERY_HOUSEHOLD)) - 1)
     households = F.transform(F.regexp_extract_all(text, F.lit(lx.QUERY_HOUSEHOLD), F.lit(1)),
                              lambda n: F.concat(n, F.lit("인가구")))
-    lead = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(lx.QUERY_HOUSEHOLD)) - 1)
     bare = F.regexp_replace(F.regexp_replace(text, lx.QUERY_DATE, " "), lx.QUERY_QUANTITY, " ")
-    plain = F.array_distinct(_useful_tokens(bare))
-    return (F.when(F.size(households) > 0, F.array_join(F.concat(_useful_tokens(lead), households), " "))
-             .when(F.size(plain) > 0, F.array_join(plain, " ")).otherwise(strip(sentence)))
+    plain = let(F.array_join(F.array_distinct(_useful_tokens(bare)), " "),
+                lambda p: F.when(p == "", strip(sentence)).otherwise(p))
+    return F.when(text.rlike(lx.QUERY_HOUSEHOLD), F.array_join(F.concat(_useful_tokens(lead), households), " ")).otherwise(plain)
 
 
 def query_variants(sentence: Column, aliases=()) -> Column:
@@ -337,12 +354,15 @@ def query_variants(sentence: Column, aliases=()) -> Column:
 # --- claim profile ------------------------------------------------------------------------------------------
 def claim_profile(s: Column) -> Column:
     """struct(topic, indicator, period, comparison, unit, region, population, qualifiers) without inheritance."""
-    squeezed = compact(s)
+    return let(compact(s), lambda z: _profile_of(s, z))
+
+
+def _profile_of(s: Column, squeezed: Column) -> Column:
     hit = F.coalesce(*[F.when(contains_any(squeezed, ["".join(a.split()) for a in aliases]),
                               F.struct(F.lit(t).alias("topic"), F.lit(i).alias("indicator")))
                        for t, i, aliases in lx.INDICATORS],
                      F.struct(F.lit("").alias("topic"), F.lit("").alias("indicator")))
-    product, work = first_alias(s, lx.PRICE_PRODUCTS), first_alias(s, lx.WORK_QUALIFIERS)
+    product, work = first_alias_in(squeezed, lx.PRICE_PRODUCTS), first_alias_in(squeezed, lx.WORK_QUALIFIERS)
     priced = (product != "") & hit["indicator"].isin("", "물가") & contains_any(s, ["가격", "물가"])
     period_kind = (F.when(has(s, r"\d{1,2}월|지난달|이번달|전년동월"), "월").when(s.contains("분기"), "분기")
                     .when(contains_any(s, ["지난해", "올해", "전년", "연간"]), "연").otherwise(""))
@@ -355,7 +375,7 @@ def claim_profile(s: Column) -> Column:
         F.when(priced, "물가").otherwise(hit["topic"]).alias("topic"),
         F.when(priced, "소비자물가").otherwise(hit["indicator"]).alias("indicator"),
         period_kind.alias("period"), basis.alias("comparison"), unit.alias("unit"),
-        first_alias(s, lx.REGIONS).alias("region"), first_alias(s, lx.POPULATIONS).alias("population"),
+        first_alias_in(squeezed, lx.REGIONS).alias("region"), first_alias_in(squeezed, lx.POPULATIONS).alias("population"),
         F.filter(F.array_distinct(F.array(product, work)), lambda q: q != "").alias("qualifiers"))
 
 

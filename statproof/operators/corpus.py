@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from statproof.functions import text as tx
 from statproof.functions.scale import first_per_key, with_row_number
@@ -24,8 +25,7 @@ def row_range(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
 
 
 def strip_chrome(df: DataFrame) -> DataFrame:
-    cut = tx.strip_chrome(F.col("body"))
-    return df.withColumn("_c", cut).withColumn("body", F.col("_c.text")).withColumn("anchored", F.col("_c.anchored")).drop("_c")
+    return df.withColumn("anchored", tx.anchored(F.col("body"))).withColumn("body", tx.strip_chrome(F.col("body")))
 
 
 def clean_body(df: DataFrame) -> DataFrame:
@@ -53,9 +53,17 @@ def with_claim_id(df: DataFrame) -> DataFrame:
     return df.withColumn("claim_id", F.concat(F.lit("clm_"), F.substring(F.sha1(key), 1, 16)))
 
 
+def usable_bodies(raw: DataFrame) -> DataFrame:
+    """Cleaned rows that still hold text.  Exploding a zero-or-one element array cleans each body exactly once; a
+    plain filter would be pushed below the cleaning and run it a second time."""
+    clean = tx.clean_body(tx.strip_chrome(F.col("body")))
+    return raw.withColumn("anchored", tx.anchored(F.col("body"))).withColumn(
+        "body", F.explode(F.filter(F.array(clean), lambda b: b != "")))
+
+
 def prepare_articles(raw: DataFrame) -> DataFrame:
     """Raw rows -> cleaned, unique articles with section and id."""
-    return with_article_id(derive_section(dedupe_articles(clean_body(strip_chrome(raw)))))
+    return with_article_id(derive_section(dedupe_articles(usable_bodies(raw))))
 
 
 def split_sentences(df: DataFrame) -> DataFrame:
@@ -149,7 +157,7 @@ def contamination(docs: DataFrame, doc_key: str, gold: DataFrame, gold_key: str,
     return hits.join(sizes, gold_key).select(doc_key, gold_key, "shared", F.round(F.col("shared") / F.col("n_item"), 4).alias("item_share"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unescape(s):  # entity tables exist only in Python; runs on the short extracted description alone
     import html
     return s.map(lambda v: html.unescape(v) if v is not None else None)

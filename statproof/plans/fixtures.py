@@ -18,7 +18,7 @@ def _str(x: str) -> str:
 
 
 def _div(x: str, n: int) -> str:
-    return f"CAST(floor({x} / {n}) AS BIGINT)"
+    return f"CAST(floor(({x}) / {n}) AS BIGINT)"
 
 
 def _thousands(x: str) -> str:
