@@ -1,11 +1,22 @@
 """Building blocks that keep ordered logic distributed when one key, or no key at all, holds most rows."""
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 256
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative result with a reliable checkpoint in the cluster's shared folder
+    (spark.checkpoint.dir); a local folder is chosen only where none is configured."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statproof-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def with_row_number(df: DataFrame, key: str, name: str = "row_number", buckets: int = BUCKETS) -> DataFrame:
     """Exact global 1-based position by a unique orderable key, without a single-task window.
 
@@ -78,11 +89,11 @@ def anchored_contains(texts: DataFrame, text: str, needles: DataFrame, needle: s
     characters and each text under its distinct grams, then the hit is confirmed.  Shorter needles are filed under
     their own full length, so the join is exact for any length.  `on` adds equality keys."""
     on = on or []
-    sizes = range(1, gram + 1)
     filed = (needles.where(F.length(needle) > 0)
              .withColumn("_gram", F.substring(needle, F.lit(1), F.least(F.length(needle), F.lit(gram)))))
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - g + 1, F.lit(1))),
-                    lambda i, g=g: F.substring(F.col(text), i, F.lit(g))) for g in sizes])))
+    def windows(g: int) -> Column:
+        last = F.greatest(F.length(text) - g + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(g)))
+    grams = F.array_distinct(F.flatten(F.array(*[windows(g) for g in range(1, gram + 1)])))
     return (texts.withColumn("_gram", F.explode(grams)).join(filed, [*on, "_gram"])
             .where(F.col(text).contains(F.col(needle))).drop("_gram"))

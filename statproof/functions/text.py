@@ -272,11 +272,14 @@ def _longest_keyword(squeezed: Column, group: dict) -> Column:
 
 def source_label(s: Column, routing: dict = lx.DEFAULT_ROUTING) -> Column:
     """struct(source_type, domain, claim_type, route, confidence, reason, matched_keyword)."""
-    return let(F.struct(compact(s).alias("z"), claim_type(s).alias("k")), lambda v: _label_of(s, v["z"], v["k"], routing))
+    groups = ["kosis_domestic", "platform_source", "private_source", "other_official"]
+    return let(compact(s), lambda z: let(
+        F.struct(claim_type(s).alias("kind"), *[_longest_keyword(z, routing[g]).alias(g) for g in groups]),
+        lambda found: _label_of(s, z, found, routing)))
 
 
-def _label_of(s: Column, squeezed: Column, kind: Column, routing: dict) -> Column:
-    official = _longest_keyword(squeezed, routing["kosis_domestic"])
+def _label_of(s: Column, squeezed: Column, found: Column, routing: dict) -> Column:
+    kind, official = found["kind"], found["kosis_domestic"]
     official_len = F.coalesce(official["len"], F.lit(0))
     home_activity = contains_any(squeezed, ["".join(k.split()) for k in routing["domestic_overseas_activity"]])
     none = F.struct(F.lit("-").alias("domain"), F.lit("").alias("keyword"), F.lit(0).alias("len"))
@@ -292,7 +295,7 @@ def _label_of(s: Column, squeezed: Column, kind: Column, routing: dict) -> Colum
             .when(has(s, lx.SURVEY_NAME) & has(s, lx.SURVEY_SCHEDULE), label("OFFICIAL_ANNOUNCEMENT")))
     for name, group in (("PLATFORM_SOURCE", "platform_source"), ("PRIVATE_SOURCE", "private_source"),
                         ("OTHER_OFFICIAL", "other_official")):
-        m = _longest_keyword(squeezed, routing[group])
+        m = found[group]
         out = out.when(m.isNotNull() & (official_len <= m["len"]), label(name, m))
     derived = official["domain"].isin(routing["complex_domains"]) | kind.isin(routing["complex_claim_types"])
     return (out.when(official.isNotNull() & derived, label("KOSIS_BUT_COMPLEX", official))

@@ -176,10 +176,34 @@ SELECT p_partkey AS ord, concat('T', {_str('p_partkey')}) AS tbl_id, concat('O',
   CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'MT_RTITLE' WHEN 1 THEN 'MT_GTITLE01' ELSE 'MT_ZTITLE' END AS vw_cd
 FROM part""")
 _define("part_queries", "", f"""
-SELECT qid, 1995 + qid % 8 AS y, CASE CAST(qid % 3 AS INT) WHEN 0 THEN concat(a, ' ', t, ' ', b) WHEN 1 THEN concat(substr(a, 2), ' ', b)
-  ELSE concat(a, ' ', b) END AS query
-FROM (SELECT CAST(min(p_partkey) AS BIGINT) AS qid, p_name AS a, lower(p_type) AS t, lower(replace(p_brand, '#', '')) AS b
-      FROM part GROUP BY p_name, lower(p_type), lower(replace(p_brand, '#', ''))) q""")
+SELECT qid, {_str('1995 + qid % 8')} AS period, CASE CAST(qid % 3 AS INT) WHEN 0 THEN concat(a, ' ', t) WHEN 1 THEN concat(substr(a, 2), ' brand', {_str('qid % 25')})
+  ELSE a END AS query
+FROM (SELECT CAST(min(p_partkey) AS BIGINT) AS qid, p_name AS a, lower(p_type) AS t FROM part GROUP BY p_name, lower(p_type)) q""")
+_define("kr_tables", "", f"""
+SELECT p_partkey AS tbl, concat('K', {_str('p_partkey')}) AS tbl_id, concat('O', {_str('p_size % 7')}) AS org_id,
+  concat(CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN '월별 소비자물가 등락률' WHEN 1 THEN '연도별 취업자 수' WHEN 2 THEN '취업시간별 취업자' WHEN 3 THEN '장래인구추계'
+    WHEN 4 THEN '실업률(시도)' WHEN 5 THEN '월간 출생아 수 전년동월비' WHEN 6 THEN '품목별 소비자물가지수' ELSE '분기 수출액' END, ' ', p_name) AS tbl_nm,
+  CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '소비자물가조사' WHEN 1 THEN '취업자조사' ELSE '' END AS survey,
+  CASE CAST(p_size % 3 AS INT) WHEN 0 THEN 'MT_ZTITLE' WHEN 1 THEN 'MT_RTITLE' ELSE 'MT_GTITLE01' END AS vw_cd,
+  CASE WHEN p_size % 5 = 0 THEN '국제기구별 통계 > IMF' ELSE '청년 인구' END AS path,
+  CASE WHEN p_size % 4 = 0 THEN '' ELSE {_str('1996 + p_size % 6')} END AS start_prd, {_str('2000 + p_size % 4')} AS end_prd
+FROM part""")
+_define("kr_items", "", """
+SELECT p_partkey AS tbl, 0 AS item_no, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '소비자물가 전월비(%)' WHEN 1 THEN '취업자 수' ELSE '출생아 수' END AS item FROM part
+UNION ALL SELECT p_partkey, 1, CASE CAST(p_size % 3 AS INT) WHEN 0 THEN '전년동월비(%)' WHEN 1 THEN '수출물량' ELSE '실업률(%)' END FROM part""")
+_define("order_sentences", "", f"""
+SELECT o_orderkey AS claim_id, {_str('year(o_orderdate)')} AS period, o_orderdate, CASE CAST(o_orderkey % 9 AS INT)
+  WHEN 0 THEN concat('지난달 소비자물가가 전년동월 대비 ', {_str('o_orderkey % 9 + 1')}, '.1% 올랐다.') WHEN 1 THEN concat({_str('year(o_orderdate)')}, '년 취업자는 ', {_str('o_custkey + 1')}, '만 명이다.')
+  WHEN 2 THEN '서울 청년 실업률은 올해 6.1%다.' WHEN 3 THEN '출생아 수는 12월 전월 대비 줄었다.' WHEN 4 THEN '수출액은 연간 3.1% 늘 전망이다.'
+  WHEN 5 THEN '지난해 연간 배추 물가가 5.2%p 올랐다.' WHEN 6 THEN '여성 취업자와 산업별 고용률 61.0%' WHEN 7 THEN '인구 1분기 5건' ELSE '아무 관련 없는 문장' END AS sentence
+FROM orders""")
+_define("table_hits", "", """
+SELECT l_orderkey AS claim_id, CAST(l_linenumber AS BIGINT) AS rank, min(l_partkey) AS tbl FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+_define("evidence_objects", "", """
+SELECT p_partkey AS tbl, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN '소비자 물가' WHEN 1 THEN '취업자' WHEN 2 THEN '전년동월비' ELSE '출생아 수' END AS indicator,
+  CASE CAST(p_size % 3 AS INT) WHEN 0 THEN '%' WHEN 1 THEN '명' ELSE '건' END AS unit, CASE CAST(p_size % 3 AS INT) WHEN 0 THEN '월' WHEN 1 THEN '연' ELSE '분기' END AS time_dimension,
+  CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '계' WHEN 1 THEN '서울' ELSE '' END AS sel_region, CASE CAST(p_size % 2 AS INT) WHEN 0 THEN '청년' ELSE '전체' END AS sel_age
+FROM part""")
 
 # --- snapshots ----------------------------------------------------------------------------------------------
 _define("ship_months", "", """
