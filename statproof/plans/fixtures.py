@@ -122,7 +122,7 @@ SELECT '101' AS org_id, 'DT_ORD_Y' AS tbl_id, '국가별 주문 건수' AS tbl_n
   concat({_str('y + 1')}, CASE WHEN c1 = 'NATION_7' THEN '-12-20' ELSE '-01-15' END) AS lst_chn_de
 FROM annual_counts
 UNION ALL
-SELECT '101', 'DT_ORD_M', '월별 주문 건수', '주문통계', '국가', {_C1}, '', '', '월 주문 건수', '건',
+SELECT '101', 'DT_ORD_M', '월간 발주량', '발주통계', '국가', {_C1}, '', '', '월 발주량', '건',
   concat({_str('y')}, lpad({_str('m')}, 2, '0')), {_thousands('n')}, concat({_str('y')}, '-', lpad({_str('m')}, 2, '0'), '-28')
 FROM monthly_counts
 UNION ALL
@@ -130,7 +130,7 @@ SELECT '101', 'DT_RATE_Y', '주문 증감률', '주문동향', '국가', {_C1},
   concat({_str('y + 1')}, '-01-15')
 FROM annual_rates
 UNION ALL
-SELECT '101', 'DT_RATE_Y', '주문 증감률', '주문동향', '국가', {_C1}, '', '', '전년누계비(%)', '', {_str('y')}, {_tenths('tenths + 3')},
+SELECT '101', 'DT_RATE_Y', '주문 증감률', '주문동향', '국가', {_C1}, '', '', '전년비누계(%)', '', {_str('y')}, {_tenths('tenths + 3')},
   concat({_str('y + 1')}, '-01-15')
 FROM annual_rates
 UNION ALL
@@ -162,7 +162,7 @@ SELECT claim_id, c1, y, n, prev_n, tenths, k,
     WHEN 5 THEN concat({_str('y')}, '년 ', c1, ' 주문 건수는 전년보다 ', {_tenths('abs(coalesce(tenths, 15))')}, '% 증가했다.')
     WHEN 6 THEN concat({_str('y')}, '년 ', c1, ' 주문 증감률은 전년 대비 ', {_tenths('coalesce(tenths, 15)')}, '% 였다.')
     WHEN 7 THEN concat('내년 ', c1, ' 주문 건수는 ', {_thousands('n')}, '건에 이를 전망이다.')
-    WHEN 8 THEN concat({_str('y')}, '년 ', c1, ' 거래량지수 총지수는 ', {_tenths('1000 + coalesce(tenths, 15)')}, '이다.')
+    WHEN 8 THEN concat({_str('y')}, '년 ', c1, ' 거래량지수 총지수는 ', {_tenths('1000 + coalesce(tenths, 15)')}, '를 기록했다.')
     WHEN 9 THEN concat({_str('y')}, '년 ', c1, ' 주문 건수는 역대 최대였다.')
     WHEN 10 THEN concat({_str('y')}, '년 ', c1, ' 주문 건수는 ', {_str('n')}, '만 명으로 늘었다.')
     ELSE concat({_str('y')}, '년 ', c1, ' 주문 건수는 지난달 ', {_thousands('n')}, '건으로 집계됐다.') END AS sentence
