@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx, verdict as vd
-from statproof.functions.scale import anchored_contains
+from statproof.functions.scale import anchored_contains, stable
 from statproof.operators.ranking import search_overlap
 
 _ROW_ORDER = ["c1_nm", "c2_nm", "itm_nm", "prd_de"]
@@ -53,7 +53,7 @@ def pick_category(claims: DataFrame, stats: DataFrame) -> DataFrame:
 
 def category_evidence(claims: DataFrame, stats: DataFrame) -> DataFrame:
     """Evidence rows of the picked category.  Claims without any category fall back to their whole slice."""
-    picked = pick_category(claims, stats)
+    picked = stable(pick_category(claims, stats))  # read for both kinds of pick
     rows = official_rows(stats).select("tbl_id", "pkey", "c1_nm", "c2_nm", "itm_nm", "prd_de", "value", "unit", "lst_chn_de")
     exact = picked.where("c1_pick IS NOT NULL").join(rows.withColumnRenamed("c1_nm", "c1_pick"), ["tbl_id", "pkey", "c1_pick"]).withColumn("c1_nm", F.col("c1_pick"))
     whole = picked.where("c1_pick IS NULL").join(rows, ["tbl_id", "pkey"])
@@ -150,26 +150,30 @@ def parse_for_verdict(claims: DataFrame, rules=()) -> DataFrame:
          .withColumn("period", F.coalesce(F.nullif("_p", F.lit("")), F.substring("article_date", 1, 4))).drop("_p"))
     early = (F.when(F.col("path").isin("empty", "noise", "site_chrome", "none"), "not_claim").when(tx.mixed_fragments(s), "mixed_fragments")
               .when(F.col("q").isNull(), "no_quantity").when(tx.contains_any(s, ["전망", "예상된다"]), "forecast"))
-    return p.withColumn("early", early)
+    # One generated struct is a barrier: filters and later projections use its fields instead of re-running the parse.
+    done = p.withColumn("early", early)
+    return done.select(F.explode(F.array(F.struct(*done.columns))).alias("c")).select("c.*")
 
 
 def verify_claims(claims: DataFrame, catalog: DataFrame, stats: DataFrame, registry: DataFrame | None = None, rules=()) -> DataFrame:
     """claims(claim_id, sentence, article_date) -> one verdict per claim with its reason and rule trail.
 
-    Every guard is a flag; the first one in the fixed order decides.  catalog(ord, tbl_id, org_id, tbl_nm, doc)."""
-    parsed = parse_for_verdict(claims, rules)
+    Every guard is a flag; the first one in the fixed order decides.  catalog(ord, tbl_id, org_id, tbl_nm, doc).
+    The parse, the chosen tables and the evidence feed several branches each; reliable checkpoints keep them computed
+    once and keep the plan of the later self-joins small (analysis time grows with every re-used subtree)."""
+    parsed = stable(parse_for_verdict(claims, rules))
     live = parsed.where("early IS NULL")
     if registry is not None:
         shares = share_metric(live, registry).select("claim_id", "share")
     else:
         shares = live.sparkSession.createDataFrame([], "claim_id long, share double")
     hits = search_overlap(live.select(F.col("claim_id").alias("qid"), F.col("sentence").alias("query")), catalog.select("ord", "doc"), 1)
-    tabled = live.join(hits.select(F.col("qid").alias("claim_id"), "ord", "score"), "claim_id").join(catalog.drop("doc"), "ord")
+    tabled = stable(live.join(hits.select(F.col("qid").alias("claim_id"), "ord", "score"), "claim_id").join(catalog.drop("doc"), "ord"))
     ev = prefer_total(match_basis(category_evidence(tabled, stats)))
     family = tx.unit_family(F.col("unit"))["family"]
     claim_family = tx.unit_family(F.col("q.composed_unit"))["family"]
     order = F.struct((F.col("dim") != "계").alias("_d"), *_ROW_ORDER)
-    ev = ev.withColumn("_same", family == claim_family)
+    ev = stable(ev.withColumn("_same", family == claim_family))
     used = ev.groupBy("claim_id").agg(
         F.max("basis_missing").alias("basis_missing"), F.max("basis_used").alias("basis_used"),
         F.min_by(F.struct("value", "unit", "c1_nm", "c2_nm", "itm_nm", "prd_de"), F.when(F.col("_same"), order)).alias("official"),

@@ -106,7 +106,7 @@ def d11(spark, d):
     for i, u in _UNIT_OF.items():
         unit = F.when(F.col("o_orderkey") % 8 == i, F.lit(u)).otherwise(unit)
     f = o.withColumn("f", tx.unit_family(unit))
-    return f.select("o_orderkey", F.round(F.col("o_totalprice") * F.col("f.factor"), 2).alias("value"), "f.family")
+    return f.select("o_orderkey", F.round(F.col("o_totalprice") * F.col("f.factor"), 0).alias("value"), "f.family")
 
 
 def d12(spark, d):
@@ -190,7 +190,7 @@ ORACLE = {
     "d10_share_metric": """WITH c AS (SELECT 2023 + o_orderkey % 3 AS y, o_custkey % 3 AS m FROM orders) SELECT CASE m WHEN 0 THEN '다문화 혼인' ELSE '다문화 출생' END AS metric,
       round(CASE m WHEN 0 THEN 21450 / 222412 ELSE 13416 / 238317 END * 100, 6) AS share, round(CASE m WHEN 0 THEN 21450 / 222412 - 20431 / 193657 ELSE 13416 / 238317 - 12150 / 230028 END * 100, 6) AS point_change,
       count(*) AS n FROM c WHERE y = 2024 AND m < 2 GROUP BY m""",
-    "d11_normalize_units": """SELECT o_orderkey, round(o_totalprice * CASE o_orderkey % 8 WHEN 2 THEN 1e4 WHEN 3 THEN 1e8 WHEN 4 THEN 100 WHEN 7 THEN 1000 ELSE 1 END, 2) AS value,
+    "d11_normalize_units": """SELECT o_orderkey, round(o_totalprice * CASE o_orderkey % 8 WHEN 2 THEN 1e4 WHEN 3 THEN 1e8 WHEN 4 THEN 100 WHEN 7 THEN 1000 ELSE 1 END, 0) AS value,
       CASE o_orderkey % 8 WHEN 0 THEN 'percent' WHEN 1 THEN 'count' WHEN 2 THEN 'count' WHEN 3 THEN 'krw' WHEN 4 THEN 'area_ha' WHEN 5 THEN 'unknown' WHEN 6 THEN 'unitless' ELSE 'count' END AS family FROM orders""",
     "d12_compare_values": f"""WITH a AS (SELECT l_quantity AS c, {_CU} AS cu, {_OU} AS ou, CASE l_linenumber % 5 WHEN 1 THEN 'gte' WHEN 2 THEN 'lte' ELSE 'eq' END AS op,
         l_quantity * (1 + l_discount * CASE l_suppkey % 3 WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END) * CASE WHEN l_partkey % 4 = 2 THEN 10000.0::DOUBLE ELSE 1.0::DOUBLE END AS o FROM lineitem),
