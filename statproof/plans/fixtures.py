@@ -118,7 +118,7 @@ FROM annual_counts a JOIN annual_counts b ON a.c1 = b.c1 AND a.c2 = b.c2 AND a.y
 WHERE a.c2 = '계'""")
 _C1 = "CASE WHEN c1 = '전국' THEN c1 ELSE concat('국가 : ', c1) END"
 _define("official_stats", "annual_counts monthly_counts annual_rates", f"""
-SELECT '101' AS org_id, 'DT_ORD_Y' AS tbl_id, '국가별 주문 건수' AS tbl_nm, '주문통계' AS survey, '국가' AS c1_obj_nm,
+SELECT '101' AS org_id, 'DT_ORD_Y' AS tbl_id, '국가별 주문 건수' AS tbl_nm, '건수는 건수가 주문통계' AS survey, '국가' AS c1_obj_nm,
   {_C1} AS c1_nm, '우선순위' AS c2_obj_nm, c2 AS c2_nm, '주문 건수' AS itm_nm, '건' AS unit_nm, {_str('y')} AS prd_de,
   CASE WHEN y = 1999 AND c2 = '5-LOW' THEN '-' ELSE {_thousands('n')} END AS dt,
   concat({_str('y + 1')}, CASE WHEN c1 = 'NATION_7' THEN '-12-20' ELSE '-01-15' END) AS lst_chn_de
@@ -136,7 +136,7 @@ SELECT '101', 'DT_RATE_Y', '주문 증감률', '주문동향', '국가', {_C1},
   concat({_str('y + 1')}, '-01-15')
 FROM annual_rates
 UNION ALL
-SELECT '102', 'DT_IDX_Y', '거래량지수(1996=100)', '거래지수', '국가', {_C1}, '', '', '총지수', '', {_str('y')},
+SELECT '102', 'DT_IDX_Y', '거래량지수(8888=100)', '거래지수', '국가', {_C1}, '', '', '총지수', '', {_str('y')},
   {_tenths('1000 + tenths')}, concat({_str('y + 1')}, '-01-15')
 FROM annual_rates""")
 _define("catalog_tables", "official_stats", """
