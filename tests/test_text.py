@@ -51,7 +51,7 @@ def source(spark, s):
 
 def test_source_precedence(spark):
     assert source(spark, "일본 소비자물가가 3% 올랐다") == ("OVERSEAS_SOURCE", "")
-    assert source(spark, "해외 건설 누적 수주액 1조") == ("KOSIS_BUT_COMPLEX", "해외건설")
+    assert source(spark, "해외 건설 누적 수주액 1조") == ("KOSIS_DOMESTIC", "해외건설")
     assert source(spark, "코스피 상장사 영업이익") == ("PRIVATE_SOURCE", "영업이익")
     assert source(spark, "실업률이 3.1%였다") == ("KOSIS_DOMESTIC", "실업률")
     assert source(spark, "취업자가 늘 전망이다") == ("FORECAST_OR_OPINION", "")
