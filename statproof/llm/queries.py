@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, packing, piece_codec, sharding
+from . import exact_dedup, language_id, licenses, near_dup, packing, piece_codec, pii, sharding
 from .shared import documents
 
 
@@ -29,11 +29,24 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, folder))
+
+
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(documents(spark, folder), sharding.uniform_tree(8))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_exact_dedup, op5_packing, op9_sharding)}
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_exact_dedup, op5_packing, op6_ngram_jaccard,
+                                   op8_license_scan, op9_sharding, op10_personal_data)}
 
 ORACLE = {
     "op4_exact_dedup": r"""
