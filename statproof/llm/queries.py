@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, licenses, near_dup, packing, piece_codec, pii, sharding
+from . import exact_dedup, language_id, licenses, near_dup, packing, piece_codec, pii, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -33,6 +33,10 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, folder))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, folder)).drop("kept")
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
 
@@ -45,7 +49,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_exact_dedup, op5_packing, op6_ngram_jaccard,
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_exact_dedup, op5_packing, op6_ngram_jaccard, op7_suffix_dedup,
                                    op8_license_scan, op9_sharding, op10_personal_data)}
 
 ORACLE = {
