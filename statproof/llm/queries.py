@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, licenses, near_dup, packing, piece_codec, pii, sharding, suffix_dedup
+from . import exact_dedup, language_id, licenses, metric_tree, near_dup, packing, piece_codec, pii, sharding, suffix_dedup
 from .shared import documents
 
 
@@ -16,6 +16,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.encode_table(documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_topk_mtree(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_tree.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return (language_id.identify(documents(spark, folder), ["doc_id"])
             .select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte"))
@@ -49,10 +53,16 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_exact_dedup, op5_packing, op6_ngram_jaccard, op7_suffix_dedup,
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk_mtree, op3_language_id, op4_exact_dedup, op5_packing, op6_ngram_jaccard, op7_suffix_dedup,
                                    op8_license_scan, op9_sharding, op10_personal_data)}
 
 ORACLE = {
+    "op2_topk_mtree": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
