@@ -19,6 +19,7 @@ ORDER = 3
 SAMPLE_DOCS = 256        # labelled texts per language
 SAMPLE_BYTES = 1 << 16   # longer texts are not learned from; they are scored whole like all others
 LANGUAGES = 64
+SAMPLE_TASKS = 8         # the sample is small: few tasks count it, so few tasks send the same grams
 BIT = 65_536
 
 
@@ -27,6 +28,8 @@ class Scorer:
 
     def __init__(self, languages: list[str], rows: list[tuple[int, int, int, int]]):
         self.languages, k = languages, len(languages)
+        if not languages:
+            return
         counts: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in range(ORDER + 1)]
         for lang, order, gram, n in sorted(rows):
             counts[order].setdefault(gram >> 8, []).append((lang, gram & 255, n))
@@ -125,7 +128,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return Scorer([], [])
     picked = F.broadcast(df.sparkSession.createDataFrame([(r[0], r[1], r[2]) for r in chosen], rows.select("_lang", "_class", "_key").schema))
     sample = rows.join(picked, ["_lang", "_class", "_key"]).groupBy("_lang", "_class").agg(F.min("_text").alias("_text"))
-    counts = (sample.select("_lang", "_text").mapInArrow(_grams, "lang string, order int, gram long, n long")
+    counts = (sample.select("_lang", "_text").coalesce(SAMPLE_TASKS).mapInArrow(_grams, "lang string, order int, gram long, n long")
               .groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")))
     number = {name: i for i, name in enumerate(languages)}
     return Scorer(languages, [(number[r[0]], r[1], r[2], r[3]) for r in counts.toArrow().to_pandas().itertuples(index=False)])
