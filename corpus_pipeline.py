@@ -16,10 +16,10 @@ UNIFORM_BITS = 8.0
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in no learned language: null or letterless ones (`und`), and texts that the best language model
     codes no shorter than the uniform byte code.  The label of the others becomes the predicted language."""
-    columns = [c for c in docs.columns if c != "lang"]
-    found = language_id.identify(docs, columns)
+    rows = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = language_id.identify(rows, ["row"])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < UNIFORM_BITS))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
