@@ -3,17 +3,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BUCKETS = 256
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`.  Where it is unset, a local session gets a temporary folder (tests); on a
+    cluster that is an error, because other executors do not see a machine-local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="statproof-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative result with a reliable checkpoint in the cluster's shared folder
-    (spark.checkpoint.dir); a local folder is chosen only where none is configured."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statproof-checkpoint-"))
+    """Cut the lineage of an iterative result with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -42,6 +54,10 @@ def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def ranked_per_key(df: DataFrame, keys: list, order: list, rank: str = "rank") -> DataFrame:
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def top_per_key(df: DataFrame, keys: list, order: list, k: int, rank: str = "rank") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)

@@ -398,9 +398,10 @@ def unit_family(unit: Column) -> Column:
 
 
 def round_half_even(value: Column, decimals: Column) -> Column:
-    """Rounding scale must be a literal in Spark, so the few possible scales are spelled out."""
-    out = F.bround(value, 6)
-    for k in range(5, -1, -1):
+    """Rounding scale must be a literal in Spark, so all scales at which a double has digits are spelled out; beyond
+    17 decimals rounding cannot change it."""
+    out = value
+    for k in range(17, -1, -1):
         out = F.when(decimals == k, F.bround(value, k)).otherwise(out)
     return out
 

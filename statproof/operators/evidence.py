@@ -209,7 +209,7 @@ def verify_claims(claims: DataFrame, catalog: DataFrame, stats: DataFrame, regis
     reason = F.coalesce("refusal", F.when(F.col("wrong_way"), "direction"), "cmp.path")
     decided = F.col("refusal").isNull()
     rule_trail = tx.present(
-        (F.col("path").startswith("rule:"), F.substring("path", 6, 1000)), (shared & decided, "D1-MULTICULTURAL-MARRIAGE-SHARE"),
+        (F.col("path").startswith("rule:"), F.regexp_replace("path", "^rule:", "")), (shared & decided, "D1-MULTICULTURAL-MARRIAGE-SHARE"),
         (~shared & F.coalesce("basis_used", F.lit(False)), "A2-0016"), (F.col("refusal") == "granularity", "A2-0015"),
         (F.col("refusal") == "revised_after_article", "A2-0012"), (F.col("refusal") == "index_base_year", "A2-0013"),
         (decided & derived_used & ~yoy, "A2-0007"), (decided & yoy, "A2-0009"), (decided & ~F.col("wrong_way") & ~shared & op.isin("gte", "lte"), "A2-0001"),

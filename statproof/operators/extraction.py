@@ -42,7 +42,7 @@ def _rule_label(rules=()) -> Column:
     path = tx.detection_path(S, rules)
     numeric, any_digit = tx.has_number(S), S.rlike(lx.NUMBER)
     return (F.when(path == "number_unit", "NUMERIC_UNIT").when(path == "number_trend", "NUMERIC_TREND")
-             .when(path == "superlative", "SUPERLATIVE").when(path.startswith("rule:"), F.substring(path, 6, 1000))
+             .when(path == "superlative", "SUPERLATIVE").when(path.startswith("rule:"), F.regexp_replace(path, "^rule:", ""))
              .when(tx.strip(S).rlike(lx.NOISE_ONLY), "EXCLUDED_DATE_ONLY").when(S.rlike(lx.SITE_CHROME), "EXCLUDED_SITE_CHROME")
              .when(any_digit & ~numeric, "CONTEXTUAL_NUMBER_ONLY").when(numeric, "NUMERIC_NO_CLAIM").otherwise("NO_MATCH"))
 

@@ -6,10 +6,12 @@ reach a top-k list, so popular texts add no pairs.
 """
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.functions.scale import anchored_contains, first_per_key, stable, top_per_key
+from statproof.functions.scale import anchored_contains, first_per_key, ranked_per_key, stable, top_per_key
 
 _WORDS = r"([가-힣A-Za-z0-9]+)"
 
@@ -103,7 +105,7 @@ def rrf(rankings: DataFrame, k: int = 60, top: int = 3) -> DataFrame:
 def union_hits(hits: DataFrame) -> DataFrame:
     """hits(claim_id, term_idx, rank, org_id, tbl_id, ...) -> one row per table, ranked as first seen."""
     first = first_per_key(hits.where(F.coalesce("tbl_id", F.lit("")) != ""), ["claim_id", "org_id", "tbl_id"], ["term_idx", "rank"])
-    return top_per_key(first.withColumnRenamed("rank", "term_rank"), ["claim_id"], ["term_idx", "term_rank"], 2_147_483_647, "rank")
+    return ranked_per_key(first.withColumnRenamed("rank", "term_rank"), ["claim_id"], ["term_idx", "term_rank"])
 
 
 def _year(c: Column) -> Column:
@@ -157,7 +159,7 @@ def rerank(hits: DataFrame) -> DataFrame:
         total = total + F.when(cond, F.lit(points)).otherwise(0.0)
     scored = (hits.withColumn("rerank_score", F.round(total, 2)).withColumn("reasons", tx.present(*[(s[0], s[2]) for s in signals]))
               .withColumnRenamed("rank", "orig_rank"))
-    return top_per_key(scored, ["claim_id"], [F.desc("rerank_score"), "orig_rank"], 2_147_483_647)
+    return ranked_per_key(scored, ["claim_id"], [F.desc("rerank_score"), "orig_rank"])
 
 
 # --- candidate fit ------------------------------------------------------------------------------------------
@@ -199,12 +201,12 @@ def candidate_fit(hits: DataFrame) -> DataFrame:
         (p["comparison"] != "", _by_value(p["comparison"], lx.TITLE_COMPARISON, title), 10, F.lit("comparison")),
         ((p["topic"] == "물가") & (F.size(p["qualifiers"]) > 0),
          F.col("tbl_nm").contains("품목별") & F.col("tbl_nm").contains("소비자물가"), 50, F.lit("item_axis"))]
-    for i in range(2):
-        q = F.coalesce(F.get(p["qualifiers"], F.lit(i)), F.lit(""))
-        asks.append((q != "", text.contains(_squeeze(q)), 15, F.concat(F.lit("qualifier:"), q)))
-    asks += [(p[f] != "", text.contains(_squeeze(p[f])), 10, F.concat(F.lit(f"{f}:"), p[f])) for f in ("region", "population")]
-    score, top = F.lit(0), F.lit(0)
-    for asked, met, points, _ in asks:
+    named = F.filter(p["qualifiers"], lambda q: q != "")
+    found = F.filter(named, lambda q: F.col("_text").contains(_squeeze(q)))
+    absent = F.filter(named, lambda q: ~F.col("_text").contains(_squeeze(q)))
+    places = [(p[f] != "", text.contains(_squeeze(p[f])), 10, F.concat(F.lit(f"{f}:"), p[f])) for f in ("region", "population")]
+    score, top = 15 * F.coalesce(F.size(found), F.lit(0)), 15 * F.coalesce(F.size(named), F.lit(0))
+    for asked, met, points, _ in [*asks, *places]:
         score = score + F.when(asked & met, points).otherwise(0)
         top = top + F.when(asked, points).otherwise(0)
     item_hit = (item != "") & (p["indicator"] != "") & _squeeze(item).contains(_squeeze(p["indicator"]))
@@ -217,22 +219,36 @@ def candidate_fit(hits: DataFrame) -> DataFrame:
     scored = hits.withColumn("_base", score).withColumn("max_score", (top + F.when(yearly, 20).otherwise(0)).cast("int"))
     deduction = F.least(F.lit(40), F.col("_base"))
     final = F.col("_base") - F.when(wrong_basis, deduction).otherwise(0) + F.when(right_basis, 20).otherwise(0)
-    signed = [(a & m, F.concat(F.lit(f"+{pts} "), label)) for a, m, pts, label in asks]
+
+    def labels(qualifiers, sign):
+        none = F.array().cast("array<string>")
+        return F.coalesce(F.transform(qualifiers, lambda q: F.concat(F.lit(sign + "qualifier:"), q)), none)
+
+    def signed(group):
+        return tx.present(*[(a & m, F.concat(F.lit(f"+{pts} "), label)) for a, m, pts, label in group])
     return (scored.withColumn("score", final.cast("int"))
             .withColumn("fit_score", F.when(F.col("max_score") <= 0, 0).otherwise(
                 F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.col("score") * 100.0 / F.col("max_score"), 0).cast("int")))))
-            .withColumn("reasons", tx.present(*[(a & m, label) for a, m, _, label in asks], (item_hit, "official_item"), (right_basis, "official_basis")))
-            .withColumn("penalties", tx.present(*[(a & ~m, label) for a, m, _, label in asks], (conflict, "item_conflict"), (wrong_basis, "official_basis_conflict")))
-            .withColumn("score_breakdown", tx.present(*signed, (item_hit, "+20 official_item"), (right_basis, "+20 official_basis"),
-                                                      (wrong_basis, F.concat(F.lit("-"), deduction.cast("string"), F.lit(" official_basis")))))
+            .withColumn("reasons", F.concat(
+                tx.present(*[(a & m, label) for a, m, _, label in asks]), labels(found, ""),
+                tx.present(*[(a & m, label) for a, m, _, label in places], (item_hit, "official_item"), (right_basis, "official_basis"))))
+            .withColumn("penalties", F.concat(
+                tx.present(*[(a & ~m, label) for a, m, _, label in asks]), labels(absent, ""),
+                tx.present(*[(a & ~m, label) for a, m, _, label in places], (conflict, "item_conflict"),
+                           (wrong_basis, "official_basis_conflict"))))
+            .withColumn("score_breakdown", F.concat(
+                signed(asks), labels(found, "+15 "), signed(places),
+                tx.present((item_hit, "+20 official_item"), (right_basis, "+20 official_basis"),
+                           (wrong_basis, F.concat(F.lit("-"), deduction.cast("string"), F.lit(" official_basis"))))))
             .drop("_title", "_text", "_official", "_base"))
 
 
-def suggest(hits: DataFrame, items: DataFrame, k: int = 3, metadata_limit: int = 3) -> DataFrame:
-    """Top-k candidates per claim.  Official items are looked up for the first `metadata_limit` hits only."""
+def suggest(hits: DataFrame, items: DataFrame, k: int = 3, metadata_limit: int | None = None) -> DataFrame:
+    """Top-k candidates per claim.  A caller may restrict the official items to the first `metadata_limit` hits."""
     names = items.groupBy("tbl").agg(F.array_sort(F.collect_set(F.struct("item_no", "item"))).alias("_i"))
     joined = hits.join(names, "tbl", "left")
-    known = F.when(F.col("rank") <= metadata_limit, F.array_distinct(F.transform("_i", lambda x: x["item"])))
+    known = F.array_distinct(F.transform("_i", lambda x: x["item"]))
+    known = known if metadata_limit is None else F.when(F.col("rank") <= metadata_limit, known)
     fit = candidate_fit(joined.withColumn("items", F.coalesce(known, F.array().cast("array<string>"))).drop("_i"))
     return top_per_key(fit.withColumnRenamed("rank", "hit_rank"), ["claim_id"], [F.desc("score"), "hit_rank"], k)
 
@@ -282,13 +298,13 @@ def query_budget(claims: DataFrame, remaining: int) -> DataFrame:
                     F.ceil(F.count(F.lit(1)) / F.lit(max(remaining, 1))).alias("batches"))
 
 
-def expand_catalog(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFrame:
+def expand_catalog(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Tables reachable from the root lists.  edges(parent_id, child_id, is_table); one join per level expands the
-    whole frontier, and a list named by several parents, or by itself, is expanded once."""
+    whole frontier until it is empty, and a list named by several parents, or by itself, is expanded once."""
     lists = edges.where(~F.col("is_table")).select("parent_id", "child_id")
     seen = roots.select(F.col("root_id").alias("list_id"), F.lit(0).alias("depth")).distinct()
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = (frontier.join(lists, frontier["list_id"] == lists["parent_id"])
                 .select(F.col("child_id").alias("list_id")).distinct().join(seen, "list_id", "left_anti"))
         frontier = stable(step.withColumn("depth", F.lit(depth)))

@@ -261,7 +261,7 @@ def evaluate_formulas(cases: DataFrame) -> DataFrame:
 def expand_coords(plans: DataFrame) -> DataFrame:
     """plans(plan_id, item, shared map, components array<map>) -> one request map per component (at least one)."""
     def codes(m):
-        return F.transform_keys(F.map_filter(m, lambda k, v: k.rlike(r"^C\d+$")), lambda k, v: F.concat(F.lit("obj_l"), F.substring(k, 2, 10)))
+        return F.transform_keys(F.map_filter(m, lambda k, v: k.rlike(r"^C\d+$")), lambda k, v: F.concat(F.lit("obj_l"), F.regexp_replace(k, "^C", "")))
     base = F.when(F.coalesce("item", F.lit("")) != "", F.map_concat(F.create_map(F.lit("itm_id"), "item"), codes(F.col("shared")))).otherwise(codes(F.col("shared")))
     one = plans.select("plan_id", base.alias("base"), F.posexplode_outer("components").alias("i", "c"))
     own = F.when(F.col("c").isNull(), F.map_filter(F.col("base"), lambda k, v: F.lit(False))).otherwise(codes(F.col("c")))

@@ -228,7 +228,7 @@ _FIT0 = (with_clause("table_hits", "kr_tables", "order_sentences", "kr_items") +
   fit AS (SELECT *, CAST(base - CASE WHEN wb THEN least(40, base) ELSE 0 END + CASE WHEN rb THEN 20 ELSE 0 END AS INT) AS score FROM f4),
   fits AS (SELECT *, CAST(CASE WHEN max_score <= 0 THEN 0 ELSE greatest(0, least(100, round_even(score * 100.0 / max_score, 0))) END AS INT) AS fit_score FROM fit)""")
 _FIT = _FIT0.replace("{items}", "[it.a, it.b]")
-_SUG = _FIT0.replace("{items}", "CASE WHEN h.rank <= 3 THEN [it.a, it.b] ELSE CAST([] AS VARCHAR[]) END")
+_SUG = _FIT
 _UNIT11 = "CASE " + " ".join(f"WHEN contains(sentence, '{u}') THEN '{u}'" for u in lx.MATCH_UNITS) + " ELSE '' END"
 _SRC12 = with_clause("order_sentences") + ", " + o.source_cte("order_sentences", "o_src")
 

@@ -4,21 +4,19 @@ Each job is a micro-batch body that reads what earlier batches wrote and writes
 the batch id.  Re-running a batch overwrites its own folder only, so re-delivery and executor loss leave one result."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from statproof.functions.scale import first_per_key, lag_by_bucket
+from statproof.functions.scale import first_per_key, lag_by_bucket, shared_folder
 from statproof.operators import corpus, evidence
 from statproof.operators.queue import TERMINAL, TRANSITIONS
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder in the cluster's shared checkpoint folder; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"statproof-{name}-")
+    """New folder in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
