@@ -1,7 +1,7 @@
 """Corpus preparation: from raw article rows to clean, unique, split and identified text."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -43,9 +43,14 @@ def dedupe_articles(df: DataFrame) -> DataFrame:
     return kept.drop("_key")
 
 
+def article_key() -> Column:
+    """What identifies an article: its URL, else title and date.  `article_id` is a short hash of it for display;
+    deduplication compares the key itself, because different articles can share a short hash."""
+    return F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.concat(F.trim("title"), F.lit("|"), F.trim("date")))
+
+
 def with_article_id(df: DataFrame) -> DataFrame:
-    key = F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.concat(F.trim("title"), F.lit("|"), F.trim("date")))
-    return df.withColumn("article_id", F.concat(F.lit("art_"), F.substring(F.sha1(key), 1, 12)))
+    return df.withColumn("article_id", F.concat(F.lit("art_"), F.substring(F.sha1(article_key()), 1, 12)))
 
 
 def with_claim_id(df: DataFrame) -> DataFrame:
@@ -100,7 +105,8 @@ def ingest_report(raw: DataFrame, existing_ids: DataFrame) -> DataFrame:
     prepared = prepare_articles(raw)
     source = raw.agg(F.count(F.lit(1)).alias("source_rows"))
     known = existing_ids.select("article_id").distinct().withColumn("_known", F.lit(1))
-    per_id = prepared.groupBy("article_id").agg(F.count(F.lit(1)).alias("n")).join(known, "article_id", "left")
+    per_id = (prepared.groupBy("article_id", article_key().alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+              .join(known, "article_id", "left"))
     read = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("read"), F.count_if(F.col("_known").isNull()).alias("imported"))
     cand = candidate_sentences(prepared)
     # claims are keyed by (article, sentence): a repeated sentence of one article is queued once

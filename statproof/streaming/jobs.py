@@ -24,12 +24,12 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def earlier(spark: SparkSession, target: str, batch_id: int, schema) -> DataFrame:
+def earlier(spark: SparkSession, target: str, batch_id: int, schema: str) -> DataFrame:
     """Rows of earlier batches (an empty table before the first one)."""
     try:
-        return spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in schema.fieldNames() else schema).parquet(target).where(F.col("batch_id") < batch_id)
+        return spark.read.schema(f"{schema}, batch_id long").parquet(target).where(F.col("batch_id") < batch_id)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, batch_id long")
 
 
 def _write(df: DataFrame, target: str, batch_id: int) -> None:
@@ -42,12 +42,15 @@ def run_available(stream: DataFrame, body, checkpoint: str) -> None:
 
 
 def stream_ingest(source: DataFrame, target: str, checkpoint: str) -> None:
-    """Raw article rows -> prepared articles, one per content id over all batches."""
+    """Raw article rows -> prepared articles, one per full article key over all batches.
+
+    The keys of earlier batches are a table of their own (`<target>-keys`), so a batch never reads old bodies again."""
     def body(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = first_per_key(corpus.prepare_articles(batch), ["article_id"], ["row_no"]).drop("anchored")
-        old = earlier(spark, target, batch_id, new.schema)
-        _write(new.join(old.select("article_id"), "article_id", "left_anti"), target, batch_id)
+        spark, keys = batch.sparkSession, f"{target}-keys"
+        old = earlier(spark, keys, batch_id, "article_key string").select("article_key")
+        new = first_per_key(corpus.prepare_articles(batch).withColumn("article_key", corpus.article_key()), ["article_key"], ["row_no"])
+        _write(new.join(old, "article_key", "left_anti").drop("anchored"), target, batch_id)
+        _write(spark.read.parquet(f"{target}/batch_id={batch_id}").select("article_key"), keys, batch_id)
     run_available(source, body, checkpoint)
 
 
@@ -56,31 +59,33 @@ def stream_verify(claims: DataFrame, catalog: DataFrame, stats: DataFrame, targe
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         todo = first_per_key(batch, ["claim_id"], ["article_date"])
-        try:
-            done = spark.read.parquet(target).where(F.col("batch_id") < batch_id).select("claim_id")
-            todo = todo.join(done, "claim_id", "left_anti")
-        except AnalysisException:
-            pass  # nothing written yet
+        keys = f"{target}-keys"
+        name = batch.schema["claim_id"].dataType.simpleString()
+        todo = todo.join(earlier(spark, keys, batch_id, f"claim_id {name}").select("claim_id"), "claim_id", "left_anti")
         _write(evidence.verify_claims(todo, catalog, stats, registry), target, batch_id)
+        _write(spark.read.parquet(f"{target}/batch_id={batch_id}").select("claim_id"), keys, batch_id)
     run_available(claims, body, checkpoint)
 
 
 def stream_lifecycle(events: DataFrame, target: str, checkpoint: str) -> None:
     """events(event_id, claim_id, ts, state, reason) -> each step checked against the claim's state before it.
 
-    The last state of every claim touched so far is one row in the earlier output; it joins the batch as the row before
-    its first event.  Steps older than that state are late: they are flagged and do not move the state.  A claim with
-    very many events is split by day inside the batch, so no single task holds its whole history."""
+    Two small tables carry what earlier batches leave behind: the ids of processed events, so a re-delivered event is
+    dropped, and the last state of each claim a batch touched, which stands before the claim's first event of this
+    batch.  Events that do not come after that state in (ts, event_id) order are late: they are flagged and do not move
+    the state.  A claim with very many events is split by day inside the batch, so no task holds its whole history."""
+    cols = ["event_id", "claim_id", "ts", "state", "reason"]
+
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cols = ["event_id", "claim_id", "ts", "state", "reason"]
-        try:
-            seen = spark.read.parquet(target).where(F.col("batch_id") < batch_id).where("check <> 'late'")
-            last = seen.groupBy("claim_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id"))["ts"].alias("last_ts"), F.max_by("state", F.struct("ts", "event_id")).alias("last_state"))
-        except AnalysisException:
-            last = spark.createDataFrame([], "claim_id long, last_ts timestamp, last_state string")
-        j = batch.select(*cols).dropDuplicates(["event_id"]).join(last, "claim_id", "left")
-        late = F.coalesce(F.col("ts") < F.col("last_ts"), F.lit(False))
+        kind = {f.name: f.dataType.simpleString() for f in batch.schema.fields}
+        ids, states = f"{target}-ids", f"{target}-states"
+        done = earlier(spark, ids, batch_id, f"event_id {kind['event_id']}").select("event_id")
+        known = earlier(spark, states, batch_id, f"claim_id {kind['claim_id']}, last_ts {kind['ts']}, last_event {kind['event_id']}, last_state string")
+        last = first_per_key(known, ["claim_id"], [F.desc("batch_id")]).drop("batch_id")
+        new = batch.select(*cols).dropDuplicates(["event_id"]).join(done, "event_id", "left_anti")
+        j = new.join(last, "claim_id", "left")
+        late = F.coalesce(F.struct("ts", "event_id") <= F.struct(F.col("last_ts").alias("ts"), F.col("last_event").alias("event_id")), F.lit(False)) & F.col("last_ts").isNotNull()
         steps = lag_by_bucket(j.where(~late), ["claim_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], "state", "_lag").withColumn("from_state", F.coalesce("_lag", "last_state"))
         frm, to = F.col("from_state"), F.col("state")
         allowed = F.concat_ws(">", frm, to).isin([f"{a}>{b}" for a, b in TRANSITIONS])
@@ -89,4 +94,9 @@ def stream_lifecycle(events: DataFrame, target: str, checkpoint: str) -> None:
         out = steps.withColumn("check", check).select(*cols, "from_state", "check").unionByName(
             j.where(late).select(*cols, F.col("last_state").alias("from_state"), F.lit("late").alias("check")))
         _write(out, target, batch_id)
+        written = spark.read.parquet(f"{target}/batch_id={batch_id}")
+        _write(written.select("event_id"), ids, batch_id)
+        order = F.struct("ts", "event_id")
+        _write(written.where("check <> 'late'").groupBy("claim_id").agg(
+            F.max(order)["ts"].alias("last_ts"), F.max(order)["event_id"].alias("last_event"), F.max_by("state", order).alias("last_state")), states, batch_id)
     run_available(events, body, checkpoint)
