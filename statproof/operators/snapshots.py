@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.functions.scale import first_per_key
+from statproof.functions.scale import anchored_contains, first_per_key
 
 LEVELS = range(1, 9)
 CURRENT_AGENCY = "국가데이터처"
@@ -121,19 +121,25 @@ def _selected(record: Column, wanted: Column) -> Column:
     return F.forall(F.map_entries(wanted), lambda e: (e["value"] == "") | (F.trim(F.coalesce(F.try_element_at(record, e["key"]), F.lit(""))) == F.trim(e["value"])))
 
 
+GATES = ("period", "indicator", "selection", "value_kind", "unit")
+
+
 def compare_snapshot(claims: DataFrame, records: DataFrame) -> DataFrame:
     """claims(claim_id, sentence, date, tbl_id, evidence_indicator, evidence_selection) against stored records.
 
-    Gates run in a fixed order; flags are aggregated per claim and the first surviving record is a mergeable minimum."""
+    Gates run in a fixed order.  The first ones ask for distinct keys of the records (table; table and period; those and
+    the indicator), so a claim meets only the records of its own indicator, never its whole (table, period) slice; the
+    first record that fits its selection is a mergeable minimum."""
     s = F.col("sentence")
-    c = claims.withColumn("c", F.explode(F.array(F.struct(tx.primary_quantity(tx.quantities(s)).alias("q"), tx.period(s, F.col("date")).alias("p"))))).select(*claims.columns, "c.q", "c.p")
-    stored = records.select("tbl_id").distinct().withColumn("_stored", F.lit(True))
-    r = records.withColumn("p", _norm_period(F.col("period"))).withColumnRenamed("selection", "rsel")
-    j = (c.join(stored, "tbl_id", "left").join(r.select("tbl_id", "p", "indicator", "rsel", "value", "unit"), ["tbl_id", "p"], "left")
-         .withColumn("_ind", _key(F.col("indicator")) == _key(F.col("evidence_indicator"))).withColumn("_sel", F.col("_ind") & _selected(F.col("rsel"), F.col("evidence_selection"))))
-    order = F.when(F.col("_sel"), F.struct(canonical_map(F.col("rsel")), F.col("value")))
-    g = j.groupBy("claim_id").agg(F.any_value("q").alias("q"), F.any_value("p").alias("claim_period"), F.max("_stored").alias("stored"), F.max(F.col("rsel").isNotNull()).alias("has_period"),
-                                  F.max("_ind").alias("has_ind"), F.max("_sel").alias("has_sel"), F.min_by(F.struct("value", "unit"), order).alias("rec"))
+    c = claims.withColumn("c", F.explode(F.array(F.struct(tx.primary_quantity(tx.quantities(s)).alias("q"), tx.period(s, F.col("date")).alias("p")))))
+    c = c.select("claim_id", "tbl_id", "evidence_selection", _key(F.col("evidence_indicator")).alias("_ind"), "c.q", "c.p")
+    r = records.select("tbl_id", _norm_period(F.col("period")).alias("p"), _key(F.col("indicator")).alias("_ind"), F.col("selection").alias("rsel"), "value", "unit")
+    for keys, name in ((["tbl_id"], "stored"), (["tbl_id", "p"], "has_period"), (["tbl_id", "p", "_ind"], "has_ind")):
+        c = c.join(r.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+    fits = r.join(c.where("has_ind").select("claim_id", "tbl_id", "p", "_ind", "evidence_selection"), ["tbl_id", "p", "_ind"]).where(_selected(F.col("rsel"), F.col("evidence_selection")))
+    order = F.struct(canonical_map(F.col("rsel")), F.col("value"))
+    found = fits.groupBy("claim_id").agg(F.min_by(F.struct("value", "unit"), order).alias("rec"), F.lit(True).alias("has_sel"))
+    g = c.withColumnRenamed("p", "claim_period").join(found, "claim_id", "left")
     q, no = F.col("q"), lambda c: ~F.coalesce(F.col(c), F.lit(False))
     official = tx.official_number(F.col("rec.value"))
     gap = F.abs(q["normalized_value"] - official)
@@ -141,14 +147,19 @@ def compare_snapshot(claims: DataFrame, records: DataFrame) -> DataFrame:
     gate = (F.when(q.isNull(), "no_quantity").when(F.col("claim_period") == "", "no_period").when(no("stored"), "no_snapshot").when(no("has_period"), "period")
              .when(no("has_ind"), "indicator").when(no("has_sel"), "selection").when(_kind(q["unit"]) != _kind(F.col("rec.unit")), "value_kind")
              .when(_unit(q["unit"]) != _unit(F.col("rec.unit")), "unit").when(official.isNull(), "unreadable_value"))
-    trail = tx.present((~no("has_period"), "period"), (~no("has_ind"), "indicator"), (~no("has_sel"), "selection"), (F.coalesce(~no("has_sel") & (_kind(q["unit"]) == _kind(F.col("rec.unit"))), F.lit(False)), "value_kind"))
+    passed = F.lit(len(GATES))
+    for i, name in enumerate(GATES):
+        passed = F.when(gate == name, i).otherwise(passed)
+    passed = F.when(gate.isin("no_quantity", "no_period", "no_snapshot"), 0).otherwise(passed)
+    trail = F.slice(F.array(*[F.lit(n) for n in GATES]), F.lit(1), passed)
     return g.select("claim_id", F.when(gate.isNotNull(), "not_comparable").when(gap <= tol, "match").otherwise("mismatch").alias("status"), F.coalesce(gate, F.lit("compared")).alias("gate"),
                     q["raw"].alias("claim_value"), F.concat("rec.value", "rec.unit").alias("official_value"), "claim_period", trail.alias("gates_passed"), F.when(gate.isNull(), tol).alias("tolerance"))
 
 
 def rank_records(comparisons: DataFrame, records: DataFrame) -> DataFrame:
     """Every stored record of the claim's table with four gate flags, the primary one first, then the alternatives in
-    gate order.  comparisons(claim_id, tbl_id, claim_period, claim_unit, evidence_indicator, evidence_selection)."""
+    gate order.  comparisons(claim_id, tbl_id, claim_period, claim_unit, evidence_indicator, evidence_selection, status,
+    official_value): a record is primary only if the comparison was decided and used that record's value."""
     c = F.col
     j = comparisons.join(records.withColumnRenamed("selection", "rsel"), "tbl_id")
     flags = {"g_period": _norm_period(c("period")) == _norm_period(c("claim_period")), "g_indicator": _key(c("indicator")) == _key(c("evidence_indicator")),
@@ -156,8 +167,9 @@ def rank_records(comparisons: DataFrame, records: DataFrame) -> DataFrame:
     for n, f in flags.items():
         j = j.withColumn(n, f)
     w = Window.partitionBy("claim_id").orderBy(*[F.desc(n) for n in flags], "period", "indicator", canonical_map(c("rsel")), "value")
+    used = c("status").isin("match", "mismatch") & (F.concat("value", "unit") == c("official_value"))
     return (j.withColumn("match_score", sum((c(n).cast("int") for n in flags), F.lit(0))).withColumn("position", F.row_number().over(w))
-            .withColumn("is_primary", (c("position") == 1) & (c("match_score") == 4)))
+            .withColumn("is_primary", F.coalesce((c("position") == 1) & (c("match_score") == 4) & used, F.lit(False))))
 
 
 # --- table structure and coordinates ------------------------------------------------------------------------
@@ -187,21 +199,39 @@ def coordinate_axes(stats: DataFrame) -> DataFrame:
 
 
 def recommend_coords(axes: DataFrame, claims: DataFrame) -> DataFrame:
-    """claims(claim_id, tbl_id, subject, period, unit, comparison) -> one existing value per label where a cue fits."""
+    """claims(claim_id, tbl_id, subject, period, unit, comparison) -> one existing value per label where a cue fits.
+
+    One equality join per cue: the period with its hyphens removed, the unit, the subject on every label without a cue
+    of its own, and the comparison by containment on the distinct items of a table."""
     c = F.col
-    j = claims.join(axes, "tbl_id")
     def bare(x):
         return F.replace(x, F.lit("-"), F.lit(""))
-    hit = (F.when((c("label") == "시점") & (c("period") != ""), bare(c("value")) == bare(c("period"))).when((c("label") == "단위") & (c("unit") != ""), c("value") == _clean("unit"))
-            .when((c("label") == "항목") & (c("comparison") != ""), c("value").contains(_clean("comparison"))).otherwise((c("subject") != "") & (c("value") == _clean("subject"))))
-    return j.where(hit).groupBy("claim_id", "tbl_id", "label").agg(F.min_by("value", F.struct("first_row", "value")).alias("value"))
+    own = ((c("label") == "시점") & (c("period") != "")) | ((c("label") == "단위") & (c("unit") != "")) | ((c("label") == "항목") & (c("comparison") != ""))
+    cols = ["claim_id", "tbl_id", "label", "value", "first_row"]
+    period = axes.where("label = '시점'").withColumn("cue", bare(c("value"))).join(claims.where("period <> ''").withColumn("cue", bare(c("period"))), ["tbl_id", "cue"])
+    unit = axes.where("label = '단위'").withColumn("cue", c("value")).join(claims.where("unit <> ''").withColumn("cue", _clean("unit")), ["tbl_id", "cue"])
+    subject = axes.withColumn("cue", c("value")).join(claims.where("subject <> ''").withColumn("cue", _clean("subject")), ["tbl_id", "cue"]).where(~own)
+    asked = claims.where("comparison <> ''").withColumn("cue", _clean("comparison"))
+    items = axes.where("label = '항목'")
+    named = anchored_contains(items.select("tbl_id", "value"), "value", asked.select("tbl_id", "cue").distinct(), "cue", on=["tbl_id"])
+    item = named.join(asked, ["tbl_id", "cue"]).join(items, ["tbl_id", "value"])
+    hits = period.select(cols).unionByName(unit.select(cols)).unionByName(subject.select(cols)).unionByName(item.select(cols))
+    return hits.groupBy("claim_id", "tbl_id", "label").agg(F.min_by("value", F.struct("first_row", "value")).alias("value"))
 
 
 def rows_at(stats: DataFrame, coords: DataFrame) -> DataFrame:
-    """(claim_id, row_no) of rows matching every selected coordinate: relational division on (label, value)."""
-    need = coords.groupBy("claim_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = coords.join(_coordinates(stats).distinct(), ["tbl_id", "label", "value"]).groupBy("claim_id", "row_no").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(need, "claim_id").where("n = need").select("claim_id", "row_no")
+    """(claim_id, row_no) of rows matching every selected coordinate.
+
+    A claim is filed under its rarest coordinate and meets only the rows there; the others are confirmed on the row.  A
+    coordinate that most rows share (a unit) pairs nothing unless it is all a claim has."""
+    long = _coordinates(stats).distinct()
+    often = long.groupBy("tbl_id", "label", "value").agg(F.count(F.lit(1)).alias("n"))
+    filed = coords.join(often, ["tbl_id", "label", "value"], "left").groupBy("claim_id", "tbl_id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)), "label", "value")).alias("_rare"), F.collect_list(F.struct("label", "value")).alias("_all"))
+    filed = filed.select("claim_id", "tbl_id", "_all", F.col("_rare.label"), F.col("_rare.value"))
+    held = long.groupBy("tbl_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("_at"))
+    near = filed.join(long, ["tbl_id", "label", "value"]).select("claim_id", "tbl_id", "row_no", "_all").join(held, ["tbl_id", "row_no"])
+    return near.where(F.forall("_all", lambda x: F.try_element_at("_at", x["label"]) == x["value"])).select("claim_id", "tbl_id", "row_no")
 
 
 def organization(c: Column) -> Column:
@@ -210,12 +240,16 @@ def organization(c: Column) -> Column:
 
 
 def evidence_draft(stats: DataFrame) -> DataFrame:
-    """Draft per table from its first row: title, indicator, dimensions, unit, `k=v;k=v` selection."""
+    """Draft per table from its first row: title, indicator, dimensions, unit, organization (`org_nm`), time dimension
+    (`prd_se`), `k=v;k=v` selection."""
     first = stats.groupBy("tbl_id").agg(F.min_by(F.struct(*[c for c in stats.columns if c != "tbl_id"]), "row_no").alias("r")).select("tbl_id", "r.*")
     labels = F.filter(F.array(*[_clean(f"c{i}_obj_nm") for i in _levels(stats)]), lambda x: x != "")
     pairs = F.array(*[F.when((_clean(f"c{i}_obj_nm") != "") & (_clean(f"c{i}_nm") != ""), F.concat(_clean(f"c{i}_obj_nm"), F.lit("="), _clean(f"c{i}_nm"))) for i in _levels(stats)])
+    time = F.lit("")
+    for code, label in PERIOD_LABELS.items():
+        time = F.when(F.upper(F.trim("prd_se")) == code, label).otherwise(time)
     return first.select("tbl_id", F.col("tbl_nm").alias("title"), F.col("itm_nm").alias("indicator"), F.array_join(labels, ", ").alias("dimensions"), F.col("unit_nm").alias("unit"),
-                        organization(F.lit("통계청")).alias("organization"), F.array_join(F.array_compact(pairs), ";").alias("source_selection"))
+                        organization(F.col("org_nm")).alias("organization"), time.alias("time_dimension"), F.array_join(F.array_compact(pairs), ";").alias("source_selection"))
 
 
 def parse_selection(c: Column) -> Column:

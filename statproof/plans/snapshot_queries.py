@@ -17,7 +17,7 @@ def _snap(df):
 
 def _stats(t):
     s = t.official_stats
-    return s.withColumn("row_no", F.xxhash64(*s.columns))
+    return s.withColumn("row_no", F.concat_ws("|", "prd_de", "c1_nm", "c2_nm", "itm_nm"))  # unique in a table, and its order
 
 
 def d15(spark, d):
@@ -72,13 +72,15 @@ def _snapshot_claims(t):
 
 def d20(spark, d):
     t = Tables(spark, d)
-    return op.compare_snapshot(_snapshot_claims(t), op.snapshot_records(t.official_stats)).select("claim_id", "status", "gate")
+    return op.compare_snapshot(_snapshot_claims(t), op.snapshot_records(t.official_stats)).select("claim_id", "status", "gate", F.array_join("gates_passed", ",").alias("gates_passed"))
 
 
 def d21(spark, d):
     t = Tables(spark, d)
-    flags = t.snapshot_before.select("period", "flag").distinct()
-    c = flags.select(F.concat("period", "flag").alias("claim_id"), F.lit("DT_SHIP").alias("tbl_id"), F.col("period").alias("claim_period"), F.lit("건").alias("claim_unit"), F.lit("출하수량").alias("evidence_indicator"), _map(flag=F.col("flag"), status=F.lit("F")).alias("evidence_selection"))
+    final = t.snapshot_before.where("status = 'F'").select("period", "flag", F.concat("value", "unit").alias("official_value"))
+    flags = t.snapshot_before.select("period", "flag").distinct().join(final, ["period", "flag"], "left")
+    c = flags.select(F.concat("period", "flag").alias("claim_id"), F.lit("DT_SHIP").alias("tbl_id"), F.col("period").alias("claim_period"), F.lit("건").alias("claim_unit"), F.lit("출하수량").alias("evidence_indicator"), _map(flag=F.col("flag"), status=F.lit("F")).alias("evidence_selection"),
+                     F.when(F.col("flag") == "A", "not_comparable").otherwise("match").alias("status"), "official_value")
     r = op.rank_records(c, _snap(t.snapshot_before).select("tbl_id", "period", "indicator", "selection", "value", "unit"))
     return r.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_primary").alias("primaries"), F.max("match_score").alias("best"), F.min_by("value", "position").alias("top_value"))
 
@@ -92,8 +94,9 @@ def d23(spark, d):
 
 
 def _coord_claims(t):
-    return t.claims.select("claim_id", F.lit("DT_ORD_M").alias("tbl_id"), F.when(F.col("c1") == "전국", "전국").otherwise(F.concat(F.lit("국가 : "), "c1")).alias("subject"),
-                           F.concat(F.col("y").cast("string"), F.lit("-0"), (F.col("claim_id") % 8 + 1).cast("string")).alias("period"), F.lit("건").alias("unit"), F.lit("발주량").alias("comparison"))
+    rate = F.col("claim_id") % 5 == 0
+    return t.claims.select("claim_id", F.when(rate, "DT_RATE_Y").otherwise("DT_ORD_M").alias("tbl_id"), F.when(F.col("c1") == "전국", "전국").otherwise(F.concat(F.lit("국가 : "), "c1")).alias("subject"),
+                           F.concat(F.col("y").cast("string"), F.lit("-0"), (F.col("claim_id") % 8 + 1).cast("string")).alias("period"), F.lit("건").alias("unit"), F.when(rate, "전년비").otherwise("발주량").alias("comparison"))
 
 
 def d24(spark, d):
@@ -106,13 +109,13 @@ def d24_rows(spark, d):
     t = Tables(spark, d)
     s = _stats(t)
     coords = op.recommend_coords(op.coordinate_axes(s), _coord_claims(t))
-    return op.rows_at(s, coords).join(s.select("row_no", "dt", "prd_de"), "row_no").select("claim_id", "prd_de", "dt")
+    return op.rows_at(s, coords).join(s.select("tbl_id", "row_no", "dt", "prd_de"), ["tbl_id", "row_no"]).select("claim_id", "prd_de", "dt")
 
 
 def d25(spark, d):
-    s = Tables(spark, d).official_stats
-    ordered = s.withColumn("row_no", F.concat_ws("|", "prd_de", "c1_nm", "c2_nm", "itm_nm"))
-    e = op.evidence_draft(ordered)
+    s = _stats(Tables(spark, d))
+    e = op.evidence_draft(s.withColumn("org_nm", F.when(F.col("org_id") == "101", " 통계청").otherwise("한국은행"))
+                          .withColumn("prd_se", F.when(F.length("prd_de") == 6, "m").otherwise("Y")))
     return e.withColumn("parsed", F.size(op.parse_selection(F.col("source_selection"))).cast("long"))
 
 
@@ -178,16 +181,20 @@ ORACLE = {
     "d17_diff_counts": _DIFF + " SELECT change_type, count(*) AS n FROM df WHERE change_type IS NOT NULL GROUP BY 1",
     "d18_revision_impact": _IMP + " SELECT mapping_id, count(*) AS n, min(period) AS first_period FROM imp GROUP BY 1",
     "d19_revision_queue": _IMP + ", q AS (SELECT DISTINCT mapping_id, period FROM imp) SELECT CASE WHEN substr(period, 6, 2) = '01' THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM q GROUP BY 1",
-    "d20_compare_snapshot": _G20 + " SELECT claim_id, CASE WHEN gate IS NOT NULL THEN 'not_comparable' ELSE st END AS status, coalesce(gate, 'compared') AS gate FROM g",
-    "d21_rank_records": _S + """, c AS (SELECT DISTINCT period, flag FROM snapshot_before) SELECT concat(c.period, c.flag) AS claim_id, count(*) AS n, count(*) FILTER (s.period = c.period AND s.flag = c.flag AND s.status = 'F') AS primaries,
+    "d20_compare_snapshot": _G20 + """ SELECT claim_id, CASE WHEN gate IS NOT NULL THEN 'not_comparable' ELSE st END AS status, coalesce(gate, 'compared') AS gate,
+      CASE gate WHEN 'no_quantity' THEN '' WHEN 'no_snapshot' THEN '' WHEN 'period' THEN '' WHEN 'indicator' THEN 'period' WHEN 'selection' THEN 'period,indicator' WHEN 'value_kind' THEN 'period,indicator,selection'
+        WHEN 'unit' THEN 'period,indicator,selection,value_kind' ELSE 'period,indicator,selection,value_kind,unit' END AS gates_passed FROM g""",
+    "d21_rank_records": _S + """, c AS (SELECT DISTINCT period, flag FROM snapshot_before) SELECT concat(c.period, c.flag) AS claim_id, count(*) AS n, count(*) FILTER (s.period = c.period AND s.flag = c.flag AND s.status = 'F' AND c.flag <> 'A') AS primaries,
       max((s.period = c.period)::INT + 1 + (s.flag = c.flag AND s.status = 'F')::INT + 1) AS best, arg_min(s.value, (s.period <> c.period, NOT (s.flag = c.flag AND s.status = 'F'), s.period, s.flag, s.status)) AS top_value FROM c, snapshot_before s GROUP BY 1""",
     "d22_table_structure": _O + """ SELECT tbl_id, CASE WHEN tbl_id = 'DT_ORD_Y' THEN 2 ELSE 1 END AS varying, CASE tbl_id WHEN 'DT_ORD_Y' THEN 'crosstab' WHEN 'DT_RATE_Y' THEN 'indicator_bundle' ELSE 'time_series' END AS structure FROM official_stats GROUP BY tbl_id""",
     "d23_coordinate_axes": _AX + " SELECT tbl_id, label, count(*) AS n, min(value) AS lo, max(value) AS hi FROM ax GROUP BY 1, 2",
-    "d24_recommend_coords": _AX + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims) SELECT claim_id, label, value FROM cc JOIN ax ON tbl_id = 'DT_ORD_M'
-      AND CASE label WHEN '시점' THEN value = p WHEN '단위' THEN value = '건' WHEN '항목' THEN contains(value, '발주량') ELSE value = subj END""",
-    "d24_rows_at": _O + f", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims) SELECT claim_id, prd_de, dt FROM cc JOIN official_stats ON tbl_id = 'DT_ORD_M' AND c1_nm = subj AND prd_de = p",
+    "d24_recommend_coords": _AX + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims)
+      SELECT claim_id, label, value FROM cc JOIN ax ON claim_id % 5 <> 0 AND tbl_id = 'DT_ORD_M' AND CASE label WHEN '시점' THEN value = p WHEN '단위' THEN value = '건' WHEN '항목' THEN contains(value, '발주량') ELSE value = subj END
+      UNION ALL SELECT claim_id, label, value FROM cc JOIN ax ON claim_id % 5 = 0 AND tbl_id = 'DT_RATE_Y' AND CASE label WHEN '항목' THEN value = '전년비(%)' WHEN '국가' THEN value = subj ELSE FALSE END""",
+    "d24_rows_at": _O + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims) SELECT claim_id, prd_de, dt FROM cc JOIN official_stats ON c1_nm = subj
+      AND CASE WHEN claim_id % 5 = 0 THEN tbl_id = 'DT_RATE_Y' AND itm_nm = '전년비(%)' ELSE tbl_id = 'DT_ORD_M' AND prd_de = p END""",
     "d25_evidence_draft": _O + """, f AS (SELECT * FROM official_stats QUALIFY row_number() OVER (PARTITION BY tbl_id ORDER BY concat_ws('|', prd_de, c1_nm, c2_nm, itm_nm)) = 1)
-      SELECT tbl_id, tbl_nm AS title, itm_nm AS indicator, CASE WHEN c2_obj_nm = '' THEN c1_obj_nm ELSE concat(c1_obj_nm, ', ', c2_obj_nm) END AS dimensions, unit_nm AS unit, '국가데이터처' AS organization,
+      SELECT tbl_id, tbl_nm AS title, itm_nm AS indicator, CASE WHEN c2_obj_nm = '' THEN c1_obj_nm ELSE concat(c1_obj_nm, ', ', c2_obj_nm) END AS dimensions, unit_nm AS unit, CASE org_id WHEN '101' THEN '국가데이터처' ELSE '한국은행' END AS organization, CASE length(prd_de) WHEN 6 THEN '월' ELSE '연' END AS time_dimension,
         CASE WHEN c2_nm = '' THEN concat(c1_obj_nm, '=', c1_nm) ELSE concat(c1_obj_nm, '=', c1_nm, ';', c2_obj_nm, '=', c2_nm) END AS source_selection, CAST(CASE WHEN c2_nm = '' THEN 1 ELSE 2 END AS BIGINT) AS parsed FROM f""",
     "d26_complete_claims": _G20 + " SELECT CASE WHEN gate IS NOT NULL THEN 'hold' ELSE st END AS verdict, coalesce(gate, 'compared') AS gate, claim_id % 17 <> 0 AS has_snapshot, count(*) AS n FROM g GROUP BY 1, 2, 3",
     "d27_freeze_completions": """WITH z AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 5 THEN 'sentence_required' WHEN o_orderkey % 7 = 1 THEN 'evidence_required' WHEN o_orderkey % 11 = 2 THEN 'snapshot_required' WHEN o_orderkey % 5 = 3 THEN 'comparison_snapshot_differs'
