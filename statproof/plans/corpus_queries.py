@@ -95,6 +95,11 @@ def a14(spark, d):
     return src.export_size(src.spreadsheet_safe(runs), 50_000, 50 * 1024 * 1024)
 
 
+def a14_rows(spark, d):
+    runs = Tables(spark, d).detector_rows.select("run_id", "doc_id", "lang", F.concat(F.lit("="), "review").alias("review"))
+    return src.bounded_export(runs, [F.desc("run_id"), "doc_id"])
+
+
 HOSTS = ["example.com", "example.org"]
 
 
@@ -106,7 +111,7 @@ QUERIES = {
     "a01_article_scan": a01, "a02_row_range": a02, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
     "a06_dedupe_articles": a06, "a07_content_ids": a07, "a08_split_sentences": a08, "a09_insert_new": a09,
     "a09_insert_counts": a09_counts, "a10_ingest_report": a10, "a10_import_previews": a10_previews, "a11_secret_scan": a11,
-    "a12_contamination": a12, "a13_safe_csv": a13, "a14_bounded_export": a14, "a15_page_definitions": a15,
+    "a12_contamination": a12, "a13_safe_csv": a13, "a14_bounded_export": a14, "a14_export_rows": a14_rows, "a15_page_definitions": a15,
 }
 
 _A = o.ARTICLES
@@ -149,6 +154,7 @@ ORACLE = {
       dd AS (SELECT doc_id, unnest({_NORM}) AS s FROM documents)
       SELECT doc_id, item_id, count(*) AS shared, round(count(*) / any_value(n), 4) AS item_share FROM dd JOIN g USING (s) JOIN ng USING (item_id) GROUP BY 1, 2""",
     "a13_safe_csv": with_clause("risky_cells") + r""" SELECT doc_id, CASE WHEN regexp_matches(cell, '^[\s\x00-\x1f]*[=+\-@]') OR regexp_matches(cell, '^[\t\r\n]') THEN concat('''', cell) ELSE cell END AS cell, lang FROM risky_cells""",
+    "a14_export_rows": with_clause("detector_rows") + " SELECT run_id, doc_id, lang, concat(chr(39), '=', review) AS review FROM detector_rows",
     "a14_bounded_export": with_clause("detector_rows") + """, z AS (SELECT count(*) AS n_rows, CAST(sum(strlen(concat_ws(',', run_id, CAST(doc_id AS STRING), lang, review)) + 1) AS BIGINT) AS n_bytes FROM detector_rows)
       SELECT n_rows, n_bytes, n_rows <= 50000 AND n_bytes <= 52428800 AS allowed FROM z""",
     "a15_page_definitions": with_clause("described_pages") + rf""", c0 AS (SELECT page_id, {_HOST} AS host, regexp_extract(html, {o.q(op._META_NAME_FIRST)}, 1) AS c1,

@@ -220,6 +220,9 @@ ORACLE = {
       s AS (SELECT field, count(*) AS n, count(*) FILTER (a = b) AS hit, (avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b))) AS pe FROM p GROUP BY 1) SELECT field, n, hit, round(hit / n, 6) AS rate, round(CASE WHEN pe = 1 THEN 1 ELSE (hit / n - pe) / (1 - pe) END, 6) AS kappa FROM s""",
     "f14_merge_labels": """SELECT doc_id AS row_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 9 = 0 THEN 'disagree' WHEN quality = 0 THEN 'negative' WHEN doc_id % 11 = 0 THEN 'already_gold' ELSE 'merged' END AS outcome,
       array_to_string(list_filter([CASE WHEN doc_id % 6 = 0 THEN concat('is_claim:', quality, '|', 1 - quality) END, CASE WHEN doc_id % 9 = 0 THEN concat('gold_label:', toxic, '|', 1 - toxic) END], lambda x: x IS NOT NULL), ';') AS differences FROM labels""",
+    "f15_stratified_sample": """WITH q(domain, quota) AS (VALUES ('en', 19), ('fr', 16), ('de', 10), ('es', 6))
+      SELECT 'positive' AS kind, domain, least(quota, count(*)) AS n, least(quota, count(*)) AS n_distinct FROM q JOIN documents ON lang = domain AND doc_id % 5 <> 0 GROUP BY domain, quota
+      UNION ALL SELECT 'negative', NULL, least(9, count(*)), least(9, count(*)) FROM documents WHERE doc_id % 5 = 0""",
     "f16_validate_gold": _ISS + " SELECT * FROM iss",
     "f17_parity": with_clause("gold_rows", "gold_rows_b") + """, a AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY row_no) AS occ FROM gold_rows), b AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY row_no) AS occ FROM gold_rows_b),
       n AS (SELECT claim_id, na, nb FROM (SELECT claim_id, count(*) AS na FROM a GROUP BY 1) FULL JOIN (SELECT claim_id, count(*) AS nb FROM b GROUP BY 1) USING (claim_id)), j AS (SELECT a.claim_id, a.domain <> b.domain AS x, a.sentence <> b.sentence AS y, a.claim_value <> b.claim_value AS z, a.gold_label <> b.gold_label AS w FROM a JOIN b USING (claim_id, occ))

@@ -104,7 +104,7 @@ def b16(spark, d):
 
 
 def b16_reviewed(spark, d):
-    cards = op.claim_cards(sentences(spark, d).where("sentence_idx = 0"))
+    cards = op.claim_cards(sentences(spark, d))
     edits = Tables(spark, d).documents.select(F.col("doc_id").alias("row_no"), F.when(F.col("doc_id") % 2 == 0, F.lit(" 2020 ")).alias("period"),
                                               F.when(F.col("doc_id") % 3 == 0, F.lit("고용률")).alias("indicator"))
     edits = edits.join(cards.select("row_no"), "row_no", "left_semi").where(F.col("indicator").isNotNull() | F.col("period").isNotNull())
@@ -312,7 +312,7 @@ ORACLE = {
       SELECT row_no, sentence_idx, claim_index, {_TRIM.format(o.compact('subj').replace("''", "' '"))} AS subject, {_TRIM.format('ms[1][1]')} AS value_raw, ms[1][6] AS unit FROM a2 WHERE n >= 2""",
     "b16_claim_cards": _CARDS + f" SELECT *, {_ready('FALSE')} FROM card",
     "b16_reviewed_cards": _CARDS + f""", ed AS (SELECT * REPLACE (CASE WHEN row_no % 3 = 0 THEN '고용률' ELSE indicator END AS indicator, CASE WHEN row_no % 2 = 0 THEN '2020' ELSE period END AS period),
-      row_no % 2 = 0 OR row_no % 3 = 0 AS reviewed FROM card WHERE sentence_idx = 0), z AS (SELECT reviewed, {_ready('reviewed')} FROM ed) SELECT reviewed, readiness, reasons, count(*) AS n FROM z GROUP BY 1, 2, 3""",
+      row_no % 2 = 0 OR row_no % 3 = 0 AS reviewed FROM card), z AS (SELECT reviewed, {_ready('reviewed')} FROM ed) SELECT reviewed, readiness, reasons, count(*) AS n FROM z GROUP BY 1, 2, 3""",
     "b17_judge_decisions": """SELECT doc_id, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 6 THEN TRUE END AS candidate,
       CASE CAST(doc_id % 7 AS INT) WHEN 3 THEN 'invalid_response' WHEN 4 THEN 'parse_error' WHEN 5 THEN 'parse_error' ELSE 'success' END AS judge_status,
       CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'has {number}' WHEN 1 THEN 'no_reason' WHEN 2 THEN 'old form' WHEN 3 THEN 'candidate_incomplete' WHEN 6 THEN 'older form' ELSE 'json_parse_failed' END AS candidate_reason,

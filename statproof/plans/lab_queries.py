@@ -49,7 +49,7 @@ def g07(spark, d):
     r = op.compare_modes(_rows(t)).withColumn("disagreement", F.when(F.col("doc_id") % 31 == 3, "ODD").when(F.col("doc_id") % 29 == 4, "P_PLUS_H_PLUS").otherwise(F.col("disagreement")))
     r = r.withColumn("judge_candidate", F.when(F.col("doc_id") % 37 == 5, F.lit(None)).when(F.col("doc_id") % 40 == 9, F.lit(True)).otherwise(F.col("judge_candidate")))
     runs = _rows(t).groupBy("run_id").agg((F.count(F.lit(1)) + F.when(F.col("run_id") == "run3", 1).otherwise(0)).alias("sentence_count"))
-    return op.validate_runs(runs, r).where("problem <> 'class_mismatch'")
+    return op.validate_runs(runs, r)
 
 
 def g08(spark, d):
@@ -148,7 +148,9 @@ ORACLE = {
     "g04_list_runs": _RUNS + ", f AS (SELECT * FROM r WHERE created_at >= TIMESTAMP '1995-01-05' AND model = '5-LOW') SELECT run_id, (SELECT count(*) FROM f) AS total, CAST(greatest(1, ceil((SELECT count(*) FROM f) / 15)) AS BIGINT) AS pages FROM f ORDER BY created_at DESC, run_id DESC LIMIT 15 OFFSET 15",
     "g05_facets": _RUNS + " SELECT 'date_min' AS facet, CAST(min(created_at)::DATE AS STRING) AS value FROM r UNION ALL SELECT 'date_max', CAST(max(created_at)::DATE AS STRING) FROM r UNION ALL SELECT DISTINCT 'model', model FROM r UNION ALL SELECT DISTINCT 'sentence_count', CAST(sentence_count AS STRING) FROM r",
     "g06_history_summary": _D + f", z AS (SELECT {_OUT} AS o FROM detector_rows) SELECT (SELECT count(*) FROM customer) AS runs, count(*) AS sentences, " + ", ".join(f"count(*) FILTER (o = '{x}') AS {x.lower()}" for x in op.OUTCOMES) + " FROM z",
-    "g07_validate_runs": _D + """, z AS (SELECT run_id, judge_status = 'success' AS ok, doc_id, CASE WHEN doc_id % 37 = 5 THEN NULL WHEN doc_id % 40 = 9 THEN TRUE ELSE judge_candidate END AS jc FROM detector_rows)
+    "g07_validate_runs": _D + f""", z AS (SELECT run_id, judge_status = 'success' AS ok, doc_id, judge_status, rule_candidate, CASE WHEN doc_id % 37 = 5 THEN NULL WHEN doc_id % 40 = 9 THEN TRUE ELSE judge_candidate END AS jc,
+        CASE WHEN doc_id % 31 = 3 THEN 'ODD' WHEN doc_id % 29 = 4 THEN 'P_PLUS_H_PLUS' ELSE {_OUT} END AS shown FROM detector_rows)
+      SELECT run_id, 'class_mismatch' AS problem, count(*) AS n FROM z WHERE shown <> {_OUT.replace('judge_candidate', 'coalesce(jc, FALSE)')} GROUP BY 1 UNION ALL
       SELECT run_id, 'success_without_candidate' AS problem, count(*) AS n FROM z WHERE ok AND jc IS NULL GROUP BY 1 UNION ALL SELECT run_id, 'failure_with_candidate', count(*) FROM z WHERE NOT ok AND jc IS NOT NULL GROUP BY 1
       UNION ALL SELECT run_id, 'unknown_class', count(*) FROM z WHERE doc_id % 31 = 3 GROUP BY 1 UNION ALL SELECT 'run3', 'sentence_count', 1""",
     "g08_update_reviews": _D + """, j AS (SELECT d.review, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'unclear' ELSE 'true_candidate' END AS nl FROM detector_rows d LEFT JOIN labels l USING (doc_id))

@@ -21,7 +21,7 @@ def _stats(t):
 
 
 def d15(spark, d):
-    return op.build_snapshots(Tables(spark, d).official_stats).select("org_id", "tbl_id", "n_records", F.length("snapshot_id").alias("id_len"), F.length("content_hash").alias("hash_len"))
+    return op.build_snapshots(Tables(spark, d).official_stats).select("org_id", "tbl_id", "n_records", "snapshot_id", "content_hash")
 
 
 def d16(spark, d):
@@ -175,7 +175,10 @@ _AX = _O + """, ax AS (SELECT tbl_id, '국가' AS label, c1_nm AS value FROM off
   UNION SELECT tbl_id, '시점', prd_de FROM official_stats UNION SELECT tbl_id, '단위', unit_nm FROM official_stats WHERE unit_nm <> '')"""
 _C24 = "CASE WHEN c1 = '전국' THEN c1 ELSE '국가 : ' || c1 END"
 ORACLE = {
-    "d15_build_snapshots": _O + " SELECT org_id, tbl_id, count(*) AS n_records, 21 AS id_len, 64 AS hash_len FROM official_stats GROUP BY 1, 2",
+    "d15_build_snapshots": _O + """, l AS (SELECT org_id, tbl_id, sha256(concat_ws('|', prd_de, itm_nm, concat(c1_obj_nm, '=', c1_nm, CASE WHEN c2_nm = '' THEN '' ELSE concat(';', c2_obj_nm, '=', c2_nm) END), dt, unit_nm, lst_chn_de)) AS h FROM official_stats),
+      p AS (SELECT org_id, tbl_id, substr(h, 1, 3) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM l GROUP BY ALL),
+      c AS (SELECT org_id, tbl_id, sum(n)::BIGINT AS n_records, sha256(string_agg(d, '' ORDER BY p)) AS content_hash FROM p GROUP BY ALL)
+      SELECT org_id, tbl_id, n_records, 'snap-' || substr(content_hash, 1, 16) AS snapshot_id, content_hash FROM c""",
     "d16_evidence_id": _S + " SELECT DISTINCT flag, status, 'DT_SHIP:' || substr(sha256('DT_SHIP|출하 수량|flag=' || flag || ';status=' || status), 1, 16) AS evidence_id, TRUE AS stable, TRUE AS as_defined FROM snapshot_before",
     "d17_diff_snapshots": _DIFF + " SELECT period, concat('flag=', flag, ';status=', status) AS sel, change_type, value_before, value_after FROM df WHERE change_type IS NOT NULL",
     "d17_diff_counts": _DIFF + " SELECT change_type, count(*) AS n FROM df WHERE change_type IS NOT NULL GROUP BY 1",
