@@ -75,8 +75,15 @@ def failure_records(misses: DataFrame, key: str) -> DataFrame:
                          F.array().cast("array<string>").alias("derived_assets"))
 
 
+def with_vocabulary_check(failures: DataFrame) -> DataFrame:
+    """Failure records with `problem`: a stage or type outside the fixed vocabularies is refused (null = accepted)."""
+    return failures.withColumn("problem", F.when(~F.coalesce(F.col("stage").isin(STAGES), F.lit(False)), "unknown_stage")
+                               .when(~F.coalesce(F.col("type").isin(FAILURE_TYPES), F.lit(False)), "unknown_type"))
+
+
 def failure_stats(failures: DataFrame) -> DataFrame:
-    return failures.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"),
+    accepted = with_vocabulary_check(failures).where("problem IS NULL")
+    return accepted.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"),
                                         _ratio(F.count_if(F.col("resolved") & (F.size("derived_assets") > 0)), F.count_if("resolved"), None).alias("asset_conversion_rate"))
 
 

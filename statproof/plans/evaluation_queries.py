@@ -62,6 +62,12 @@ def f06(spark, d):
     return op.failure_stats(f.withColumn("type", F.when(F.col("doc_id") % 4 == 0, "mapping").otherwise(F.col("type")))).withColumn("asset_conversion_rate", F.round("asset_conversion_rate", 6))
 
 
+def f06_refused(spark, d):
+    f = _fails(Tables(spark, d))
+    f = f.withColumn("stage", F.when(F.col("doc_id") % 7 == 1, "cooking").otherwise(F.col("stage"))).withColumn("type", F.when(F.col("doc_id") % 5 == 2, F.lit(None)).otherwise(F.col("type")))
+    return op.with_vocabulary_check(f).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def f06_resolve(spark, d):
     f = _fails(Tables(spark, d))
     r = f.where("doc_id % 2 = 0").select("fail_id", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("A1"))).otherwise(F.array().cast("array<string>")).alias("assets"))
@@ -167,7 +173,7 @@ def f19_stats(spark, d):
 
 
 QUERIES = {"f01_eval_detection": f01, "f01_detection_misses": f01_misses, "f02_eval_verdict": f02, "f03_classification_report": f03, "f03_class_metrics": f03_classes, "f04_fallback_metrics": f04,
-           "f05_diff_runs": f05, "f06_failure_stats": f06, "f06_resolve_failures": f06_resolve, "f07_routing_metrics": f07, "f08_eval_mapping": f08, "f09_eval_paths": f09, "f10_e2e_progress": f10, "f11_e2e_summary": f11,
+           "f05_diff_runs": f05, "f06_failure_stats": f06, "f06_refused_failures": f06_refused, "f06_resolve_failures": f06_resolve, "f07_routing_metrics": f07, "f08_eval_mapping": f08, "f09_eval_paths": f09, "f10_e2e_progress": f10, "f11_e2e_summary": f11,
            "f12_metric_gate": f12, "f13_agreement": f13, "f14_merge_labels": f14, "f15_stratified_sample": f15, "f16_validate_gold": f16, "f17_parity": f17, "f18_gold_progress": f18, "f19_append_gold": f19, "f19_asset_stats": f19_stats}
 
 
@@ -201,6 +207,7 @@ ORACLE = {
       SELECT metric, run_no, prev, value AS now, round(value - prev, 4) AS delta FROM l WHERE prev IS NOT NULL""",
     "f06_failure_stats": _D + """, m AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'mapping' ELSE 'detection' END AS type FROM t WHERE g <> rule_candidate)
       SELECT type, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS resolved, round(count(*) FILTER (doc_id % 6 = 0) / count(*) FILTER (doc_id % 3 = 0), 6) AS asset_conversion_rate FROM m GROUP BY 1""",
+    "f06_refused_failures": _D + " SELECT CASE WHEN doc_id % 7 = 1 THEN 'unknown_stage' WHEN doc_id % 5 = 2 THEN 'unknown_type' END AS problem, count(*) AS n FROM t WHERE g <> rule_candidate GROUP BY 1",
     "f06_resolve_failures": _D + """, m AS (SELECT CASE WHEN doc_id % 2 <> 0 THEN 'open' WHEN doc_id % 3 = 0 THEN 'resolved' ELSE 'rejected_no_asset' END AS outcome FROM t WHERE g <> rule_candidate)
       SELECT outcome, outcome = 'resolved' AS resolved, count(*) AS n FROM m GROUP BY 1""",
     "f07_routing_metrics": """WITH a AS (SELECT doc_id % 3 AS g, n_chars % 3 AS p FROM documents), c AS (SELECT count(*) AS n, count(*) FILTER (g = p) AS hit, count(*) FILTER (p = 1) AS unk, count(*) FILTER (g = 0 AND p = 0) AS tp, count(*) FILTER (p = 0) AS pp, count(*) FILTER (g = 0) AS gp FROM a)

@@ -24,6 +24,15 @@ def e01(spark, d):
     return op.pending_claims(t.queue_claims, t.queue_articles, _now(), article_ids=ids, limit=200).select("claim_id", "article_id", "article_date")
 
 
+def e01_count(spark, d):
+    return op.pending_count(Tables(spark, d).queue_claims)
+
+
+def e03_retry(spark, d):
+    t = Tables(spark, d)
+    return op.retry_failed(t.queue_claims).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").cast("long").alias("retries"), F.count("retry_at").alias("waiting"))
+
+
 def e02(spark, d):
     return op.triage_stats(Tables(spark, d).queue_claims)
 
@@ -103,7 +112,7 @@ def e15(spark, d):
     return op.budget_ledger(Tables(spark, d).call_log, 300).select("call_id", "used", "remaining", "warn", "over_limit", "first_overrun")
 
 
-QUERIES = {"e01_pending_claims": e01, "e02_triage": e02, "e03_apply_failures": e03, "e04_reclassify": e04, "e05_requeue": e05, "e06_apply_reviews": e06,
+QUERIES = {"e01_pending_claims": e01, "e01_pending_count": e01_count, "e03_retry_failed": e03_retry, "e02_triage": e02, "e03_apply_failures": e03, "e04_reclassify": e04, "e05_requeue": e05, "e06_apply_reviews": e06,
            "e06_distinct_reviews": e06_distinct, "e07_review_queue": e07, "e08_list_results": e08, "e09_summary": e09, "e10_check_notices": e10,
            "e11_validate_transitions": e11, "e12_append_immutable": e12, "e13_upsert": e13, "e13_latest": e13_latest, "e14_rate_audit": e14, "e15_budget_ledger": e15}
 
@@ -115,6 +124,9 @@ ORACLE = {
     "e01_pending_claims": _Q + f""" SELECT claim_id, article_id, article_date FROM queue_claims JOIN queue_articles USING (article_id) WHERE status = 'PENDING' AND route = 'KOSIS_RETRIEVAL'
       AND (retry_at IS NULL OR retry_at <= {_TS}) AND article_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY created_at, claim_id LIMIT 200""",
     "e02_triage": _Q + f""", z AS (SELECT label, {_TIER} AS tier FROM queue_claims) SELECT 'tier' AS dimension, tier AS value, count(*) AS n FROM z GROUP BY tier UNION ALL SELECT 'label', label, count(*) FROM z GROUP BY label""",
+    "e01_pending_count": _Q + " SELECT count(*) AS n FROM queue_claims WHERE status = 'PENDING' AND route = 'KOSIS_RETRIEVAL'",
+    "e03_retry_failed": _Q + """ SELECT CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, count(*) AS n, CAST(sum(CASE WHEN status = 'FAILED' THEN 0 ELSE retry_count END) AS BIGINT) AS retries,
+      count(CASE WHEN status <> 'FAILED' THEN retry_at END) AS waiting FROM queue_claims GROUP BY 1""",
     "e03_apply_failures": _Q + f""", f AS (SELECT event_id * 3 AS claim_id, event_type <> 'error' AS retryable FROM events)
       SELECT claim_id, CASE WHEN f.claim_id IS NULL THEN status WHEN retryable AND retry_count < 2 THEN 'PENDING' ELSE 'FAILED' END AS status,
         CASE WHEN retryable THEN retry_count + 1 ELSE retry_count END AS retry_count, CASE WHEN f.claim_id IS NULL THEN retry_at WHEN retryable AND retry_count < 2 THEN {_TS} + INTERVAL 2 MINUTE END AS retry_at,
