@@ -1,9 +1,12 @@
 """Registered queries A01-A15 with their DuckDB oracles."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statproof.functions import text as tx
+from statproof.functions.scale import shared_folder
 from statproof.operators import corpus as op
 from statproof.plans import oracle_parts as o
 from statproof.plans.fixtures import Tables, with_clause
@@ -18,6 +21,18 @@ def a01(spark, d):
     return out.select("row_no", "title", "date", "section", "url", F.length("body").alias("body_len"), "label")
 
 
+def a01_files(spark, d):
+    """The same articles through both file formats and back."""
+    out = None
+    for kind in ("csv", "jsonl"):
+        path = f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}.{kind}"
+        rows = Tables(spark, d).news.select(F.col("title").alias("제목"), F.col("date").alias("작성일"), F.col("url").alias("URL"), F.col("body").alias("본문"))
+        (rows.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if kind == "csv" else rows.write.json(path))
+        got = src.read_articles(spark, path).select(F.lit(kind).alias("kind"), "title", "date", "url", F.md5("body").alias("h"))
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("kind", "title", "date", "url", "h").agg(F.count(F.lit(1)).alias("n"))
+
+
 def a02(spark, d):
     rows = op.row_range(Tables(spark, d).news, "row_no", 101, 700)
     return rows.select(F.col("row_number").cast("long").alias("row_number"), "row_no", "title")
@@ -108,7 +123,7 @@ def a15(spark, d):
 
 
 QUERIES = {
-    "a01_article_scan": a01, "a02_row_range": a02, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
+    "a01_article_scan": a01, "a01_article_files": a01_files, "a02_row_range": a02, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
     "a06_dedupe_articles": a06, "a07_content_ids": a07, "a08_split_sentences": a08, "a09_insert_new": a09,
     "a09_insert_counts": a09_counts, "a10_ingest_report": a10, "a10_import_previews": a10_previews, "a11_secret_scan": a11,
     "a12_contamination": a12, "a13_safe_csv": a13, "a14_bounded_export": a14, "a14_export_rows": a14_rows, "a15_page_definitions": a15,
@@ -124,6 +139,7 @@ _HOST = r"lower(regexp_extract(url, '^https://([^/:?#]+)', 1))"
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(c, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
 
 ORACLE = {
+    "a01_article_files": with_clause("news") + " SELECT kind, trim(coalesce(title, '')) AS title, trim(coalesce(date, '')) AS date, trim(coalesce(url, '')) AS url, md5(coalesce(body, '')) AS h, count(*) AS n FROM news, (VALUES ('csv'), ('jsonl')) k(kind) GROUP BY ALL",
     "a01_article_scan": with_clause("news") + " SELECT row_no, title, date, section, url, length(body) AS body_len, label FROM news",
     "a02_row_range": with_clause("news") + " SELECT * FROM (SELECT row_number() OVER (ORDER BY row_no) AS row_number, row_no, title FROM news) WHERE row_number BETWEEN 101 AND 700",
     "a03_strip_chrome": _A + " SELECT row_no, anchored, length(body) AS n, md5(body) AS h FROM o_chrome",

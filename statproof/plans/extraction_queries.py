@@ -117,6 +117,10 @@ def b17(spark, d):
     return j.select("doc_id", "candidate", "judge_status", "candidate_reason", "evidence_status", F.array_join("quoted_spans", "|").alias("spans"))
 
 
+def b18_capped(spark, d):
+    return op.expand_periods(Tables(spark, d).period_memos, ["plan_id"], "memo", maximum=50).select("plan_id", F.col("request_idx").cast("long").alias("request_idx"), "period")
+
+
 def b18(spark, d):
     e = op.expand_periods(Tables(spark, d).period_memos, ["plan_id"], "memo")
     return e.select("plan_id", F.col("request_idx").cast("long").alias("request_idx"), "period", "prd_se")
@@ -127,7 +131,7 @@ QUERIES = {
     "b05_detect_candidates": b05, "b06_apply_rules": b06, "b07_rule_evidence": b07, "b08_mixed_fragments": b08, "b09_classify_source": b09,
     "b10_search_terms": b10, "b11_make_query": b11, "b11_make_query_news": b11_news, "b12_apply_aliases": b12, "b13_claim_profile": b13,
     "b14_article_period": b14, "b15_atomic_claims": b15, "b16_claim_cards": b16, "b16_reviewed_cards": b16_reviewed, "b17_judge_decisions": b17,
-    "b18_expand_periods": b18,
+    "b18_expand_periods": b18, "b18_capped_periods": b18_capped,
 }
 
 q = o.q
@@ -323,4 +327,9 @@ ORACLE = {
       m2 AS (SELECT plan_id, CASE WHEN len(ms) > 0 THEN 'M' ELSE 'Y' END AS prd_se, CASE WHEN contains(memo, '~') AND len(ms) >= 2 AND right(ms[1], 2) = right(ms[2], 2) AND CAST(left(ms[1], 4) AS INT) <= CAST(left(ms[2], 4) AS INT)
         THEN list_transform(range(CAST(left(ms[1], 4) AS INT), CAST(left(ms[2], 4) AS INT) + 1), lambda y: y || '-' || right(ms[1], 2)) WHEN len(ms) > 0 THEN ms ELSE ys END AS ps FROM m1)
       SELECT plan_id, i - 1 AS request_idx, ps[i] AS period, prd_se FROM m2, unnest(range(1, len(ps) + 1)) u(i)""",
+    "b18_capped_periods": with_clause("period_memos") + r""", m0 AS (SELECT plan_id, memo, regexp_extract_all(memo, '\b(\d{4}-\d{2})\b', 1) AS raw, regexp_extract_all(memo, '\b(\d{4})\b', 1) AS rawy FROM period_memos),
+      m1 AS (SELECT *, list_filter(raw, lambda t, i: list_position(raw, t) = i) AS ms, list_filter(rawy, lambda t, i: list_position(rawy, t) = i) AS ys FROM m0),
+      m2 AS (SELECT plan_id, CASE WHEN len(ms) > 0 THEN 'M' ELSE 'Y' END AS prd_se, CASE WHEN contains(memo, '~') AND len(ms) >= 2 AND right(ms[1], 2) = right(ms[2], 2) AND CAST(left(ms[1], 4) AS INT) <= CAST(left(ms[2], 4) AS INT)
+        THEN list_transform(range(CAST(left(ms[1], 4) AS INT), CAST(left(ms[2], 4) AS INT) + 1), lambda y: y || '-' || right(ms[1], 2)) WHEN len(ms) > 0 THEN ms ELSE ys END AS ps FROM m1)
+      SELECT plan_id, i - 1 AS request_idx, ps[i] AS period FROM m2, unnest(range(1, len(ps) + 1)) u(i) ORDER BY plan_id, request_idx LIMIT 50""",
 }

@@ -128,6 +128,12 @@ def c13(spark, d):
     return op.expand_catalog(_edges(spark, d), spark.sql("SELECT 'root' AS root_id"))
 
 
+def c13_capped(spark, d):
+    edges = _edges(spark, d)
+    lists = edges.where("NOT is_table").groupBy(F.col("child_id").alias("list_id")).agg(F.when(F.min("parent_id") == "root", 1).otherwise(2).alias("depth"))
+    return op.capped_visits(lists, 12)
+
+
 def c13_merge(spark, d):
     t = Tables(spark, d)
     cols = ["k", "payload"]
@@ -149,7 +155,7 @@ def c14_summary(spark, d):
 QUERIES = {
     "c01_search_overlap": c01, "c02_search_tfidf": c02, "c03_rrf": c03, "c04_search_substring": c04, "c05_union_hits": c05, "c06_filter_coverage": c06,
     "c07_rerank": c07, "c08_candidate_fit": c08, "c09_best_item": c09, "c10_suggest": c10, "c10_candidate_log": c10_log, "c11_match_score": c11,
-    "c12_query_plan": c12, "c12_query_budget": c12_budget, "c13_expand_catalog": c13, "c13_merge_catalog": c13_merge, "c14_semantic_cards": c14,
+    "c12_query_plan": c12, "c12_query_budget": c12_budget, "c13_expand_catalog": c13, "c13_capped_visits": c13_capped, "c13_merge_catalog": c13_merge, "c14_semantic_cards": c14,
     "c14_card_summary": c14_summary,
 }
 
@@ -273,6 +279,8 @@ ORACLE = {
       SELECT count(*) AS needed, CAST(sum(n) AS BIGINT) AS claims, round(sum(n) / count(*), 1) AS claims_per_query, CAST(ceil(count(*) / 3) AS BIGINT) AS batches FROM p""",
     "c13_expand_catalog": f"""WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 'root' AS node, 0 AS depth UNION SELECT e.child_id, w.depth + 1 FROM w JOIN e ON e.parent_id = w.node AND NOT e.is_table)
       SELECT child_id AS tbl_id, min(depth) AS depth, arg_min(parent_id, (depth, parent_id)) AS list_id FROM w JOIN e ON e.parent_id = w.node AND e.is_table GROUP BY 1""",
+    "c13_capped_visits": f"""WITH e AS ({EDGES}), l AS (SELECT child_id AS list_id, CASE WHEN min(parent_id) = 'root' THEN 1 ELSE 2 END AS depth FROM e WHERE NOT is_table GROUP BY 1)
+      SELECT list_id, depth, CASE WHEN row_number() OVER (ORDER BY depth, list_id) <= 12 THEN 'visited' ELSE 'pending' END AS state FROM l""",
     "c13_merge_catalog": with_clause("payload_a", "payload_b") + " SELECT k, payload FROM payload_b UNION ALL SELECT k, payload FROM payload_a WHERE k NOT IN (SELECT k FROM payload_b)",
     "c14_semantic_cards": _FIT + """ SELECT CASE WHEN sel <> '' THEN sel ELSE ind END AS indicator, period_kind AS time, CASE WHEN region <> '' THEN 'inferred' ELSE 'unconfirmed' END AS spatial_status,
       round(fit_score / 100, 2) AS semantic_confidence, count(*) AS n FROM fits GROUP BY 1, 2, 3, 4""",

@@ -20,7 +20,8 @@ def resolve_headers(raw: DataFrame) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Read a CSV or JSONL dataset.  The row order of the source is kept as `row_no` (file, position in file)."""
+    """Read a CSV or JSONL dataset.  `row_no` keeps the row order of the source whatever split a file lands in: file,
+    first byte of the split, position; its text sorts in that order."""
     kind = kind or ("csv" if path.rstrip("/").endswith("csv") else "jsonl")
     if kind == "csv":
         raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
@@ -29,7 +30,9 @@ def read_articles(spark: SparkSession, path: str, kind: str | None = None) -> Da
         raw = spark.read.json(path, primitivesAsString=True)
     else:
         raise ValueError(f"unsupported format: {kind}")
-    return resolve_headers(raw.withColumn("row_no", F.monotonically_increasing_id()))
+    place = F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"),
+                        F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
+    return resolve_headers(raw.withColumn("row_no", place))
 
 
 def spreadsheet_safe(df: DataFrame) -> DataFrame:
@@ -44,7 +47,8 @@ def spreadsheet_safe(df: DataFrame) -> DataFrame:
 
 
 def write_safe_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    spreadsheet_safe(df).write.mode(mode).csv(path, header=True, quote='"', escape='"')
+    spreadsheet_safe(df).write.mode(mode).csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                              ignoreTrailingWhiteSpace=False)
 
 
 def export_size(df: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:

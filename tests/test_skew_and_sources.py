@@ -83,3 +83,41 @@ def test_lifecycle_stream_over_batches(spark, tmp_path):
     jobs.stream_lifecycle(stream(), out, ck)
     got = {r["event_id"]: r["check"] for r in spark.read.parquet(out).collect()}
     assert got == {1: "ok", 2: "ok", 3: "ok", 4: "late", 5: "reason_required"}
+
+
+def test_deep_catalog_is_expanded_to_the_end(spark):
+    chain = [(f"l{i}", f"l{i + 1}", False) for i in range(12)] + [("l12", "T", True)]
+    edges = spark.createDataFrame(chain, "parent_id string, child_id string, is_table boolean")
+    got = ranking.expand_catalog(edges, spark.createDataFrame([("l0",)], "root_id string")).collect()
+    assert [(r["tbl_id"], r["depth"]) for r in got] == [("T", 12)]
+
+
+def test_articles_with_equal_short_ids_are_both_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "with_article_id", lambda df: df.withColumn("article_id", F.lit("art_same")))
+    rows = [(i, f"title {i}", "2024-01-01", "", f"https://x/{i % 2}", f"본문 {i}는 사과 농가 이야기다.", "") for i in range(4)]
+    df = spark.createDataFrame(rows, "row_no long, title string, date string, section string, url string, body string, label string")
+    df.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        jobs.stream_ingest(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://x/0", "https://x/1"]
+
+
+def test_lifecycle_drops_redelivered_events(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00", "DETECTED", ""), (2, 1, "2024-01-03 00:00:00", "PARSED", "")],
+                               "event_id long, claim_id long, ts string, state string, reason string").withColumn("ts", F.to_timestamp("ts"))
+    for _ in range(2):
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_lifecycle(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted((r["event_id"], r["check"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "ok"), (2, "ok")]
+
+
+def test_shared_coordinate_pairs_nothing(spark):
+    stats = spark.createDataFrame([("T", f"r{i}", "축", f"v{i}", "항목", f"20{i:02d}", "건") for i in range(30)], "tbl_id string, row_no string, c1_obj_nm string, c1_nm string, itm_nm string, prd_de string, unit_nm string")
+    claims = spark.createDataFrame([(1, "T", "v3", "2003", "건", ""), (2, "T", "v4", "", "건", "항"), (3, "T", "none", "", "건", "")], "claim_id long, tbl_id string, subject string, period string, unit string, comparison string")
+    coords = snapshots.recommend_coords(snapshots.coordinate_axes(stats), claims)
+    assert {(r["claim_id"], r["label"]) for r in coords.collect()} == {(1, "축"), (1, "시점"), (1, "단위"), (2, "축"), (2, "단위"), (2, "항목"), (3, "단위")}
+    plan = coords._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {(r["claim_id"], r["row_no"]) for r in snapshots.rows_at(stats, coords).collect()}
+    assert got == {(1, "r3"), (2, "r4")} | {(3, f"r{i}") for i in range(30)}
