@@ -126,19 +126,25 @@ def filter_coverage(hits: DataFrame, top: int = 10) -> DataFrame:
     return top_per_key(scored.withColumnRenamed("rank", "orig_rank"), ["claim_id"], ["orig_rank"], top)
 
 
-def rerank_signals(sentence: Column, period: Column, tbl: Column, survey: Column, path: Column, vw: Column, start: Column, end: Column):
+def claim_flags(sentence: Column) -> Column:
+    """What the rerank signals ask of a sentence alone: compute it once per claim, before its hits multiply it."""
+    return F.struct(sentence.rlike(lx.REGION_CLAIM).alias("region"), sentence.rlike(lx.MONTHLY_CLAIM).alias("monthly"),
+                    sentence.rlike(lx.ANNUAL_CLAIM).alias("annual"), sentence.rlike(lx.FORECAST_CLAIM).alias("forecast"),
+                    F.array(*[sentence.contains(t) for t in lx.CORE_TERMS]).alias("core"))
+
+
+def rerank_signals(flags: Column, sentence: Column, period: Column, tbl: Column, survey: Column, path: Column, vw: Column, start: Column, end: Column):
     """[(condition, points, reason)] of every metadata signal."""
     doc = F.concat_ws(" ", tbl, survey, path)
     abroad = (vw == "MT_RTITLE") | path.contains("국제기구별")
     regional = (vw == "MT_GTITLE01") | tbl.contains("(시도") | tbl.contains("시도/시")
-    region_claim = sentence.rlike(lx.REGION_CLAIM)
-    monthly, annual = sentence.rlike(lx.MONTHLY_CLAIM), sentence.rlike(lx.ANNUAL_CLAIM)
+    region_claim, monthly, annual = flags["region"], flags["monthly"], flags["annual"]
     monthly_tbl, annual_tbl = tbl.contains("월별"), tbl.contains("연도별") | tbl.contains("연간")
     topic = F.replace(survey, F.lit("조사"), F.lit(""))
     cover = covers(period, start, end)
-    projection, forecast = doc.rlike(lx.PROJECTION_TABLE), sentence.rlike(lx.FORECAST_CLAIM)
+    projection, forecast = doc.rlike(lx.PROJECTION_TABLE), flags["forecast"]
     axis = F.regexp_extract(tbl, lx.LEADING_AXIS, 1)
-    core = [(sentence.contains(t) & doc.contains(t), 2.5, f"core_term:{t}") for t in lx.CORE_TERMS]
+    core = [(flags["core"][i] & doc.contains(t), 2.5, f"core_term:{t}") for i, t in enumerate(lx.CORE_TERMS)]
     return core + [
         (abroad, -5.0, "international_table"), (~abroad & (vw == "MT_ZTITLE"), 2.0, "domestic_topic_table"),
         (regional & region_claim, 2.0, "regional_match"), (regional & ~region_claim, -3.0, "regional_table_for_national_claim"),
@@ -151,9 +157,12 @@ def rerank_signals(sentence: Column, period: Column, tbl: Column, survey: Column
 
 
 def rerank(hits: DataFrame) -> DataFrame:
-    """Reorder hits(claim_id, rank, sentence, period, tbl_nm, survey, path, vw_cd, start_prd, end_prd) by metadata fit."""
+    """Reorder hits(claim_id, rank, sentence, period, tbl_nm, survey, path, vw_cd, start_prd, end_prd) by metadata fit.
+    Hits that carry `claim_flags` use them; others get theirs here."""
     c = F.col
-    signals = rerank_signals(c("sentence"), c("period"), c("tbl_nm"), c("survey"), c("path"), c("vw_cd"), c("start_prd"), c("end_prd"))
+    if "claim_flags" not in hits.columns:
+        hits = hits.withColumn("claim_flags", F.explode(F.array(claim_flags(c("sentence")))))
+    signals = rerank_signals(c("claim_flags"), c("sentence"), c("period"), c("tbl_nm"), c("survey"), c("path"), c("vw_cd"), c("start_prd"), c("end_prd"))
     total = F.lit(0.0)
     for cond, points, _ in signals:
         total = total + F.when(cond, F.lit(points)).otherwise(0.0)

@@ -58,11 +58,15 @@ def c06(spark, d):
 
 
 def c07(spark, d):
-    return op.rerank(_hits(Tables(spark, d))).select("claim_id", "rank", "orig_rank", "tbl", "rerank_score", F.size("reasons").cast("long").alias("n_reasons"))
+    t = Tables(spark, d)
+    flags = t.order_sentences.select("claim_id", F.explode(F.array(op.claim_flags(F.col("sentence")))).alias("claim_flags"))
+    return op.rerank(_hits(t).join(flags, "claim_id")).select("claim_id", "rank", "orig_rank", "tbl", "rerank_score", F.size("reasons").cast("long").alias("n_reasons"))
 
 
 def _profiled(t):
-    return _hits(t).withColumn("profile", tx.claim_profile(extraction.S))
+    # One profile per claim, computed before its hits multiply it; the exploded struct keeps it from being re-run.
+    profiles = t.order_sentences.select("claim_id", F.explode(F.array(tx.claim_profile(extraction.S))).alias("profile"))
+    return _hits(t).join(profiles, "claim_id")
 
 
 def _with_items(t):
