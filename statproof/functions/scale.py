@@ -113,3 +113,17 @@ def anchored_contains(texts: DataFrame, text: str, needles: DataFrame, needle: s
     grams = F.array_distinct(F.flatten(F.array(*[windows(g) for g in range(1, gram + 1)])))
     return (texts.withColumn("_gram", F.explode(grams)).join(filed, [*on, "_gram"])
             .where(F.col(text).contains(F.col(needle))).drop("_gram"))
+
+
+def contained_maps(wanted: DataFrame, offered: DataFrame) -> DataFrame:
+    """(w, o) where the non-empty map of wanted(w, wmap) is part of the map of offered(o, omap); ids are unique.
+
+    Each wanted map is filed under its rarest pair among the offered maps, meets only the maps that hold this pair and is
+    confirmed on the maps.  A pair that most maps share makes no meetings unless a wanted map has nothing rarer."""
+    pairs = offered.select("o", F.explode("omap").alias("_k", "_v"))
+    often = pairs.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    filed = (wanted.select("w", F.explode("wmap").alias("_k", "_v")).join(often, ["_k", "_v"], "left").groupBy("w")
+             .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_k").alias("k"), F.col("_v").alias("v"))).alias("_rare")))
+    near = filed.select("w", F.col("_rare.k").alias("_k"), F.col("_rare.v").alias("_v")).join(pairs, ["_k", "_v"]).select("w", "o")
+    holds = F.forall(F.map_entries("wmap"), lambda e: F.coalesce(F.try_element_at("omap", e["key"]) == e["value"], F.lit(False)))
+    return near.join(wanted, "w").join(offered, "o").where(holds).select("w", "o")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.functions.scale import anchored_contains, first_per_key
+from statproof.functions.scale import anchored_contains, contained_maps, first_per_key
 
 LEVELS = range(1, 9)
 CURRENT_AGENCY = "국가데이터처"
@@ -73,13 +73,12 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 def revision_impact(diff: DataFrame, mappings: DataFrame) -> DataFrame:
     """Mappings whose whole (non-empty) selection occurs in a changed or removed record.
 
-    Relational division on distinct selections: both sides are reduced to distinct selection texts first, so hot
-    (key, value) pairs meet once per distinct selection and not once per record."""
+    Containment on distinct selections, filed under their rarest (key, value) pair."""
     d = diff.where(F.col("change_type").isin("changed", "removed"))
     m = mappings.withColumn("msel", canonical_map(F.col("selection")))
-    wanted = m.where(F.size("selection") > 0).select("msel", F.size("selection").alias("need"), F.explode("selection").alias("k", "v")).distinct()
-    offered = d.select("sel", F.explode("selection").alias("k", "v")).distinct()
-    pairs = wanted.join(offered, ["k", "v"]).groupBy("msel", "sel", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need").select("msel", "sel")
+    wanted = first_per_key(m.where(F.size("selection") > 0).select(F.col("msel").alias("w"), F.col("selection").alias("wmap")), ["w"], [F.lit(1)])
+    offered = first_per_key(d.select(F.col("sel").alias("o"), F.col("selection").alias("omap")), ["o"], [F.lit(1)])
+    pairs = contained_maps(wanted, offered).select(F.col("w").alias("msel"), F.col("o").alias("sel"))
     return m.drop("selection").join(pairs, "msel").join(d.drop("selection", "change_type"), "sel")
 
 
@@ -306,10 +305,10 @@ def expand_coords(plans: DataFrame) -> DataFrame:
 def pending_requests(requests: DataFrame, done: DataFrame) -> DataFrame:
     """requests(request_id, params map) not covered by a completed params map, i.e. no completed map is a subset.
 
-    Division on distinct maps and (key, value) pairs; an empty completed map covers everything, as a subset does."""
+    Containment on distinct maps; an empty completed map covers everything, as a subset does."""
     r, d = requests.withColumn("_r", canonical_map(F.col("params"))), done.withColumn("_d", canonical_map(F.col("params")))
-    offered = r.select("_r", F.explode("params").alias("k", "v")).distinct()
-    wanted = d.select("_d", F.size("params").alias("need"), F.explode("params").alias("k", "v")).distinct()
-    covered = offered.join(wanted, ["k", "v"]).groupBy("_r", "_d", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need").select("_r").distinct()
+    offered = first_per_key(r.select(F.col("_r").alias("o"), F.col("params").alias("omap")), ["o"], [F.lit(1)])
+    wanted = first_per_key(d.select(F.col("_d").alias("w"), F.col("params").alias("wmap")), ["w"], [F.lit(1)])
+    covered = contained_maps(wanted, offered).select(F.col("o").alias("_r")).distinct()
     everything = d.where(F.size("params") == 0).agg(F.count(F.lit(1)).alias("n")).scalar()
     return r.join(covered, "_r", "left_anti").where(everything == 0).drop("_r")

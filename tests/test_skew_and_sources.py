@@ -121,3 +121,11 @@ def test_shared_coordinate_pairs_nothing(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     got = {(r["claim_id"], r["row_no"]) for r in snapshots.rows_at(stats, coords).collect()}
     assert got == {(1, "r3"), (2, "r4")} | {(3, f"r{i}") for i in range(30)}
+
+
+def test_contained_maps_with_a_pair_shared_by_most(spark):
+    rng = random.Random(6)
+    offered = [(i, {"flag": "A", **{k: str(rng.randint(0, 3)) for k in "xyz"}}) for i in range(120)] + [(500, {"x": "1"})]
+    wanted = [(0, {"flag": "A", "x": "1", "y": "2"}), (1, {"flag": "A"}), (2, {"x": "1"}), (3, {"x": "9", "flag": "A"}), (4, {"nope": "1"})]
+    got = scale.contained_maps(spark.createDataFrame(wanted, "w long, wmap map<string,string>"), spark.createDataFrame(offered, "o long, omap map<string,string>"))
+    assert {tuple(r) for r in got.collect()} == {(w, o) for w, m in wanted for o, n in offered if m.items() <= n.items()}
