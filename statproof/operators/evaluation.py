@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import text as tx, verdict as vd
-from statproof.functions.scale import first_per_key, top_per_key, with_row_number
+from statproof.functions.scale import first_per_key, stable, top_per_key, with_row_number
 
 THRESHOLDS = {"detection_f1": 0.80, "verdict_accuracy": 0.75, "fallback_f1": 0.80}
 STAGES = ["ingest", "detect", "parse", "map", "evidence", "verdict", "explain", "review", "eval"]
@@ -125,10 +125,11 @@ def eval_paths(gold: DataFrame, rankings: DataFrame) -> DataFrame:
     """gold(qid, gold_ord), rankings(path, mode, qid, rank, ord): Hit@1, Hit@3, MRR per path and mode, gain over raw
     queries, best path of the generated queries."""
     n = gold.agg(F.count(F.lit(1)).alias("n")).scalar()
-    names = rankings.select("path", "mode").distinct()
-    top = rankings.where("rank <= 3").join(gold, "qid").where(F.col("ord") == F.col("gold_ord"))
-    agg = top.groupBy("path", "mode").agg(F.count_if(F.col("rank") == 1).alias("h1"), F.count(F.lit(1)).alias("h3"), F.sum(1.0 / F.col("rank")).alias("s"))
-    m = names.join(agg, ["path", "mode"], "left").na.fill(0).select("path", "mode", "h1", "h3", F.round(F.col("s") / n, 6).alias("mrr"))
+    hit = F.col("ord") == F.col("gold_ord")
+    agg = rankings.where("rank <= 3").join(gold, "qid", "left").groupBy("path", "mode").agg(
+        F.count_if(hit & (F.col("rank") == 1)).alias("h1"), F.count_if(hit).alias("h3"), F.sum(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("s"))
+    # One row per path and mode, read three times below: the searches behind it run once.
+    m = stable(agg.select("path", "mode", "h1", "h3", F.round(F.col("s") / n, 6).alias("mrr")))
     raw = m.where("mode = 'raw'").select("path", F.col("h3").alias("raw_h3"))
     out = m.join(raw, "path", "left").withColumn("gain", F.when(F.col("mode") != "raw", F.col("h3") - F.col("raw_h3"))).drop("raw_h3")
     best = m.where("mode = 'gen'").agg(F.max_by("path", F.struct("h3", "mrr")).alias("b")).scalar()

@@ -92,16 +92,22 @@ def f08(spark, d):
 
 
 def f09(spark, d):
+    """Four paths over raw and generated queries.  Both modes are searched together (even and odd ids), so every path
+    runs once; the hybrid path fuses the lists of the first two."""
     qs, cat = rq._inputs(spark, d)
     from statproof.operators import ranking
-    gold = qs.select("qid", F.col("qid").alias("gold_ord"))
-    gen = qs.withColumn("query", F.regexp_replace("query", r"brand\d+", ""))
-
-    def run(q, mode):
-        a = ranking.search_overlap(q, cat, 3).select("qid", "rank", "ord", F.lit("overlap").alias("path"))
-        b = ranking.search_substring(q, cat, 3).select("qid", "rank", "ord", F.lit("substring").alias("path"))
-        return a.unionByName(b).withColumn("mode", F.lit(mode))
-    return op.eval_paths(gold, run(qs, "raw").unionByName(run(gen, "gen")))
+    both = qs.select(F.col("qid"), F.explode(F.array(
+        F.struct(F.lit(0).alias("m"), F.col("query").alias("q")), F.struct(F.lit(1).alias("m"), F.regexp_replace("query", r"brand\d+", "").alias("q")))).alias("x"))
+    both = both.select((F.col("qid") * 2 + F.col("x.m")).alias("qid"), F.col("x.q").alias("query"))
+    cols = ["qid", "rank", "ord"]
+    overlap, tfidf = ranking.search_overlap(both, cat, 5).select(cols), ranking.search_tfidf(both, cat, 5).select(cols)
+    lists = overlap.withColumn("path_no", F.lit(0)).unionByName(tfidf.withColumn("path_no", F.lit(1)))
+    paths = {"overlap": overlap, "tfidf": tfidf, "hybrid": ranking.rrf(lists).select(cols), "substring": ranking.search_substring(both, cat, 3).select(cols)}
+    found = None
+    for name, hits in paths.items():
+        hits = hits.select(F.lit(name).alias("path"), F.when(F.col("qid") % 2 == 0, "raw").otherwise("gen").alias("mode"), F.floor(F.col("qid") / 2).alias("qid"), "rank", "ord")
+        found = hits if found is None else found.unionByName(hits)
+    return op.eval_paths(qs.select("qid", F.col("qid").alias("gold_ord")), found)
 
 
 def f10(spark, d):
@@ -194,6 +200,19 @@ _ISS = _G + """, z AS (SELECT *, min(row_no) OVER (PARTITION BY claim_id) AS fid
     UNION ALL SELECT row_no, claim_id, 'invalid_domain', 'domain' FROM z WHERE domain = 'other' UNION ALL SELECT row_no, claim_id, 'invalid_review_status', 'review_status' FROM z WHERE review_status = 'pending'
     UNION ALL SELECT row_no, claim_id, 'invalid_gold_label', 'gold_label' FROM z WHERE gold_label = 'maybe' UNION ALL SELECT row_no, claim_id, 'duplicate_claim_id', 'claim_id' FROM z WHERE fid < row_no
     UNION ALL SELECT row_no, claim_id, 'duplicate_sentence', 'sentence' FROM z WHERE sentence <> '' AND fs < row_no UNION ALL SELECT row_no, claim_id, 'approved_required', 'claim_value' FROM z WHERE review_status = 'approved' AND claim_value = '')"""
+_BOTH = r", pq AS (SELECT qid * 2 AS qid, query FROM part_queries UNION ALL SELECT qid * 2 + 1, regexp_replace(query, 'brand\d+', '', 'g') FROM part_queries)"
+_SUBSTRING = rq.ORACLE["c04_search_substring"].removeprefix(rq._IN).rsplit(" SELECT qid, rank, ord, score FROM r", 1)[0]
+_PATHS = rq._IN + _BOTH + (rq._C01 + rq._C02 + _SUBSTRING).replace("FROM part_queries", "FROM pq") + """,
+  u3 AS (SELECT qid, ord, rank, 0 AS p FROM ov WHERE rank <= 3 UNION ALL SELECT qid, ord, rank, 1 FROM tf WHERE rank <= 3),
+  f3 AS (SELECT qid, ord, sum(1.0 / (60 + rank)) AS score, min(p * 10 + rank) AS fst FROM u3 GROUP BY qid, ord),
+  hy AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, fst) AS rank FROM f3),
+  al AS (SELECT 'overlap' AS path, qid, ord, rank FROM ov UNION ALL SELECT 'tfidf', qid, ord, rank FROM tf UNION ALL SELECT 'hybrid', qid, ord, rank FROM hy UNION ALL SELECT 'substring', qid, ord, rank FROM r),
+  pm AS (SELECT DISTINCT path, qid % 2 AS odd FROM al WHERE rank <= 3),
+  ht AS (SELECT path, qid % 2 AS odd, count(*) FILTER (rank = 1) AS h1, count(*) AS h3, sum(1.0 / rank) AS t FROM al WHERE rank <= 3 AND ord = qid // 2 GROUP BY 1, 2),
+  m AS (SELECT path, odd, coalesce(h1, 0) AS h1, coalesce(h3, 0) AS h3, round(coalesce(t, 0) / (SELECT count(*) FROM part_queries), 6) AS mrr FROM pm LEFT JOIN ht USING (path, odd))
+  SELECT m.path, CASE WHEN odd = 0 THEN 'raw' ELSE 'gen' END AS mode, h1, h3, mrr, CASE WHEN odd = 1 THEN h3 - (SELECT z.h3 FROM m z WHERE z.path = m.path AND z.odd = 0) END AS gain,
+    odd = 1 AND path = (SELECT arg_max(path, (h3, mrr)) FROM m WHERE odd = 1) AS best FROM m"""
+
 ORACLE = {
     "f01_eval_detection": _DET + f" SELECT *, {_prf()} FROM c",
     "f01_detection_misses": _D + " SELECT CASE WHEN rule_candidate THEN 'detect_fp' ELSE 'detect_fn' END AS kind, lang, count(*) AS n FROM t WHERE g <> rule_candidate GROUP BY 1, 2",
@@ -227,6 +246,7 @@ ORACLE = {
       s AS (SELECT field, count(*) AS n, count(*) FILTER (a = b) AS hit, (avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b))) AS pe FROM p GROUP BY 1) SELECT field, n, hit, round(hit / n, 6) AS rate, round(CASE WHEN pe = 1 THEN 1 ELSE (hit / n - pe) / (1 - pe) END, 6) AS kappa FROM s""",
     "f14_merge_labels": """SELECT doc_id AS row_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 9 = 0 THEN 'disagree' WHEN quality = 0 THEN 'negative' WHEN doc_id % 11 = 0 THEN 'already_gold' ELSE 'merged' END AS outcome,
       array_to_string(list_filter([CASE WHEN doc_id % 6 = 0 THEN concat('is_claim:', quality, '|', 1 - quality) END, CASE WHEN doc_id % 9 = 0 THEN concat('gold_label:', toxic, '|', 1 - toxic) END], lambda x: x IS NOT NULL), ';') AS differences FROM labels""",
+    "f09_eval_paths": _PATHS,
     "f15_stratified_sample": """WITH q(domain, quota) AS (VALUES ('en', 19), ('fr', 16), ('de', 10), ('es', 6))
       SELECT 'positive' AS kind, domain, least(quota, count(*)) AS n, least(quota, count(*)) AS n_distinct FROM q JOIN documents ON lang = domain AND doc_id % 5 <> 0 GROUP BY domain, quota
       UNION ALL SELECT 'negative', NULL, least(9, count(*)), least(9, count(*)) FROM documents WHERE doc_id % 5 = 0""",
