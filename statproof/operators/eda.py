@@ -15,7 +15,6 @@ ISSUE_ORDER = ["missing_title", "missing_date", "invalid_date", "missing_body",
 QUANTITY_TYPES = ["percentage", "money", "people_household", "count_rank", "other"]
 PERIOD_CLASSES = ["past", "current", "forecast", "unknown"]
 WARNINGS = ["missing_title", "missing_date", "invalid_date"]
-S = F.col("sentence")
 
 
 @pandas_udf(StringType())
@@ -83,11 +82,11 @@ def profile_sentences(articles: DataFrame) -> DataFrame:
     """Every sentence of the valid articles with quantities, numeric flag, period class, type, route and rule."""
     s = articles.select("row_no", "date", F.posexplode(tx.sentence_array(F.col("clean"))).alias("sentence_idx", "sentence"))
     day = _day(F.col("date"))
-    raw = F.struct(tx.quantities(S).alias("quantities"), tx.has_number(S).alias("number"), tx.source_label(S).alias("source"), _rule_label().alias("rule"),
-                   F.when(day.isNotNull(), tx.period(S, F.date_format(day, "yyyy-MM-dd"))).otherwise("").alias("period"))
+    raw = F.struct(tx.quantities(F.col("sentence")).alias("quantities"), tx.has_number(F.col("sentence")).alias("number"), tx.source_label(F.col("sentence")).alias("source"), _rule_label().alias("rule"),
+                   F.when(day.isNotNull(), tx.period(F.col("sentence"), F.date_format(day, "yyyy-MM-dd"))).otherwise("").alias("period"))
     p = s.withColumn("p", F.explode(F.array(raw))).select("row_no", "date", "sentence_idx", "sentence", "p.*")
     return (p.withColumn("candidate", F.col("rule").isin("NUMERIC_UNIT", "NUMERIC_TREND", "SUPERLATIVE"))
-            .withColumn("numeric", F.col("number") & ~S.rlike(lx.NOISE_ONLY) & ~S.rlike(lx.SITE_CHROME))
+            .withColumn("numeric", F.col("number") & ~F.col("sentence").rlike(lx.NOISE_ONLY) & ~F.col("sentence").rlike(lx.SITE_CHROME))
             .withColumn("period_class", period_class(F.col("period"), F.col("source.claim_type"), day)).drop("number"))
 
 

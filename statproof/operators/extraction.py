@@ -6,57 +6,60 @@ from pyspark.sql import Column, DataFrame, functions as F
 from statproof.functions import lexicon as lx, text as tx
 from statproof.functions.scale import last_known_by_bucket
 
-S = F.col("sentence")
+
+
+def S() -> Column:
+    return F.col("sentence")
 
 
 def extract_quantities(sent: DataFrame, keys: list) -> DataFrame:
-    return sent.select(*keys, F.posexplode(tx.quantities(S)).alias("q_idx", "q")).select(*keys, "q_idx", "q.*")
+    return sent.select(*keys, F.posexplode(tx.quantities(S())).alias("q_idx", "q")).select(*keys, "q_idx", "q.*")
 
 
 def resolve_period(sent: DataFrame) -> DataFrame:
-    return sent.withColumn("period", tx.period(S, F.col("date")))
+    return sent.withColumn("period", tx.period(S(), F.col("date")))
 
 
 def claim_op(sent: DataFrame) -> DataFrame:
-    return sent.withColumn("op", tx.comparison_op(S)).withColumn("trend", tx.trend(S))
+    return sent.withColumn("op", tx.comparison_op(S())).withColumn("trend", tx.trend(S()))
 
 
 def parse_claims(sent: DataFrame) -> DataFrame:
-    out = claim_op(resolve_period(sent.withColumn("quantities", tx.quantities(S))))
+    out = claim_op(resolve_period(sent.withColumn("quantities", tx.quantities(S()))))
     none, undated = F.size("quantities") == 0, F.col("period") == ""
     return (out.withColumn("notes", tx.present((none, "no_quantity"), (undated, "no_period")))
             .withColumn("parse_complete", ~none & ~undated).withColumn("primary", tx.primary_quantity(F.col("quantities"))))
 
 
 def detect_candidates(sent: DataFrame, rules=()) -> DataFrame:
-    return sent.where(tx.is_candidate(S, rules))
+    return sent.where(tx.is_candidate(S(), rules))
 
 
 def apply_rules(sent: DataFrame, rules) -> DataFrame:
     """First matching rule id per sentence.  Rules are reviewed configuration, so they become compiled literals
     instead of a pairwise join of sentences and patterns."""
-    return sent.withColumn("rule_id", tx.rule_hit(S, rules))
+    return sent.withColumn("rule_id", tx.rule_hit(S(), rules))
 
 
 def _rule_label(rules=()) -> Column:
-    path = tx.detection_path(S, rules)
-    numeric, any_digit = tx.has_number(S), S.rlike(lx.NUMBER)
+    path = tx.detection_path(S(), rules)
+    numeric, any_digit = tx.has_number(S()), S().rlike(lx.NUMBER)
     return (F.when(path == "number_unit", "NUMERIC_UNIT").when(path == "number_trend", "NUMERIC_TREND")
              .when(path == "superlative", "SUPERLATIVE").when(path.startswith("rule:"), F.regexp_replace(path, "^rule:", ""))
-             .when(tx.strip(S).rlike(lx.NOISE_ONLY), "EXCLUDED_DATE_ONLY").when(S.rlike(lx.SITE_CHROME), "EXCLUDED_SITE_CHROME")
+             .when(tx.strip(S()).rlike(lx.NOISE_ONLY), "EXCLUDED_DATE_ONLY").when(S().rlike(lx.SITE_CHROME), "EXCLUDED_SITE_CHROME")
              .when(any_digit & ~numeric, "CONTEXTUAL_NUMBER_ONLY").when(numeric, "NUMERIC_NO_CLAIM").otherwise("NO_MATCH"))
 
 
 def rule_evidence(sent: DataFrame, rules=()) -> DataFrame:
-    return sent.withColumn("candidate", tx.is_candidate(S, rules)).withColumn("rule_label", _rule_label(rules))
+    return sent.withColumn("candidate", tx.is_candidate(S(), rules)).withColumn("rule_label", _rule_label(rules))
 
 
 def mixed_fragments(sent: DataFrame) -> DataFrame:
-    return sent.withColumn("mixed", tx.mixed_fragments(S))
+    return sent.withColumn("mixed", tx.mixed_fragments(S()))
 
 
 def classify_source(sent: DataFrame, routing: dict = lx.DEFAULT_ROUTING) -> DataFrame:
-    return sent.withColumn("source", tx.source_label(S, routing))
+    return sent.withColumn("source", tx.source_label(S(), routing))
 
 
 def search_terms(sent: DataFrame, routing: dict = lx.DEFAULT_ROUTING) -> DataFrame:
@@ -64,7 +67,7 @@ def search_terms(sent: DataFrame, routing: dict = lx.DEFAULT_ROUTING) -> DataFra
 
 
 def make_queries(sent: DataFrame, aliases=()) -> DataFrame:
-    return sent.withColumn("query", tx.make_query(S, aliases)).withColumn("variants", tx.query_variants(S, aliases))
+    return sent.withColumn("query", tx.make_query(S(), aliases)).withColumn("variants", tx.query_variants(S(), aliases))
 
 
 def apply_aliases(df: DataFrame, column: str, aliases) -> DataFrame:
@@ -73,10 +76,10 @@ def apply_aliases(df: DataFrame, column: str, aliases) -> DataFrame:
 
 def claim_profiles(sent: DataFrame, article: str = "article_id", order: str = "sentence_idx") -> DataFrame:
     """Profile per sentence; a vague indicator with an anaphor inherits from the nearest earlier sentence that has one."""
-    own = sent.withColumn("p", tx.claim_profile(S))
+    own = sent.withColumn("p", tx.claim_profile(S()))
     prior = last_known_by_bucket(own, [article], F.floor(F.col(order) / 1000), [order],
                                  F.when(F.col("p.indicator") != "", F.col("p")), "prior")
-    inherit = (F.col("p.indicator").isin(lx.GENERIC_INDICATORS) & F.col("prior").isNotNull() & S.rlike(lx.ANAPHOR))
+    inherit = (F.col("p.indicator").isin(lx.GENERIC_INDICATORS) & F.col("prior").isNotNull() & S().rlike(lx.ANAPHOR))
 
     def taken(field, always=False):
         mine, theirs = F.col(f"p.{field}"), F.col(f"prior.{field}")
@@ -92,14 +95,14 @@ def claim_profiles(sent: DataFrame, article: str = "article_id", order: str = "s
 
 def article_period(sent: DataFrame) -> DataFrame:
     """One observation period per article, only when every strong cue names the same one."""
-    cues = sent.where(S.rlike(lx.STRONG_PERIOD)).withColumn("period", tx.period(S, F.col("date"))).where("period <> ''")
+    cues = sent.where(S().rlike(lx.STRONG_PERIOD)).withColumn("period", tx.period(S(), F.col("date"))).where("period <> ''")
     return (cues.groupBy("article_id").agg(F.min("period").alias("period"), F.max("period").alias("_hi"),
                                            F.min(F.col("sentence_idx") + 1).cast("int").alias("row_index"))
             .where(F.col("period") == F.col("_hi")).drop("_hi"))
 
 
 def atomic_claims(sent: DataFrame, keys: list) -> DataFrame:
-    return sent.select(*keys, F.inline(tx.atomic_claims(S)))
+    return sent.select(*keys, F.inline(tx.atomic_claims(S())))
 
 
 # --- claim cards --------------------------------------------------------------------------------------------
@@ -169,7 +172,7 @@ def judge_decisions(responses: DataFrame) -> DataFrame:
         F.when(legacy, F.coalesce(text("reason"), F.lit("legacy_response"))).when(missing, "json_parse_failed")
          .when(decided, F.coalesce(text("candidate_reason"), F.lit("no_reason"))).otherwise("candidate_incomplete").alias("candidate_reason"),
         F.when(decided & ~legacy & status.isin(EVIDENCE_STATUSES), status).otherwise("unknown").alias("evidence_status"),
-        F.when(decided & ~legacy, F.filter(spans, lambda s: (s != "") & S.contains(s))).otherwise(F.slice(spans, 1, 0)).alias("quoted_spans"))
+        F.when(decided & ~legacy, F.filter(spans, lambda s: (s != "") & S().contains(s))).otherwise(F.slice(spans, 1, 0)).alias("quoted_spans"))
 
 
 # --- query planning -----------------------------------------------------------------------------------------

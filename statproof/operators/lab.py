@@ -9,25 +9,35 @@ from statproof.functions import text as tx
 
 OUTCOMES = ["P_PLUS_H_PLUS", "P_PLUS_H_MINUS", "P_MINUS_H_PLUS", "P_MINUS_H_MINUS", "JUDGE_ERROR"]
 REVIEWABLE = ["P_PLUS_H_MINUS", "P_MINUS_H_PLUS"]
-R, J = F.col("rule_candidate"), F.coalesce(F.col("judge_candidate"), F.lit(False))
-OK = F.col("judge_status") == "success"
+
+
+def _rule() -> Column:
+    return F.col("rule_candidate")
+
+
+def _judge() -> Column:
+    return F.coalesce(F.col("judge_candidate"), F.lit(False))
+
+
+def _answered() -> Column:
+    return F.col("judge_status") == "success"
 
 
 def run_modes(sent: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """rules / judge / hybrid result per sentence; hybrid asks the judge only for rule candidates and keeps them when
     the judge fails.  A sentence without a decision counts as not configured."""
     j = sent.join(decisions.select(key, "judge_status", "judge_candidate"), key, "left").withColumn("judge_status", F.coalesce("judge_status", F.lit("not_configured")))
-    judged = F.when(OK, F.col("judge_candidate"))
-    return (j.withColumn("judge_mode", judged).withColumn("hybrid_mode", R & F.coalesce(judged, F.lit(True)))
-            .withColumn("judge_calls", (F.lit(1) + R.cast("int"))))
+    judged = F.when(_answered(), F.col("judge_candidate"))
+    return (j.withColumn("judge_mode", judged).withColumn("hybrid_mode", _rule() & F.coalesce(judged, F.lit(True)))
+            .withColumn("judge_calls", (F.lit(1) + _rule().cast("int"))))
 
 
 def mode_counts(modes: DataFrame) -> DataFrame:
-    return modes.agg(F.count(F.lit(1)).alias("sentences"), F.count_if(R).alias("rules"), F.count_if("judge_mode").alias("judge"), F.count_if("hybrid_mode").alias("hybrid"), F.sum("judge_calls").alias("judge_calls"))
+    return modes.agg(F.count(F.lit(1)).alias("sentences"), F.count_if(_rule()).alias("rules"), F.count_if("judge_mode").alias("judge"), F.count_if("hybrid_mode").alias("hybrid"), F.sum("judge_calls").alias("judge_calls"))
 
 
 def outcome() -> Column:
-    return (F.when(~OK, "JUDGE_ERROR").when(R & J, "P_PLUS_H_PLUS").when(R, "P_PLUS_H_MINUS").when(J, "P_MINUS_H_PLUS").otherwise("P_MINUS_H_MINUS"))
+    return (F.when(~_answered(), "JUDGE_ERROR").when(_rule() & _judge(), "P_PLUS_H_PLUS").when(_rule(), "P_PLUS_H_MINUS").when(_judge(), "P_MINUS_H_PLUS").otherwise("P_MINUS_H_MINUS"))
 
 
 def compare_modes(rows: DataFrame) -> DataFrame:
@@ -38,9 +48,9 @@ def reviewed_metrics(rows: DataFrame) -> DataFrame:
     """Precision / recall / F1 of rules, judge and either on human-labelled rows; null where undefined.  Judge rows
     count on success only, `either` falls back to the rules; response coverage is over all rows."""
     known, truth = F.col("review").isin("true_candidate", "false_positive"), F.col("review") == "true_candidate"
-    det = F.array(F.struct(F.lit("rules").alias("detector"), known.alias("used"), R.alias("pred")), F.struct(F.lit("judge").alias("detector"), (known & OK).alias("used"), J.alias("pred")),
-                  F.struct(F.lit("either").alias("detector"), known.alias("used"), (R | (OK & J)).alias("pred")))
-    m = rows.select(truth.alias("t"), OK.alias("ok"), F.explode(det).alias("d")).select("t", "ok", "d.*")
+    det = F.array(F.struct(F.lit("rules").alias("detector"), known.alias("used"), _rule().alias("pred")), F.struct(F.lit("judge").alias("detector"), (known & _answered()).alias("used"), _judge().alias("pred")),
+                  F.struct(F.lit("either").alias("detector"), known.alias("used"), (_rule() | (_answered() & _judge())).alias("pred")))
+    m = rows.select(truth.alias("t"), _answered().alias("ok"), F.explode(det).alias("d")).select("t", "ok", "d.*")
     a = m.groupBy("detector").agg(*[F.count_if(F.col("used") & c).alias(n) for n, c in (("tp", F.col("t") & F.col("pred")), ("fp", ~F.col("t") & F.col("pred")), ("fn", F.col("t") & ~F.col("pred")), ("tn", ~F.col("t") & ~F.col("pred")))],
                                   F.round(F.try_divide(F.count_if("ok"), F.count(F.lit(1))), 6).alias("response_rate"))
     p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -83,7 +93,7 @@ def history_summary(runs: DataFrame, rows: DataFrame) -> DataFrame:
 def validate_runs(runs: DataFrame, rows: DataFrame) -> DataFrame:
     """(run_id, problem, n): sentence count, candidate/status and class consistency."""
     expected = outcome()
-    row_bad = tx.present((OK & F.col("judge_candidate").isNull(), "success_without_candidate"), (~OK & F.col("judge_candidate").isNotNull(), "failure_with_candidate"),
+    row_bad = tx.present((_answered() & F.col("judge_candidate").isNull(), "success_without_candidate"), (~_answered() & F.col("judge_candidate").isNotNull(), "failure_with_candidate"),
                          (~F.col("disagreement").isin(OUTCOMES), "unknown_class"), (F.col("disagreement") != expected, "class_mismatch"))
     bad = rows.select("run_id", F.explode(row_bad).alias("problem")).groupBy("run_id", "problem").agg(F.count(F.lit(1)).alias("n"))
     counts = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
@@ -108,12 +118,12 @@ def promote(rows: DataFrame, gold: DataFrame, key: str) -> DataFrame:
 
 def shadow_rows(rows: DataFrame) -> DataFrame:
     """Risk reasons and review state; rows carry n_quantities and period of the sentence."""
-    risks = tx.present((~OK, "judge_error"), (OK & (R != J), "candidate_conflict"), (R & (F.col("n_quantities") == 0), "required_slot_missing"), (R & (F.col("period") == ""), "ambiguous_time_or_unit"))
+    risks = tx.present((~_answered(), "judge_error"), (_answered() & (_rule() != _judge()), "candidate_conflict"), (_rule() & (F.col("n_quantities") == 0), "required_slot_missing"), (_rule() & (F.col("period") == ""), "ambiguous_time_or_unit"))
     return rows.withColumn("risk_reasons", risks).withColumn("review_state", F.when(F.size("risk_reasons") > 0, "needs_review").otherwise("auto"))
 
 
 def shadow_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("review_state") == "needs_review").alias("review_count"), F.count_if(OK).alias("responses"))
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("review_state") == "needs_review").alias("review_count"), F.count_if(_answered()).alias("responses"))
 
 
 def shadow_export(rows: DataFrame, parts: dict, key: list) -> DataFrame:
@@ -134,7 +144,7 @@ def attach_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def run_summary(rows: DataFrame, mappings: DataFrame, completions: DataFrame) -> DataFrame:
     """Execution status and semantic counts per run; snapshot ids arrive as ` | ` joined text."""
-    st = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(OK).alias("ok"), F.count_if(F.col("judge_status") == "not_configured").alias("off"))
+    st = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(_answered()).alias("ok"), F.count_if(F.col("judge_status") == "not_configured").alias("off"))
     status = F.when(F.col("ok") == F.col("total"), "complete").when(F.col("off") == F.col("total"), "not_configured").otherwise("partial_failure")
     m = mappings.groupBy("run_id").agg(F.countDistinct("evidence_id").alias("mapped_evidence"))
     c = completions.groupBy("run_id").agg(*[F.count_if(F.col("verdict") == v).alias(f"{v}_count") for v in ("match", "mismatch")])

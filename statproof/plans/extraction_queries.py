@@ -24,7 +24,7 @@ def b01(spark, d):
 
 def b01_spans(spark, d):
     """Spans must cut the raw text back out of the sentence."""
-    q = sentences(spark, d).select(*KEYS, "sentence", F.posexplode(tx.quantities(op.S)).alias("i", "q"))
+    q = sentences(spark, d).select(*KEYS, "sentence", F.posexplode(tx.quantities(op.S())).alias("i", "q"))
     cut = tx.strip(F.substring("sentence", F.col("q.span_start") + 1, F.col("q.span_end") - F.col("q.span_start")))
     return q.select(*KEYS, F.col("i").cast("long").alias("q_idx"), cut.alias("cut"))
 

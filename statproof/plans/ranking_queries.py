@@ -65,7 +65,7 @@ def c07(spark, d):
 
 def _profiled(t):
     # One profile per claim, computed before its hits multiply it; the exploded struct keeps it from being re-run.
-    profiles = t.order_sentences.select("claim_id", F.explode(F.array(tx.claim_profile(extraction.S))).alias("profile"))
+    profiles = t.order_sentences.select("claim_id", F.explode(F.array(tx.claim_profile(extraction.S()))).alias("profile"))
     return _hits(t).join(profiles, "claim_id")
 
 
