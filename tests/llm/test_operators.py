@@ -243,29 +243,67 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 and bands * rows <= 144
 
 
-@pytest.mark.parametrize("hot,wide,flush", [(64, 256, 1 << 20), (2, 1, 40)])
-def test_suffix_dedup(docs, rows, spark, hot, wide, flush, monkeypatch):
-    """The second setting sends every bucket through the path for large ones."""
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
-    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
-    line = "this common line of more than a hundred bytes stands in many documents with different words on both of its sides. "
-    more = rows + [(100 + i, f"{i * 7919} start{i} " + line + f"tail{i * 31} and {i}") for i in range(40)]
+LINE = "this common line of more than a hundred bytes stands in many documents with different words on both of its sides. "
+
+
+def test_suffix_dedup(rows, spark):
+    more = rows + [(100 + i, f"{i * 7919} start{i} " + LINE + f"tail{i * 31} and {i}") for i in range(80)]
     expected = brute.removed(more)
     df = spark.createDataFrame(more, "doc_id long, text string").repartition(4)
     for r in suffix_dedup.remove_repeats(df).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id]
 
 
-def test_ranks_are_exact():
-    raw = np.frombuffer(b"ab" * 90 + b"abc" * 60, np.uint8)
-    starts = np.arange(len(raw) - suffix_dedup.WIDTH + 1)
-    bucket = suffix_dedup.ranks(raw, starts)
-    body = raw.tobytes()
-    first = {}
-    for s, b in zip(starts.tolist(), bucket.tolist()):
-        assert first.setdefault(body[s:s + suffix_dedup.WIDTH], b) == b
-    assert len(set(first.values())) == len(first)
+@pytest.mark.parametrize("hot,piece,flush", [(64, 1 << 22, 1 << 20), (2, 900, 40), (1, 3000, 400)])
+def test_suffix_dedup_steps_with_small_limits(hot, piece, flush, monkeypatch):
+    """The steps one after another in this process: hot buckets, cut documents and small folds give the same result."""
+    import pandas as pd
+    import pyarrow as pa
+    for name, value in (("HOT", hot), ("PIECE", piece), ("FLUSH", flush)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    texts = awkward_texts() + [f"{i * 7919} start{i} " + LINE + f"tail{i * 31} and {i}" for i in range(40)]
+    rows = list(enumerate(texts))
+    table = [pa.RecordBatch.from_pydict({"_key": [i for i, _ in rows[k::3]], "_text": [t or "" for _, t in rows[k::3]]}) for k in range(3)]
+    packed = [p for p in suffix_dedup._pack(iter(table))]
+    tasks = [pa.RecordBatch.from_arrays([p.column(0), p.column(0), p.column(1)], names=["row", "_key", "_packed"]) for p in packed]
+
+    def frame(batches):
+        return pd.concat([b.to_pandas() for b in batches])
+    anchors = frame(b for t in tasks for b in suffix_dedup._anchors(iter([t]))).sort_values(["slot", "context", "k", "row", "p"])
+    split = [pa.RecordBatch.from_pandas(anchors.iloc[i:i + 50], preserve_index=False) for i in range(0, len(anchors), 50)]
+    marks = frame(suffix_dedup._classify(iter(split)))
+    bodies = {i: body for t in tasks for i, body in zip(t.column(0).to_pylist(), t.column(2).to_pylist())}
+    wanted = marks[marks.status == suffix_dedup.OPEN].groupby("row").p.apply(list)
+    contexts = frame(
+        b for r, p in wanted.items() for b in suffix_dedup._contexts(iter([pa.RecordBatch.from_pydict({"row": [r], "_key": [r], "_packed": [bodies[r]], "marks": [p]})])))
+    contexts["_row"] = range(len(contexts))
+    cores = frame(suffix_dedup._cores(iter([pa.RecordBatch.from_pandas(contexts[["_row", "far", "body"]], preserve_index=False)])))
+    cores["n"] = cores.groupby(["a", "b"]).id.transform("count")
+    live = cores[cores.n > 1].groupby("id").group.apply(lambda g: sorted(set(g))).rename("groups")
+    met = contexts.merge(live, left_on="_row", right_index=True)[["k", "row", "first", "far", "body", "groups"]]
+    windows = frame(b for k in range(2) for b in suffix_dedup._windows(iter([pa.RecordBatch.from_pandas(met.iloc[k::2], preserve_index=False)])))
+    single = windows[~windows.known].sort_values(["k", "row", "first"])
+    again = single[single.duplicated(["a", "b"])]
+    full = marks[marks.status == suffix_dedup.FULL]
+    runs = [(row, (p >> 20) - (p >> 12 & 255), (p >> 20) - (p >> 4 & 255)) for row, p in zip(full.row.tolist(), full.p.tolist())]
+    runs += [(r.row, r["first"], r["last"]) for part in (windows[windows.known], again) for _, r in part.iterrows()]
+    expected = brute.removed(rows)
+    for i, text in rows:
+        gone = bytearray(len((text or "").encode()))
+        for r, first, last in runs:
+            if r == i:
+                gone[first:last + suffix_dedup.WIDTH] = b"\1" * (last + suffix_dedup.WIDTH - first)
+        assert sum(gone) == expected[i][1]
+
+
+def test_anchors_own_every_window_once():
+    rng = random.Random(9)
+    bodies = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (100, 101, 400)] + [b"x" * 300]
+    begins = np.cumsum([0, *map(len, bodies)])[:-1]
+    _, _, piece, at, first, last = suffix_dedup.anchors(np.frombuffer(b"".join(bodies), np.uint8), [len(b) - 99 for b in bodies], begins.tolist())
+    owned = [(i, p) for i, f, e in zip(piece.tolist(), first.tolist(), last.tolist()) for p in range(f, e + 1)]
+    assert owned == [(i, begin + p) for i, (begin, b) in enumerate(zip(begins.tolist(), bodies)) for p in range(len(b) - 99)]
+    assert ((at >= last) & (at - first <= suffix_dedup.SPAN)).all()
 
 
 def test_licenses(docs, rows):
