@@ -56,13 +56,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
         joined = F.concat_ws(" ", word, F.get("_words", i + 1))
         return F.struct(i.alias("pos"), F.xxhash64(joined).alias("hash"), joined.alias("gram"))
     marker = F.array(F.struct(F.lit(-1).alias("pos"), F.xxhash64(F.lit("")).alias("hash"), F.lit("").alias("gram")))
+    table = template_table(df.sparkSession, templates)  # a hundred rows or so, whatever the data
     hits = (rows.select("_row", "_key", F.size("_words").cast("long").alias("n_words"), F.explode(F.concat(marker, F.transform("_words", gram))).alias("g"))
             .select("_row", "_key", "n_words", "g.*")
-            .join(F.broadcast(template_table(df.sparkSession, templates)), ["hash", "gram"])  # a hundred rows or so, whatever the data
-            .select("_row", "_key", "n_words", "template", "grams", "words", "label", "base", "pos", (F.col("pos") - F.col("at")).alias("diagonal")))
+            .join(F.broadcast(table.select("hash", "gram", "template", "at")), ["hash", "gram"])
+            .select("_row", "_key", "n_words", "template", "pos", (F.col("pos") - F.col("at")).alias("diagonal")))
     of_span = ["_row", "_key", "n_words", "template", "grams", "words", "label", "base"]
-    diagonals = (hits.repartition("_row").groupBy(*of_span, "diagonal")
-                 .agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("end")))
+    diagonals = (hits.repartition("_row").groupBy("_row", "_key", "n_words", "template", "diagonal")
+                 .agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+                 .join(F.broadcast(table.select("template", "grams", "words", "label", "base").distinct()), "template"))
     near = Window.partitionBy("_row", "template").orderBy("diagonal")
     apart = (F.col("base") | (F.col("diagonal") - F.lag("diagonal", 1).over(near) > GAP)).cast("int")
     spans = (diagonals.withColumn("span", F.coalesce(apart, F.lit(1))).withColumn("span", F.sum("span").over(near))
