@@ -11,14 +11,14 @@ BUCKETS = 256
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`.  Where it is unset, a local session gets a temporary folder (tests); on a
     cluster that is an error, because other executors do not see a machine-local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="statproof-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="statproof-shared-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def stable(df: DataFrame) -> DataFrame:
