@@ -47,6 +47,24 @@ def with_row_number(df: DataFrame, key: str, name: str = "row_number", buckets:
             .withColumn(name, F.row_number().over(inner) + F.col("_offset")).drop("_bucket", "_offset"))
 
 
+def value_positions(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """(value, lo, hi, total): a value of the sorted column stands at the 0-based positions lo..hi-1 of `total`.
+
+    Works on the histogram of values: each bucket of the value range sums its own counts and starts after the exact count
+    of the buckets before it, so no task orders all values.  Nulls have no position."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    steps = F.array(*[F.lit((i + 1) / (buckets + 1)) for i in range(buckets)])
+    bounds = hist.agg(F.percentile_approx("value", steps, 10 * buckets).alias("b")).scalar()
+    marked = (hist.withColumn("_bounds", bounds)
+              .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds"))
+    order = Window.orderBy("_bucket")
+    starts = (marked.groupBy("_bucket").agg(F.sum("_n").alias("_sum"))
+              .select("_bucket", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+                      F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")))
+    hi = F.sum("_n").over(Window.partitionBy("_bucket").orderBy("value")) + F.col("_start")
+    return marked.join(F.broadcast(starts), "_bucket").withColumn("hi", hi).select("value", (F.col("hi") - F.col("_n")).alias("lo"), "hi", "total")
+
+
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
     """One row per key.  `row_number() = 1` lets Spark drop losers map-side (window group limit), so a hot key sends
     at most one row per map task through the shuffle."""

@@ -8,6 +8,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from statproof.functions import lexicon as lx, text as tx
+from statproof.functions.scale import value_positions
 from statproof.operators.extraction import _rule_label
 
 ARTICLE_END = r"(?s)(?:관련 기사|기자 프로필|기자 약력|구독).*$"
@@ -98,8 +99,15 @@ def quantity_type(unit: Column) -> Column:
 def structure_stats(df: DataFrame, value: str) -> DataFrame:
     """min, max, mean, interpolated median, nearest-rank quartiles and outlier bounds (four rows or more)."""
     v = F.col(value)
-    a = df.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"), F.median(v).alias("median"),
-               F.expr(f"percentile_disc(0.25) WITHIN GROUP (ORDER BY {value})").cast("double").alias("q1"), F.expr(f"percentile_disc(0.75) WITHIN GROUP (ORDER BY {value})").cast("double").alias("q3"))
+    a = df.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"))
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= position) & (position < F.col("hi")), F.col("value")).cast("double"))
+    total = F.col("total")
+    places = value_positions(df, value).agg(F.struct(
+        ((at(F.floor((total - 1) / 2)) + at(F.ceil((total - 1) / 2))) / 2).alias("median"),
+        at(F.ceil(total * 0.25) - 1).alias("q1"), at(F.ceil(total * 0.75) - 1).alias("q3")).alias("q")).scalar()
+    a = a.withColumn("_q", places).select("*", "_q.*").drop("_q")
     iqr = F.col("q3") - F.col("q1")
     return (a.withColumn("low", F.when(F.col("n") >= 4, F.col("q1") - 1.5 * iqr)).withColumn("high", F.when(F.col("n") >= 4, F.col("q3") + 1.5 * iqr)))
 
