@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import numbered, written
+from .shared import written
 
 LOCAL = "A-Za-z0-9._%+-"
 KINDS = ("email", "ip", "card", "phone", "ssn")
@@ -59,9 +59,11 @@ def _vote(for_: Column, against: Column | None = None) -> Column:
     return F.when(for_, 1).when(F.lit(True) if against is None else against, -1).otherwise(0)
 
 
-def candidates(rows: DataFrame, text: str) -> DataFrame:
-    """_row, form, kind, base, start, end (code points) and the votes of every candidate, from a stored table."""
-    found = rows.select("_row", F.col(text).alias("body"))
+def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """A stored table of (_row, _key, _hash) and the matches of every form in each row's text; a row without matches
+    has one line of nulls.  `_row` is unique and stored with the matches; texts are read once and not copied."""
+    body = F.col(text).cast("string")
+    found = df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.xxhash64(body).alias("_hash"), body.alias("body"))
     for n, (_, pattern, _) in enumerate(FORMS):
         found = found.withColumn(f"m{n}", F.regexp_extract_all("body", F.lit(pattern), F.lit(0)))
 
@@ -72,10 +74,15 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
             F.lit(n).alias("form"), i.alias("i"), z["m"].alias("match"), z["p"]["gap"].alias("gap"), z["p"]["before"].alias("before"), z["p"]["first"].alias("first")))
     parts = [F.when(F.size(f"m{n}") > 0, located(n, pattern)) for n, (_, pattern, _) in enumerate(FORMS)]
     empty = F.array().cast("array<struct<form:int,i:int,match:string,gap:int,before:string,first:string>>")
-    raw = written(found.select("_row", F.explode(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("x")).select("_row", "x.*"), "candidates")
+    every = F.explode_outer(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("x")
+    return written(found.select("_row", "_key", "_hash", every).select("_row", "_key", "_hash", "x.*"), "candidates")
+
+
+def _voted(raw: DataFrame) -> DataFrame:
+    """_row, kind, base, start, end (code points) and the votes of every candidate."""
     order = Window.partitionBy("_row", "form").orderBy("i")
     ended = F.sum(F.col("gap") + F.coalesce(F.length("match"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = (raw.withColumn("end", ended).withColumn("after", F.lead("first").over(order)).where("match is not null")
+    placed = (raw.where("form is not null").withColumn("end", ended).withColumn("after", F.lead("first").over(order)).where("match is not null")
               .withColumn("start", F.col("end") - F.length("match")))
     kind = F.lit(None).cast("string")
     for n, (name, _, _) in enumerate(FORMS):
@@ -126,9 +133,9 @@ def train(patterns: list[tuple], steps: int = 2000) -> dict[str, float]:
     return dict(zip(names, map(float, weights)))
 
 
-def spans(rows: DataFrame, text: str) -> DataFrame:
-    """_row, kind, start, end, base of the spans that stay, from a stored table."""
-    voted = written(candidates(rows, text), "voted")
+def spans(raw: DataFrame) -> DataFrame:
+    """_row, kind, start, end, base of the spans that stay, from stored candidates."""
+    voted = written(_voted(raw), "voted")
     patterns = [tuple(r) for r in voted.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *LABELERS).collect()]  # at most 405 rows
     weights = train(patterns)
     logit = F.lit(0.0)
@@ -153,31 +160,33 @@ def _listed(condition: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(condition, item))), lambda x: x["s"]), ",")
 
 
-def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    others = [F.col(f"`{c}`") for c in df.columns if c not in (key, text)] or [F.lit(0).alias("none")]
-    return df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.struct(*others).alias("_rest"))
-
-
 def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Null and empty texts hold no span (empty lists).  Repeated rows and null keys give a row each; an empty table gives
     no rows; other columns are not read."""
-    rows = numbered(_rows(df.select(key, text), key, text).drop("_rest"), "pii-rows")
+    raw = candidates(df, key, text)
     counts = [F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS[:4]]
-    found = spans(rows, "_text").groupBy("_row").agg(*counts, _listed(F.col("base")).alias("_base"), _listed(F.lit(True)).alias("spans"))
-    return (rows.select("_row", F.col("_key").alias(key)).join(found, "_row", "left")
+    found = spans(raw).groupBy("_row").agg(*counts, _listed(F.col("base")).alias("_base"), _listed(F.lit(True)).alias("spans"))
+    return (raw.select("_row", F.col("_key").alias(key)).distinct().join(found, "_row", "left")
             .select(key, *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS[:4]],
                     F.sha2(F.coalesce("_base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")))
 
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input with every span replaced by its kind in brackets; overlapping spans by one bracket each."""
-    rows = numbered(_rows(df, key, text), "pii-rows")
+    """The input with every span replaced by its kind in brackets; overlapping spans by one bracket each.
+
+    Cuts find their rows by key and text hash: rows equal in both have the same text, and so the same cuts."""
+    raw = candidates(df, key, text)
     order = Window.partitionBy("_row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    cut = spans(rows, "_text").withColumn("done", F.coalesce(F.max("end").over(order), F.lit(0)))
+    cut = spans(raw).withColumn("done", F.coalesce(F.max("end").over(order), F.lit(0)))
     cut = cut.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "done"))).alias("_cut"), F.max("end").alias("_last"))
-    pieces = F.transform("_cut", lambda s: F.concat(F.substring(F.col("_text"), s["done"] + 1, F.greatest(s["start"] - s["done"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    shown = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.concat(F.array_join(pieces, ""), F.substring(F.col("_text"), F.col("_last") + 1, F.length("_text"))))
-    named = {key: F.col("_key").alias(key), text: shown.alias(text)}
-    return rows.join(cut, "_row", "left").select(*[named.get(c, F.col("_rest").getField(c).alias(c)) for c in df.columns])
+    cut = raw.select("_row", "_key", "_hash").distinct().join(cut, "_row").groupBy("_key", "_hash").agg(F.min(F.struct("_cut", "_last")).alias("_c"))
+    body = F.col("_text")
+    pieces = F.transform("_c._cut", lambda s: F.concat(F.substring(body, s["done"] + 1, F.greatest(s["start"] - s["done"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    shown = F.when(F.col("_c").isNull(), body).otherwise(F.concat(F.array_join(pieces, ""), F.substring(body, F.col("_c._last") + 1, F.length(body))))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (key, text)] or [F.lit(0).alias("none")]
+    rows = df.select(F.col(key).alias("_own"), F.col(text).cast("string").alias("_text"), F.struct(*others).alias("_rest"))
+    met = rows.join(cut, F.col("_own").eqNullSafe(F.col("_key")) & (F.xxhash64("_text") == F.col("_hash")), "left")
+    named = {key: F.col("_own").alias(key), text: shown.alias(text)}
+    return met.select(*[named.get(c, F.col("_rest").getField(c).alias(c)) for c in df.columns])
