@@ -8,10 +8,12 @@ at the same offset, and an anchor (a chosen q-gram) owns the run of windows that
    later offset (8, 16, 32, 64, 100 bytes), and the identifier of all bytes that an anchor's windows cover refines its
    bucket.  Buckets of one anchor are finished (nothing repeats).  An anchor that is not the first of its refined bucket
    is finished too: all its windows repeat.  So is the first one if its q-gram bucket holds no other refined bucket.
-2. The rest, the first anchors of different surroundings of one q-gram, are refined to single windows on 128-bit
-   identifiers built by the same doubling.  First the bytes that `GROUP` neighbouring windows have in common: where
-   these occur once, none of the windows repeats.  Then the windows themselves; a task folds equal ones before they
-   leave it, and minima are combined before the shuffle, so no bucket is ever gathered in one task.
+2. The rest, the first anchors of different surroundings of one q-gram, are refined to single windows.  In buckets of
+   at most `WIDE` surroundings (some 70 KB) this is exact bucket-pointer refinement inside a task: ranks of 4 bytes, then
+   of 8, 16, 32, 64 and 100 by sorting on the ranks at later offsets.  Larger buckets (a common line, a large group of
+   near copies) are never gathered: they are refined on 128-bit identifiers built by the same doubling, first on the
+   bytes that `GROUP` neighbouring windows have in common (where these occur once, none of the windows repeats), then
+   on the windows; a task folds equal ones before they leave it, and minima are combined before the shuffle.
 3. Repeated windows meet their document again and the covered bytes go.
 
 Copies inside one task are folded before any shuffle, so a text or passage held by a third of the rows sends one anchor
@@ -35,11 +37,12 @@ SPAN = WIDTH - GRAM       # a window holds SPAN + 1 q-grams
 PIECE = 1 << 22           # windows of a document per array
 FLUSH = 1 << 20           # anchors folded at once
 HOT = 64                  # surroundings of one q-gram in one task
+WIDE = 512                # surroundings of one q-gram that one task may refine
 GROUP = 8                 # neighbouring windows refined together
 CORE = WIDTH - GROUP + 1  # bytes they have in common
 LAST = (1 << 63) - 1
 OWN, SPREAD, MARKER, FOLDED = range(4)
-FULL, OPEN = range(2)
+FULL, OPEN, OPEN_WIDE = range(3)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -146,12 +149,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by slot, context, key, row, offset."""
-    names = "row long, p long, status int"
+    names = "row long, p long, status int, slot long"
 
     def judge(slot, context, k, row, p):
         kind = p & 15
         alone = kind == FOLDED
-        out = [(row[alone], p[alone], np.full(alone.sum(), FULL))]
+        out = [(row[alone], p[alone], np.full(alone.sum(), FULL), slot[alone])]
         slot, context, row, p, kind = (x[~alone] for x in (slot, context, row, p, kind))
         if len(slot):
             new = np.concatenate([[True], slot[1:] != slot[:-1]])
@@ -161,9 +164,10 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = np.bincount(number, kind != OWN)[number] > 0
             kinds = np.bincount(number, first)[number]
             keep = real & (~first | marked | (kinds > 1))
-            out.append((row[keep], p[keep], np.where(first, OPEN, FULL)[keep]))
-        row, p, status = map(np.concatenate, zip(*out))
-        return _rows([row, p, status.astype(np.int32)], names)
+            status = np.where(first, np.where(marked | (kinds > WIDE), OPEN_WIDE, OPEN), FULL)
+            out.append((row[keep], p[keep], status[keep], slot[keep]))
+        row, p, status, slot = map(np.concatenate, zip(*out))
+        return _rows([row, p, status.astype(np.int32), slot], names)
     held = None
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
@@ -177,16 +181,16 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the windows of each open anchor: key, row, first window, how far the anchor is behind it, bytes."""
+    """The bytes of the windows of each open anchor, with key, row, first window, and how far the anchor is behind it."""
     for batch in batches:
         out = []
         for row, key, packed, marks in zip(*(c.to_pylist() for c in batch.columns)):
             body = _text(packed)
-            for p in marks:
-                at, far, near = p >> 20, p >> 12 & 255, p >> 4 & 255
-                out.append((LAST if key is None else key, row, at - far, far, body[at - far:at - near + WIDTH]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["k", "row", "first", "far", "body"])
+            for mark in marks:
+                at, far, near = mark["p"] >> 20, mark["p"] >> 12 & 255, mark["p"] >> 4 & 255
+                out.append((mark["slot"], mark["status"], LAST if key is None else key, row, at - far, far, body[at - far:at - near + WIDTH]))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=["slot", "status", "k", "row", "first", "far", "body"])
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +205,40 @@ def _joined(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def ranks(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Exact bucket numbers of the windows at `starts`: q-gram buckets refined by the buckets at later offsets."""
+    code = raw.astype(np.int64)
+    bucket, size = np.unique(code[:-3] << 24 | code[1:-2] << 16 | code[2:-1] << 8 | code[3:], return_inverse=True)[1], 4
+    while size < WIDTH:
+        step = min(size, WIDTH - size)
+        left, right = (bucket[:-step], bucket[step:]) if size + step < WIDTH else (bucket[starts], bucket[starts + step])
+        bucket, size = np.unique(left * (int(bucket.max()) + 1) + right, return_inverse=True)[1], size + step
+    return bucket
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows among the contexts of whole q-gram buckets; rows come by slot."""
+    def repeated(rows):
+        k, row, first = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+        raw, begins, sizes = _joined([r[4] for r in rows])
+        starts, which = _spread(begins, begins + sizes - WIDTH)
+        k, row, at = k[which], row[which], first[which] + starts - begins[which]
+        bucket = ranks(raw, starts)
+        order = np.lexsort((at, row, k, bucket))
+        again = order[1:][bucket[order][1:] == bucket[order][:-1]]
+        return _rows([row[again], at[again], at[again]], "row long, first long, last long")
+    held, size = [], 0
+    for batch in batches:
+        for item in zip(*(c.to_pylist() for c in batch.columns)):
+            if size > PIECE and item[0] != held[-1][0]:
+                yield repeated(held)
+                held, size = [], 0
+            held.append(item)
+            size += len(item[4])
+    if held:
+        yield repeated(held)
+
+
 def _both(raw: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
     return [_identifiers(raw, seed, size)[starts].view(np.int64) for seed in (3, 5)]
 
@@ -285,9 +323,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     packed = df.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(_pack, "_key long, _packed binary")
     packed = numbered(packed, "packed").select(F.col("_row").alias("row"), "_key", "_packed")
     marks = written(packed.mapInArrow(_anchors, _ANCHOR).repartition(size, "slot").sortWithinPartitions("slot", "context", "k", "row", "p")
-                    .mapInArrow(_classify, "row long, p long, status int"), "anchors")
-    wanted = marks.where(f"status = {OPEN}").groupBy("row").agg(F.collect_list("p").alias("marks"))
-    contexts = numbered(packed.join(wanted, "row").mapInArrow(_contexts, "k long, row long, first long, far long, body binary"), "contexts")
+                    .mapInArrow(_classify, "row long, p long, status int, slot long"), "anchors")
+    wanted = marks.where(f"status <> {FULL}").groupBy("row").agg(F.collect_list(F.struct("p", "status", "slot")).alias("marks"))
+    contexts = numbered(packed.join(wanted, "row").mapInArrow(_contexts, "slot long, status int, k long, row long, first long, far long, body binary"), "contexts")
+    narrow = (contexts.where(f"status = {OPEN}").select("slot", "k", "row", "first", "body").repartition(size, "slot").sortWithinPartitions("slot")
+              .mapInArrow(_refine, "row long, first long, last long"))
+    contexts = contexts.where(f"status = {OPEN_WIDE}")
     cores = written(contexts.select("_row", "far", "body").mapInArrow(_cores, "a long, b long, id long, group long"), "cores")
     common = cores.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     live = cores.join(common, ["a", "b"]).groupBy(F.col("id").alias("_row")).agg(F.collect_set("group").alias("groups"))
@@ -298,6 +339,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     repeated = single.join(earliest, ["a", "b"]).where(place != F.col("place")).select("row", "first", "last")
     at = F.shiftright("p", 20)
     full = marks.where(f"status = {FULL}").select("row", (at - F.shiftright("p", 12).bitwiseAND(255)).alias("first"), (at - F.shiftright("p", 4).bitwiseAND(255)).alias("last"))
-    runs = full.unionByName(windows.where("known").select("row", "first", "last")).unionByName(repeated).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = full.unionByName(narrow).unionByName(windows.where("known").select("row", "first", "last")).unionByName(repeated).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     return (packed.join(runs, "row", "left").select("_key", "_packed", "runs")
             .mapInArrow(_cut, "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("_key", key))

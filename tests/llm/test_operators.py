@@ -254,12 +254,12 @@ def test_suffix_dedup(rows, spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id]
 
 
-@pytest.mark.parametrize("hot,piece,flush", [(64, 1 << 22, 1 << 20), (2, 900, 40), (1, 3000, 400)])
-def test_suffix_dedup_steps_with_small_limits(hot, piece, flush, monkeypatch):
+@pytest.mark.parametrize("hot,wide,piece,flush", [(64, 512, 1 << 22, 1 << 20), (2, 1, 900, 40), (1, 4, 3000, 400), (64, 0, 3000, 1 << 20)])
+def test_suffix_dedup_steps_with_small_limits(hot, wide, piece, flush, monkeypatch):
     """The steps one after another in this process: hot buckets, cut documents and small folds give the same result."""
     import pandas as pd
     import pyarrow as pa
-    for name, value in (("HOT", hot), ("PIECE", piece), ("FLUSH", flush)):
+    for name, value in (("HOT", hot), ("WIDE", wide), ("PIECE", piece), ("FLUSH", flush)):
         monkeypatch.setattr(suffix_dedup, name, value)
     texts = awkward_texts() + [f"{i * 7919} start{i} " + LINE + f"tail{i * 31} and {i}" for i in range(40)]
     rows = list(enumerate(texts))
@@ -273,20 +273,26 @@ def test_suffix_dedup_steps_with_small_limits(hot, piece, flush, monkeypatch):
     split = [pa.RecordBatch.from_pandas(anchors.iloc[i:i + 50], preserve_index=False) for i in range(0, len(anchors), 50)]
     marks = frame(suffix_dedup._classify(iter(split)))
     bodies = {i: body for t in tasks for i, body in zip(t.column(0).to_pylist(), t.column(2).to_pylist())}
-    wanted = marks[marks.status == suffix_dedup.OPEN].groupby("row").p.apply(list)
+    opened = marks[marks.status != suffix_dedup.FULL]
+    wanted = {r: g[["p", "status", "slot"]].to_dict("records") for r, g in opened.groupby("row")}
     contexts = frame(
         b for r, p in wanted.items() for b in suffix_dedup._contexts(iter([pa.RecordBatch.from_pydict({"row": [r], "_key": [r], "_packed": [bodies[r]], "marks": [p]})])))
     contexts["_row"] = range(len(contexts))
-    cores = frame(suffix_dedup._cores(iter([pa.RecordBatch.from_pandas(contexts[["_row", "far", "body"]], preserve_index=False)])))
-    cores["n"] = cores.groupby(["a", "b"]).id.transform("count")
-    live = cores[cores.n > 1].groupby("id").group.apply(lambda g: sorted(set(g))).rename("groups")
-    met = contexts.merge(live, left_on="_row", right_index=True)[["k", "row", "first", "far", "body", "groups"]]
-    windows = frame(b for k in range(2) for b in suffix_dedup._windows(iter([pa.RecordBatch.from_pandas(met.iloc[k::2], preserve_index=False)])))
-    single = windows[~windows.known].sort_values(["k", "row", "first"])
-    again = single[single.duplicated(["a", "b"])]
+    narrow = contexts[contexts.status == suffix_dedup.OPEN].sort_values("slot")[["slot", "k", "row", "first", "body"]]
+    refined = list(suffix_dedup._refine(iter([pa.RecordBatch.from_pandas(narrow, preserve_index=False)] if len(narrow) else [])))
+    contexts = contexts[contexts.status == suffix_dedup.OPEN_WIDE]
+    runs = [(r["row"], r["first"], r["last"]) for b in refined for r in b.to_pylist()]
+    if len(contexts):
+        cores = frame(suffix_dedup._cores(iter([pa.RecordBatch.from_pandas(contexts[["_row", "far", "body"]], preserve_index=False)])))
+        cores["n"] = cores.groupby(["a", "b"]).id.transform("count")
+        live = cores[cores.n > 1].groupby("id").group.apply(lambda g: sorted(set(g))).rename("groups")
+        met = contexts.merge(live, left_on="_row", right_index=True)[["k", "row", "first", "far", "body", "groups"]]
+        windows = frame(b for k in range(2) for b in suffix_dedup._windows(iter([pa.RecordBatch.from_pandas(met.iloc[k::2], preserve_index=False)])))
+        single = windows[~windows.known].sort_values(["k", "row", "first"])
+        again = single[single.duplicated(["a", "b"])]
+        runs += [(r.row, r["first"], r["last"]) for part in (windows[windows.known], again) for _, r in part.iterrows()]
     full = marks[marks.status == suffix_dedup.FULL]
-    runs = [(row, (p >> 20) - (p >> 12 & 255), (p >> 20) - (p >> 4 & 255)) for row, p in zip(full.row.tolist(), full.p.tolist())]
-    runs += [(r.row, r["first"], r["last"]) for part in (windows[windows.known], again) for _, r in part.iterrows()]
+    runs += [(row, (p >> 20) - (p >> 12 & 255), (p >> 20) - (p >> 4 & 255)) for row, p in zip(full.row.tolist(), full.p.tolist())]
     expected = brute.removed(rows)
     for i, text in rows:
         gone = bytearray(len((text or "").encode()))
@@ -296,6 +302,15 @@ def test_suffix_dedup_steps_with_small_limits(hot, piece, flush, monkeypatch):
         assert sum(gone) == expected[i][1]
 
 
+def test_ranks_are_exact():
+    raw = np.frombuffer(b"ab" * 90 + b"abc" * 60, np.uint8)
+    starts = np.arange(len(raw) - suffix_dedup.WIDTH + 1)
+    body, first = raw.tobytes(), {}
+    for s, b in zip(starts.tolist(), suffix_dedup.ranks(raw, starts).tolist()):
+        assert first.setdefault(body[s:s + suffix_dedup.WIDTH], b) == b
+    assert len(set(first.values())) == len(first)
+
+
 def test_anchors_own_every_window_once():
     rng = random.Random(9)
     bodies = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (100, 101, 400)] + [b"x" * 300]
