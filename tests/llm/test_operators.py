@@ -330,6 +330,19 @@ def test_licenses(docs, rows):
     assert "mit" in found[22].labels and "cc-by-nc" in found[20].labels
 
 
+def test_license_wordings(spark):
+    passage = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without any fee is hereby granted, provided that the "
+               "above copyright notice and this permission notice appear in all copies.")
+    wanted = {"Distributed under the MIT License.": "mit", "(c) X, CC BY-NC 4.0": "cc-by,cc-by-nc", "Apache License, Version 2.0": "apache-2.0", "Apache-2.0 is not named": "",
+              passage: "isc", "This file is under the Eclipse Public License - v 2.0": "epl-2.0", "CC0 1.0 Universal": "cc0", "CC BY-SA 4.0": "cc-by,cc-by-sa",
+              "CC BY-NC-SA 4.0 and then CC BY-NC 4.0": "cc-by,cc-by-nc,cc-by-nc-sa", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+              "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+              "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3":
+              "gpl,lgpl,lgpl-3.0", "mit license" + " word" * 3 + " licence": "mit", "the permit licence": ""}
+    out = licenses.scan(spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")).collect()
+    assert {list(wanted)[r.doc_id]: r.labels for r in out} == wanted
+
+
 def test_sharding(docs, rows):
     found = sharding.place(docs, sharding.uniform_tree(8)).collect()
     slots = {}
