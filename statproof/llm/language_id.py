@@ -4,21 +4,26 @@ Per language a byte context tree of orders 0 to `ORDER` is counted on a bounded
 frozen.  The code length of a byte is -log2 of its probability in the longest context that has been followed by it;
 every longer context first pays its escape probability (method C: distinct followers / (count + distinct followers)),
 and a byte never seen pays the uniform code.  Frozen statistics make the code length a function of the last
-`ORDER` + 1 bytes, so it is tabulated per context and byte for all languages at once, in 1/65,536 bits, and summed as
-integers: exact, and independent of batches.  Texts are scored whole; each starts after `ORDER` zero bytes.
+`ORDER` + 1 bytes, so it is tabulated per context and byte for `GROUP` languages at once, in 1/65,536 bits, and summed as
+integers: exact, and independent of batches and groups.  Texts are scored whole; each starts after `ORDER` zero bytes.
 """
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .shared import written
+
 ORDER = 3
 SAMPLE_DOCS = 256        # labelled texts per language
-SAMPLE_BYTES = 1 << 16   # longer texts are not learned from; they are scored whole like all others
-LANGUAGES = 64
+SAMPLE_BYTES = 1 << 16   # longer texts are learned from only where a language has no others; all are scored whole
+GROUP = 4                # languages in one table; a worker holds one table at a time when there are several
+CELLS = 1 << 22          # code lengths (texts x languages) held at a time
 SAMPLE_TASKS = 8         # the sample is small: few tasks count it, so few tasks send the same grams
 BIT = 65_536
 
@@ -98,67 +103,126 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            texts.setdefault(lang, []).append(bytes(ORDER) + text.encode())
+            body = bytes(ORDER) + text.encode()
+            # Pieces of a long text overlap by the context of their first byte.
+            texts.setdefault(lang, []).extend(body[i:i + SAMPLE_BYTES + ORDER] for i in range(0, len(body) - ORDER, SAMPLE_BYTES))
         for lang, bodies in texts.items():
-            for order in range(ORDER + 1):
-                grams = []
-                for body in bodies:
-                    raw = np.frombuffer(body, np.uint8).astype(np.int64)
-                    gram = np.zeros(len(raw) - ORDER, np.int64)
-                    for i in range(order + 1):
-                        gram |= raw[ORDER - i:len(raw) - i] << 8 * i
-                    grams.append(gram)
-                values, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(np.full(len(values), order, np.int32)), pa.array(values), pa.array(n.astype(np.int64))], names=["lang", "order", "gram", "n"])
-
-
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Scorer:
-    """Statistics of labelled texts.  Of each language, at most one text in each of `SAMPLE_DOCS` hash classes of the
-    key is read, whole, and none longer than `SAMPLE_BYTES`; so what reaches the driver is bounded by
-    `LANGUAGES` * `SAMPLE_DOCS` * `SAMPLE_BYTES`.  Rows without key, text or label teach nothing."""
+            for first in range(0, len(bodies), SAMPLE_DOCS):
+                for order in range(ORDER + 1):
+                    grams = []
+                    for body in bodies[first:first + SAMPLE_DOCS]:
+                        raw = np.frombuffer(body, np.uint8).astype(np.int64)
+                        gram = np.zeros(len(raw) - ORDER, np.int64)
+                        for i in range(order + 1):
+                            gram |= raw[ORDER - i:len(raw) - i] << 8 * i
+                        grams.append(gram)
+                    values, n = np.unique(np.concatenate(grams), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(np.full(len(values), order, np.int32)), pa.array(values), pa.array(n.astype(np.int64))], names=["lang", "order", "gram", "n"])
+
+
+def _tables(numbers: dict[str, int]):
+    """The pickled scorer of each group of languages, from its rows of (group, lang, order, gram, n)."""
+    names = sorted(numbers, key=numbers.get)
+
+    def run(table: pa.Table) -> pa.Table:
+        group = table.column("group")[0].as_py()
+        columns = [table.column(c).to_pylist() for c in ("lang", "order", "gram", "n")]
+        scorer = Scorer(names[group * GROUP:(group + 1) * GROUP], [(numbers[lang] % GROUP, order, gram, n) for lang, order, gram, n in zip(*columns)])
+        return pa.table({"group": pa.array([group], pa.int32()), "scorer": pa.array([pickle.dumps(scorer, pickle.HIGHEST_PROTOCOL)], pa.binary())})
+    return run
+
+
+def _chosen(rows: list) -> list[tuple]:
+    """(lang, class, size, key) of the texts to learn from, of rows (lang, class, best): those of at most `SAMPLE_BYTES`, or
+    for a language without such texts its shortest ones, as many as make `SAMPLE_DOCS` * `SAMPLE_BYTES` and at least one."""
+    found = defaultdict(list)
+    for lang, klass, best in rows:
+        found[lang].append((best["size"], best["h"], klass, best["k"]))
+    out = []
+    for lang, texts in found.items():
+        short = [t for t in texts if t[0] <= SAMPLE_BYTES]
+        total = 0
+        for size, _, klass, k in short or sorted(texts, key=lambda t: t[:2]):
+            total += size
+            if short or total == size or total <= SAMPLE_DOCS * SAMPLE_BYTES:
+                out.append((lang, klass, size, k))
+    return out
+
+
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list]:
+    """Names of the labelled languages, and a broadcast table for each `GROUP` of them.
+
+    Of each language, at most one text in each of `SAMPLE_DOCS` hash classes of the key is read, whole, and none longer
+    than `SAMPLE_BYTES`; a language that has only longer texts is learned from its shortest ones.  So the driver gets
+    at most `SAMPLE_DOCS` keys of each language, and one table at a time; tables are built in Spark.  Any number of
+    labels is learned.  Rows without key, text or label teach nothing."""
+    spark = df.sparkSession
     rows = (df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang")).dropna()
-            .where((F.octet_length("_text") <= SAMPLE_BYTES) & (F.length("_text") > 0)))
+            .withColumn("_size", F.octet_length("_text")).where(F.col("_size") > 0))
     hashed = F.xxhash64("_key")
     rows = rows.withColumn("_class", F.pmod(hashed, F.lit(SAMPLE_DOCS)).cast("int"))
-    chosen = rows.groupBy("_lang", "_class").agg(F.min(F.struct(hashed.alias("h"), F.col("_key").alias("k")))["k"].alias("_key")).limit(LANGUAGES * SAMPLE_DOCS + 1).collect()
-    if len(chosen) > LANGUAGES * SAMPLE_DOCS:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    languages = sorted({r[0] for r in chosen})
-    if not languages:
-        return Scorer([], [])
-    picked = F.broadcast(df.sparkSession.createDataFrame([(r[0], r[1], r[2]) for r in chosen], rows.select("_lang", "_class", "_key").schema))
-    sample = rows.join(picked, ["_lang", "_class", "_key"]).groupBy("_lang", "_class").agg(F.min("_text").alias("_text"))
+    long = F.when(F.col("_size") > SAMPLE_BYTES, F.col("_size")).otherwise(0)
+    best = F.min(F.struct(long.alias("long"), hashed.alias("h"), F.col("_key").alias("k"), F.col("_size").alias("size")))
+    chosen = _chosen(rows.groupBy("_lang", "_class").agg(best.alias("best")).collect())
+    names = sorted({r[0] for r in chosen})
+    if not names:
+        return [], []
+    picked = F.broadcast(spark.createDataFrame(chosen, rows.select("_lang", "_class", "_size", "_key").schema))
+    sample = rows.join(picked, ["_lang", "_class", "_size", "_key"]).groupBy("_lang", "_class").agg(F.min("_text").alias("_text"))
+    numbers = {name: i for i, name in enumerate(names)}
+    groups = F.broadcast(spark.createDataFrame([(name, i // GROUP) for name, i in numbers.items()], "lang string, group int"))
     counts = (sample.select("_lang", "_text").coalesce(SAMPLE_TASKS).mapInArrow(_grams, "lang string, order int, gram long, n long")
-              .groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")))
-    number = {name: i for i, name in enumerate(languages)}
-    return Scorer(languages, [(number[r[0]], r[1], r[2], r[3]) for r in counts.toArrow().to_pandas().itertuples(index=False)])
+              .groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).join(groups, "lang"))
+    tables = written(counts.groupBy("group").applyInArrow(_tables(numbers), "group int, scorer binary"), "languages")
+    return names, [spark.sparkContext.broadcast(tables.where(F.col("group") == g).first()["scorer"]) for g in range(-(-len(names) // GROUP))]
 
 
-def predict(df: DataFrame, scorer: Scorer, keep: list[str], text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: tuple[list[str], list], keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` with lang_pred, score (probability of the winner among the learned languages at equal priors) and
     bits_per_byte (its code length per byte; null for `und`).
 
     `und` with score 0: null text, text without a letter, or nothing learned.  Equal code lengths go to the first name.
     Every row gives a row, whatever its other columns hold."""
-    model = df.sparkSession.sparkContext.broadcast(scorer)
+    languages, tables = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.value
+        held: list[Scorer] = []
+
+        def scorers() -> Iterator[Scorer]:
+            if len(tables) == 1:
+                if not held:
+                    held.append(pickle.loads(tables[0].value))
+                yield held[0]
+            else:
+                for table in tables:
+                    yield pickle.loads(table.value)
+                    if getattr(table, "_path", None):  # it can be read again from its file
+                        vars(table).pop("_value", None)
+
         for batch in batches:
             *kept, texts, letters = batch.columns
             texts, letters = texts.to_pylist(), letters.to_pylist()
             names, scores, bits = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            wanted = [i for i, letter in enumerate(letters) if letter and scorer.languages]
-            while wanted:
-                group, size = [], 0
-                while wanted and (not group or size + len(texts[wanted[-1]]) < 1 << 20):
-                    size += len(texts[wanted[-1]])
-                    group.append(wanted.pop())
-                bodies = [texts[i].encode() for i in group]
-                for i, body, costs in zip(group, bodies, scorer.score(bodies)):
-                    best = int(costs.argmin())
-                    names[i], bits[i] = scorer.languages[best], float(costs[best]) / BIT / len(body)
-                    scores[i] = float(1 / np.exp2(-np.minimum((costs - costs[best]) / BIT, 1000.0)).sum())
+            wanted = [i for i, letter in enumerate(letters) if letter and languages]
+            part = max(1, CELLS // max(1, len(languages)))
+            for first in range(0, len(wanted), part):
+                rows = wanted[first:first + part]
+                costs = np.zeros((len(rows), len(languages)), np.int64)
+                at = 0
+                for scorer in scorers():
+                    begin = 0
+                    while begin < len(rows):
+                        end, size = begin, 0
+                        while end < len(rows) and (end == begin or size + len(texts[rows[end]]) < 1 << 20):
+                            size += len(texts[rows[end]])
+                            end += 1
+                        costs[begin:end, at:at + len(scorer.languages)] = scorer.score([texts[i].encode() for i in rows[begin:end]])
+                        begin = end
+                    at += len(scorer.languages)
+                for i, row in zip(rows, costs):
+                    best = int(row.argmin())
+                    names[i], bits[i] = languages[best], float(row[best]) / BIT / len(texts[i].encode())
+                    scores[i] = float(1 / np.exp2(-np.minimum((row - row[best]) / BIT, 1000.0)).sum())
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=out)
     named = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
     body = F.col(text).cast("string")

@@ -138,6 +138,19 @@ def test_language_held_out(spark):
     assert {out[i].lang_pred for i in (900, 901, 902)} == {"und"} and {out[i].score for i in (900, 901, 902)} == {0.0}
 
 
+def test_more_labels_than_one_table_and_only_long_texts(spark):
+    rng = random.Random(4)
+    words = {f"l{n:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(20)] for n in range(70)}
+    names = [*words, "long"]
+    words["long"] = ["ωμέγα", "άλφα", "λόγος"]
+    data = [(i, " ".join(rng.choices(words[name], k=12_000 if name == "long" else 50)), name) for i, name in enumerate(names * 6)]
+    assert min(len(t.encode()) for _, t, name in data if name == "long") > language_id.SAMPLE_BYTES
+    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(data, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    learned = {name for i, _, name in data if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learned) > 64 and "long" in learned
+    assert all(out[i].lang_pred == name for i, _, name in data if name in learned)
+
+
 def test_code_lengths_are_exact():
     """Table look-up gives the code length of a direct walk through the contexts."""
     text = b"abracadabra abra"
