@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from statproof.functions.scale import shared_folder
 
@@ -27,3 +27,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BITMAP = 1 << 20  # bits
+
+
+def bitmap(df: DataFrame, column: str) -> Column:
+    """A bitmap of fixed size (128 KB) of the hashes of a column, as a scalar for filters before an exact join: it lets
+    every value of the column through, and others only where hashes agree."""
+    at = F.pmod(F.xxhash64(column), F.lit(BITMAP))
+    words = (df.where(F.col(column).isNotNull()).select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64({column}), 64)))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")))
+    every = df.sparkSession.range(0, BITMAP // 64, 1, 1).withColumnRenamed("id", "w").join(words, "w", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bits")).scalar()
+
+
+def in_bitmap(bits: Column, value: Column) -> Column:
+    at = F.pmod(F.xxhash64(value), F.lit(BITMAP))
+    return F.coalesce(F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1, F.lit(False))
