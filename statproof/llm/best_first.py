@@ -25,6 +25,7 @@ PAGE = 1024
 BLOCK = 128
 FIRST = 4
 STREAM = 256
+STEPS = 63
 BLOCKS = "block long, data binary"
 PAGES = "page long, node int, shape binary, data binary"
 FOUND = "query long, slot int, key long, row long, score long"
@@ -74,13 +75,19 @@ def _asked(block: dict, upper: np.ndarray, lower: np.ndarray, floor: np.ndarray)
 
 def _scan(shape, block: dict, page: dict, best: Best, same: bool | None) -> None:
     queries = block["vectors"]
-    upper, lower = shape.bounds(queries, page["shapes"], page["parent"])
-    need = _asked(block, upper, lower, best.floor).any(0)
+
+    def left(upper, lower):
+        return _asked(block, upper, lower, best.floor).any(0)
+    upper, lower = shape.bounds(queries, page["shapes"], shape.products(queries, page["parent"]), left)
+    need = left(upper, lower)
     if not need.any():
         return
     at = page["order"]  # by key, then row: of equal scores the first ones win
     if not need.all():
         at = at[need[page["leaf"][at]]]
+    at = shape.narrow(block, page, at, best.floor)
+    if not len(at):
+        return
     scores = (queries @ page["vectors"][at].astype(np.float64).T)[block["ask_query"]]
     keys, rows = page["keys"][at], page["rows"][at]
     ok = (scores >= np.maximum(best.floor, block["low"])[:, None]) & (scores <= block["high"][:, None]) & (rows != block["query"][block["ask_query"]][:, None])
@@ -96,28 +103,29 @@ def _scan(shape, block: dict, page: dict, best: Best, same: bool | None) -> None
         best.add(ask, scores[ask, j], keys[j], rows[j])
 
 
-def _meet_nodes(shape, nodes: list[tuple[int, np.ndarray]]):
-    numbers, shapes = np.array([n for n, _ in nodes]), np.stack([s for _, s in nodes])
+def _meet_nodes(shape, nodes: dict[int, np.ndarray]):
+    numbers, shapes = np.array(list(nodes)), np.stack(list(nodes.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 block = pickle.loads(data)
-                upper, lower = shape.bounds(block["vectors"], shapes, None)
+                upper, lower = shape.bounds(block["vectors"], shapes, None, None)
                 met = numbers[_asked(block, upper, lower, block["floor"]).any(0)].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([number] * len(met), pa.int64()), pa.array([data] * len(met), pa.binary())], names=["node", "block", "data"])
     return run
 
 
-def _meet_pages(shape):
+def _meet_pages(shape, nodes: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = None, {}
+        held, block, parent = None, {}, None
         for batch in batches:
             out = []
-            for number, page, raw, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if number != held:
-                    held, block = number, pickle.loads(data)
-                upper, lower = shape.bounds(block["vectors"], np.frombuffer(raw)[None], None)
+            for number, page, node, raw, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (number, node) != held:
+                    block = block if held and held[0] == number else pickle.loads(data)
+                    held, parent = (number, node), shape.products(block["vectors"], nodes[node])
+                upper, lower = shape.bounds(block["vectors"], np.frombuffer(raw)[None], parent, lambda *b: _asked(block, *b, block["floor"]).any(0))
                 reach = _asked(block, upper, lower, block["floor"])[:, 0]
                 if reach.any():
                     out.append((number, page, float(np.minimum(upper[block["ask_query"], 0], block["high"])[reach].max())))
@@ -151,6 +159,11 @@ def _stream(shape, k: int, same: bool | None, raise_floors: bool):
     return run
 
 
+def unlimited(queries: DataFrame) -> DataFrame:
+    """One ask for each query, with any score."""
+    return queries.withColumns({"slot": F.lit(0), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+
+
 def blocks(asks: DataFrame, size: int) -> DataFrame:
     """A stored table of query blocks from asks (block, query, label, vec, slot, low, high): at most some `BLOCK` queries each."""
     def build(group: pa.Table) -> pa.Table:
@@ -164,17 +177,36 @@ def blocks(asks: DataFrame, size: int) -> DataFrame:
     return written(asks.select("block", "query", "label", "vec", "slot", "low", "high").groupBy("block").applyInArrow(build, BLOCKS), "blocks")
 
 
+def paged(tiled: DataFrame, value: str, page: int) -> DataFrame:
+    """`tiled` (_row, node, ...) with a column `page`: each node is cut into pages of about `page` rows by quantiles of `value`;
+    rows of equal value are dealt by hash.  A node has at most `STEPS` + 1 ranges of its own; each is dealt by hash beyond."""
+    steps = F.array(*[F.lit((i + 1) / (STEPS + 1)) for i in range(STEPS)])
+    cuts = written(tiled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, steps, 1000).alias("cuts")), "cuts")  # at most NODES rows
+    at = F.size(F.filter("cuts", lambda c: c < F.col(value)))
+    ties = F.size(F.filter("cuts", lambda c: c == F.col(value))) + 1
+    chance = F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) / float(1 << 20)
+    chunks = F.ceil(F.col("n") / page)
+    chunk = F.least(F.floor(chunks * (at + ties * chance) / (STEPS + 1)), chunks - 1)
+    return tiled.join(F.broadcast(cuts), "node").withColumn("page", F.col("node").cast("long") * (1 << 32) + chunk)
+
+
+def seated(queries: DataFrame) -> DataFrame:
+    """Queries (node, _row, ...) with a column `block`: those of a node, dealt by hash into blocks of about `BLOCK`."""
+    parts = queries.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # at most NODES rows
+    return queries.join(F.broadcast(parts), "node").withColumn("block", F.col("node").cast("long") * (1 << 32) + F.pmod(F.xxhash64("_row"), F.col("parts")))
+
+
 def search(pages: DataFrame, blocks: DataFrame, shape, k: int, same: bool | None = None) -> DataFrame:
     """(query, slot, key, row, score, rank): the k best of every ask, ties to the smaller key, then to the smaller row."""
     spark = pages.sparkSession
-    nodes = [(r["node"], np.frombuffer(r["shape"])) for r in pages.select("node", "shape").groupBy("node").applyInArrow(_union(shape), "node int, shape binary").collect()]  # at most NODES
+    nodes = {r["node"]: np.frombuffer(r["shape"]) for r in pages.select("node", "shape").groupBy("node").applyInArrow(_union(shape), "node int, shape binary").collect()}  # at most NODES
     if not nodes:
         return spark.createDataFrame([], FOUND + ", rank int")
 
     def pairs(of: DataFrame, name: str) -> DataFrame:
         met = of.mapInArrow(_meet_nodes(shape, nodes), "node int, block long, data binary")
-        bound = (met.join(pages.select("node", "page", "shape"), "node").select("block", "page", "shape", "data")
-                 .mapInArrow(_meet_pages(shape), "block long, page long, bound double"))
+        bound = (met.join(pages.select("node", "page", "shape"), "node").select("block", "page", "node", "shape", "data")
+                 .mapInArrow(_meet_pages(shape, nodes), "block long, page long, bound double"))
         best = Window.partitionBy("block").orderBy(F.desc("bound"), "page")
         return written(bound.withColumn("rank", F.row_number().over(best)), name)
 
@@ -192,6 +224,6 @@ def search(pages: DataFrame, blocks: DataFrame, shape, k: int, same: bool | None
 
 def _union(shape):
     def run(group: pa.Table) -> pa.Table:
-        whole = shape.union(np.stack([np.frombuffer(s) for s in group.column("shape").to_pylist()]))
+        whole = shape.union(group.column("node")[0].as_py(), np.stack([np.frombuffer(s) for s in group.column("shape").to_pylist()]))
         return pa.table({"node": group.column("node")[:1].combine_chunks(), "shape": pa.array([whole.tobytes()], pa.binary())})
     return run

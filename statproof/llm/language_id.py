@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .shared import written
@@ -24,6 +25,8 @@ SAMPLE_DOCS = 256        # labelled texts per language
 SAMPLE_BYTES = 1 << 16   # longer texts are learned from only where a language has no others; all are scored whole
 GROUP = 4                # languages in one table; a worker holds one table at a time when there are several
 CELLS = 1 << 22          # code lengths (texts x languages) held at a time
+PIECE = 1 << 18          # bytes scored at a time
+SLICE = 1 << 22          # bytes of text taken from an Arrow batch at a time
 SAMPLE_TASKS = 8         # the sample is small: few tasks count it, so few tasks send the same grams
 BIT = 65_536
 
@@ -66,7 +69,7 @@ class Scorer:
                 shorter[order, key] = len(tables)
                 tables.append(levels[order].get(key, np.full((len(seen) + 1, k), 8.0)))
             state[context] = shorter[order, key]
-        self.full, self.state = np.array(full, np.int64), state
+        self.full, self.state = np.array(full, np.int32), state
         self.costs = np.rint(np.stack(tables) * BIT).astype(np.int32).reshape(-1, k).T.copy()
 
     @staticmethod
@@ -78,24 +81,40 @@ class Scorer:
         return np.full((symbols, k), 8.0)
 
     def score(self, bodies: list[bytes]) -> np.ndarray:
-        """Code length of each text in each language, in 1/65,536 bits."""
+        """Code length of each text in each language, in 1/65,536 bits.  Texts are taken in pieces of `PIECE` bytes, each
+        after the bytes that its first context needs, so memory does not grow with a text; integer sums stay exact."""
         out = np.zeros((len(bodies), len(self.languages)), np.int64)
-        sizes = np.array([len(b) for b in bodies], np.int64)
-        raw = np.frombuffer(b"".join(x for body in bodies for x in (bytes(ORDER), body)), np.uint8).astype(np.int64)
-        if not sizes.sum():
-            return out
-        context = np.zeros(len(raw), np.int64)
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for i, body in enumerate(bodies):
+            for at in range(0, len(body), PIECE):
+                piece = body[at:at + PIECE]
+                before = body[max(0, at - ORDER):at]
+                held.append((i, bytes(ORDER - len(before)) + before + piece))
+                size += len(piece)
+                if size >= PIECE:
+                    self._add(out, held)
+                    held, size = [], 0
+        if held:
+            self._add(out, held)
+        return out
+
+    def _add(self, out: np.ndarray, pieces: list[tuple[int, bytes]]) -> None:
+        raw = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+        context = np.zeros(len(raw), np.int32)
         for i in range(1, ORDER + 1):
-            context[ORDER:] |= raw[ORDER - i:len(raw) - i] << 8 * (i - 1)
+            context[ORDER:] |= raw[ORDER - i:len(raw) - i].astype(np.int32) << 8 * (i - 1)
         at = np.searchsorted(self.full, context)
         at[at == len(self.full)] = 0
         row = np.where(self.full[at] == context, at, self.state[context & (len(self.state) - 1)])
         row = row * (int(self.symbol.max()) + 1) + self.symbol[raw]
-        ends = np.cumsum(sizes + ORDER)
+        starts = np.cumsum([0, *(len(p) for _, p in pieces)])[:-1]
+        lead = (starts[:, None] + np.arange(ORDER)).ravel()  # the bytes before a piece are not its own
+        texts = [i for i, _ in pieces]
         for lang, costs in enumerate(self.costs):
-            run = np.concatenate([[0], np.cumsum(costs[row], dtype=np.int64)])
-            out[:, lang] = run[ends] - run[ends - sizes]
-        return out
+            cost = costs[row]
+            cost[lead] = 0
+            np.add.at(out[:, lang], texts, np.add.reduceat(cost, starts, dtype=np.int64))
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +196,17 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return names, [spark.sparkContext.broadcast(tables.where(F.col("group") == g).first()["scorer"]) for g in range(-(-len(names) // GROUP))]
 
 
+def _slices(batch: pa.RecordBatch, at_text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some `SLICE` bytes of text, so that little more than one slice is held besides it."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def predict(df: DataFrame, model: tuple[list[str], list], keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` with lang_pred, score (probability of the winner among the learned languages at equal priors) and
     bits_per_byte (its code length per byte; null for `und`).
@@ -199,34 +229,26 @@ def predict(df: DataFrame, model: tuple[list[str], list], keep: list[str], text:
                     if getattr(table, "_path", None):  # it can be read again from its file
                         vars(table).pop("_value", None)
 
-        for batch in batches:
-            *kept, texts, letters = batch.columns
-            texts, letters = texts.to_pylist(), letters.to_pylist()
-            names, scores, bits = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            wanted = [i for i, letter in enumerate(letters) if letter and languages]
-            part = max(1, CELLS // max(1, len(languages)))
-            for first in range(0, len(wanted), part):
-                rows = wanted[first:first + part]
-                costs = np.zeros((len(rows), len(languages)), np.int64)
-                at = 0
-                for scorer in scorers():
-                    begin = 0
-                    while begin < len(rows):
-                        end, size = begin, 0
-                        while end < len(rows) and (end == begin or size + len(texts[rows[end]]) < 1 << 20):
-                            size += len(texts[rows[end]])
-                            end += 1
-                        costs[begin:end, at:at + len(scorer.languages)] = scorer.score([texts[i].encode() for i in rows[begin:end]])
-                        begin = end
-                    at += len(scorer.languages)
-                for i, row in zip(rows, costs):
-                    best = int(row.argmin())
-                    names[i], bits[i] = languages[best], float(row[best]) / BIT / len(texts[i].encode())
-                    scores[i] = float(1 / np.exp2(-np.minimum((row - row[best]) / BIT, 1000.0)).sum())
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=out)
+        for whole in batches:
+            for batch in _slices(whole, at_text):
+                texts, letters = batch.column(at_text), batch.column(batch.num_columns - 1).to_pylist()
+                names, scores, bits = ["und"] * len(letters), [0.0] * len(letters), [None] * len(letters)
+                wanted = [i for i, letter in enumerate(letters) if letter and languages]
+                part = max(1, CELLS // max(1, len(languages)))
+                for first in range(0, len(wanted), part):
+                    rows = wanted[first:first + part]
+                    bodies = [texts[i].as_buffer().to_pybytes() for i in rows]
+                    costs = np.concatenate([scorer.score(bodies) for scorer in scorers()], axis=1)
+                    for i, body, row in zip(rows, bodies, costs):
+                        best = int(row.argmin())
+                        names[i], bits[i] = languages[best], float(row[best]) / BIT / len(body)
+                        scores[i] = float(1 / np.exp2(-np.minimum((row - row[best]) / BIT, 1000.0)).sum())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=out)
     named = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
     body = F.col(text).cast("string")
-    rows = df.select(*named, body.alias("_text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    once = text in keep and isinstance(df.schema[text].dataType, T.StringType)  # a text that is kept travels once
+    at_text = keep.index(text) if once else len(keep)
+    rows = df.select(*named, *([] if once else [body.alias("_text")]), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     out = [*(f"_{i}" for i in range(len(keep))), "lang_pred", "score", "bits_per_byte"]
     schema = T.StructType([*rows.drop("_text", "_letter").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return rows.mapInArrow(run, schema).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "bits_per_byte")

@@ -1,32 +1,23 @@
 """Exact top-k by inner product with a paged M-tree.
 
-Three levels of metric nodes: routing vectors (at most `ROUTES`, chosen farthest first from a bounded sample), pages of
-about `PAGE` vectors under them, and leaves inside a page.  Every node keeps its covering radius and the distance to its
-parent's centre; every leaf entry its distance to the leaf's centre.  By Cauchy and Schwarz a node with centre c and
-radius r holds no inner product above q.c + |q| r; and as q.c <= q.p + |q| d(c, p), the stored distance to the parent p
-gives a bound before q.c is computed.
-
-A query starts with the k best of its home page.  Then queries meet, in blocks (the queries of one page), only the routes
-whose bound reaches that k-th score; inside a page leaves are taken best bound first until no bound reaches the k-th score
-found so far.  Scores are integers and bounds get a margin above rounding errors, so results are exact; ties go to the
-smaller key.  Pages of a route that holds many vectors are dealt by hash, so equal vectors spread over pages.
+Metric nodes in four levels: routing vectors (chosen farthest first from a sample of `SAMPLE` rows), pages of about `PAGE`
+vectors under them, cut by the distance to the routing vector, leaves inside a page, and entries.  Every node keeps its
+covering radius and the distance to its parent's centre; every entry its distance to the centre of its leaf.  By Cauchy and
+Schwarz a node with centre c and radius r holds no inner product above q.c + |q| r; and as q.c <= q.p + |q| d(c, p), the
+stored distance to the parent p gives a bound before q.c is computed.  `best_first` takes blocks of queries through the
+pages, best bound first.  Scores are integers and bounds get a margin above rounding errors, so results are exact.
 """
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .best_first import NODES, PAGE, PAGES, blocks, compact, dump, matrix, paged, search, seated, unlimited, usable
+from .shared import numbered, written
 
-ROUTES = 256
-SAMPLE = 2048
-PAGE = 1024
-LEAVES = 24
+SAMPLE = 4096
+LEAVES = 16
 
 
 def _far_first(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -42,167 +33,101 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
-
-
-def _slack(bound: np.ndarray) -> np.ndarray:
-    return bound + np.maximum(0.25, 1e-9 * np.abs(bound))
-
-
 def _margin(distance: np.ndarray) -> np.ndarray:
     """Distances come from differences of products; the margin covers their cancellation."""
-    return distance + 1e-3
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= cut)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
-
-
-def _build(size: int, k: int, routes: np.ndarray, every: int):
+    return distance * (1 + 1e-9) + 1e-3
+
+
+class Ball:
+    """Balls as rows of centre, covering radius, distance to the parent's centre.  Nodes are centred on their routing vector."""
+
+    def __init__(self, routes: np.ndarray):
+        self.routes = routes
+
+    def union(self, node: int, balls: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.routes[node], [_margin(balls[:, -1] + balls[:, -2]).max(), 0.0]])
+
+    @staticmethod
+    def products(queries: np.ndarray, ball: np.ndarray) -> np.ndarray:
+        return queries @ ball[:-2]
+
+    @staticmethod
+    def bounds(queries: np.ndarray, balls: np.ndarray, parent=None, left=None) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.linalg.norm(queries, axis=1)[:, None]
+        lower = np.full((len(queries), len(balls)), -np.inf)
+        if parent is None:
+            upper = queries @ balls[:, :-2].T + norm * _margin(balls[:, -2])
+        else:
+            upper = parent[:, None] + norm * _margin(balls[:, -1] + balls[:, -2])
+            live = left(upper + 0.25, lower)  # centres that stored distances exclude are not touched
+            upper[:, live] = np.minimum(upper[:, live], queries @ balls[live, :-2].T + norm * _margin(balls[live, -2]))
+        return upper + np.maximum(0.25, 1e-9 * np.abs(upper)), lower
+
+    @staticmethod
+    def narrow(block: dict, page: dict, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Entries whose distance to the centre of their leaf lets them reach the floor of some query."""
+        queries, heads = block["vectors"], page["shapes"][:, :-2]
+        lowest = np.full(len(queries), np.inf)
+        np.minimum.at(lowest, block["ask_query"], floor)
+        norm = np.linalg.norm(queries, axis=1)
+        if not np.isfinite(lowest).all() or not norm.all():
+            return at
+        products = queries @ heads.T
+        reach = ((lowest[:, None] - products - 1 - 1e-9 * np.abs(products)) / norm[:, None]).min(0)
+        return at[_margin(page["inside"][at]) >= reach[page["leaf"][at]]]
+
+
+def _build(size: int, routes: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("key").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, vectors, route = ids[order], _matrix(group.column("vec"), size)[order], group.column("route")[0].as_py()
+        vectors, keys, rows = matrix(group.column("vec"), size), group.column("key").to_numpy(), group.column("_row").to_numpy()
+        node = group.column("node")[:1].combine_chunks()
+        order = np.argsort(rows, kind="stable")
+        vectors, keys, rows = vectors[order], keys[order], rows[order]
         centre = np.rint(vectors.mean(0))
         heads = vectors[_far_first(vectors, LEAVES)]
         apart = _distances(vectors, heads)
         leaf = apart.argmin(1)
-        inside = apart[np.arange(len(ids)), leaf]
-        order = np.lexsort((inside, leaf))
-        used, begins = np.unique(leaf[order], return_index=True)
-        heads, counts = heads[used], np.diff([*begins, len(ids)])
-        radius = np.maximum.reduceat(inside[order], begins)
-        to_parent = _distances(heads, centre[None])[:, 0]
-        asks = ids % every == 0
-        scores = vectors[asks] @ vectors.T
-        floor = []
-        for q, row in zip(ids[asks], scores):
-            others = np.sort(row[ids != q])[::-1]
-            floor.append(others[k - 1] if len(others) >= k else -np.inf)
-        parts = (centre, vectors[order], ids[order], inside[order], heads, radius, to_parent, counts, ids[asks], vectors[asks], np.array(floor))
-        return pa.table({"route": pa.array([route], pa.int32()), "chunk": group.column("chunk")[:1].combine_chunks(),
-                         "radius": pa.array([float(_distances(vectors, centre[None]).max())]), "parent": pa.array([float(_distances(centre[None], routes[route:route + 1])[0, 0])]),
-                         **{name: pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for name, p in zip(NAMES, parts)}})
-    return run
-
-
-NAMES = ("centre", "vectors", "ids", "inside", "heads", "radii", "to_parent", "counts", "q_ids", "q_vectors", "q_floor")
-PAGES = "route int, chunk int, radius double, parent double, " + ", ".join(f"{n} binary" for n in NAMES)
-
-
-def _blocks(size: int, routes: np.ndarray, radii: np.ndarray):
-    """The queries of a page for each route whose bound reaches the k-th score of one of them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for home, chunk, ids, vectors, floor in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, floor, vectors = np.frombuffer(ids, np.int64), np.frombuffer(floor), np.frombuffer(vectors).reshape(-1, size)
-                if not len(ids):
-                    continue
-                bound = vectors @ routes.T + np.linalg.norm(vectors, axis=1)[:, None] * radii
-                reach = _slack(bound) >= floor[:, None]
-                for route in np.flatnonzero(reach.any(0)):
-                    some = reach[:, route]
-                    out.append((home, chunk, int(route), ids[some].tobytes(), vectors[some].tobytes(), floor[some].tobytes()))
-            kinds = [pa.int32()] * 3 + [pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["home", "home_chunk", "route", "b_ids", "b_vectors", "b_floor"])
-    return run
-
-
-def _search(size: int, k: int, routes: np.ndarray):
-    """Best-first search of each block in each page it meets; the best of a task leave it together."""
-    def page_search(found: dict, route: int, radius: float, parent: float, page: dict, ids, queries, floor) -> None:
-        centre, heads = page["centre"], page["heads"].reshape(-1, size)
-        vectors, norm = page["vectors"].reshape(-1, size), np.linalg.norm(queries, axis=1)
-        ends = np.cumsum(page["counts"])
-        at_route = queries @ routes[route]
-        live = _slack(at_route + norm * _margin(parent + radius)) >= floor  # before the page's centre is touched
-        at_centre = np.where(live, queries @ centre, -np.inf)
-        live &= _slack(at_centre + norm * _margin(radius)) >= floor
-        for i in np.flatnonzero(live):
-            q, n, key = queries[i], norm[i], int(ids[i])
-            best = found.setdefault(key, [])  # a heap of (score, -id)
-            lowest = max(floor[i], best[0][0]) if len(best) == k else floor[i]
-            near = np.flatnonzero(_slack(at_centre[i] + n * _margin(page["to_parent"] + page["radii"])) >= lowest)  # stored distances alone
-            products = heads[near] @ q
-            bounds = products + n * _margin(page["radii"][near])
-            for j in np.argsort(-bounds):
-                if _slack(bounds[j]) < lowest:
-                    break
-                leaf = near[j]
-                a, b = ends[leaf] - page["counts"][leaf], ends[leaf]
-                a += int(np.searchsorted(page["inside"][a:b], (lowest - products[j]) / n - 1e-3 - max(1.0, 1e-9 * abs(lowest)) / n)) if n > 0 and np.isfinite(lowest) else 0
-                scores, names = vectors[a:b] @ q, page["ids"][a:b]
-                wanted = np.flatnonzero((scores >= lowest) & (names != key))
-                if len(wanted) > k:
-                    wanted = wanted[_best(scores[wanted], names[wanted], k)]
-                for s, name in zip(scores[wanted].tolist(), names[wanted].tolist()):
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -name))
-                    elif (s, -name) > best[0]:
-                        heapq.heapreplace(best, (s, -name))
-                if len(best) == k:
-                    lowest = max(lowest, best[0][0])
-
-    def rows(found: dict) -> pa.RecordBatch:
-        out = [(q, -name, int(s)) for q, best in found.items() for s, name in best]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], names=["query_id", "vec_id", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for batch in batches:
-            for item in batch.to_pylist():
-                page = {n: np.frombuffer(item[n], np.int64 if n in ("ids", "counts") else np.float64) for n in NAMES[:8]}
-                page_search(found, item["route"], item["radius"], item["parent"], page, np.frombuffer(item["b_ids"], np.int64), np.frombuffer(item["b_vectors"]).reshape(-1, size), np.frombuffer(item["b_floor"]))
-            if len(found) > 50_000:
-                yield rows(found)
-                found = {}
-        yield rows(found)
+        inside = apart[np.arange(len(rows)), leaf]
+        radius = np.zeros(len(heads))
+        np.maximum.at(radius, leaf, inside)
+        balls = np.column_stack([heads, radius, _distances(heads, centre[None])[:, 0]])
+        ball = np.concatenate([centre, [_distances(vectors, centre[None]).max(), _distances(centre[None], routes[node[0].as_py()][None])[0, 0]]])
+        data = dump(vectors=compact(vectors), keys=keys, rows=rows, labels=None, leaf=leaf, inside=inside, shapes=balls, parent=ball, order=np.lexsort((rows, keys)))
+        return pa.table({"page": group.column("page")[:1].combine_chunks(), "node": node, "shape": pa.array([ball.tobytes()], pa.binary()), "data": pa.array([data], pa.binary())})
     return run
 
 
-def usable(vec: Column) -> Column:
-    return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
 def top_k(df: DataFrame, key: str = "vec_id", vec: str = "embedding", scale: float = 64.0, every: int = 20, k: int = 20, page: int = PAGE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose key is divisible by `every`, its k highest inner products of
-    floor(scale * x) with rows of other keys, ties to the smaller key.
+    floor(scale * x) with all other rows, ties to the smaller key.
 
-    Null, empty and non-finite vectors and null keys take no part; nor do vectors whose length is not the most frequent
-    one (the larger of equals).  Of rows that share a key the smallest vector counts.  Fewer than k others give fewer
-    rows; an empty table gives none; other columns are not read.  Products must stay below 2**53."""
-    spark = df.sparkSession
+    Null, empty and non-finite vectors and null keys take no part; vectors of different lengths never meet.  Rows are told
+    apart by number: rows that share a key are different rows, so another row with the query's key may be among its
+    results, and each such row asks for itself.  Fewer than k others give fewer rows; an empty table gives none; other
+    columns are not read.  Products must stay below 2**53."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")).where(F.col("key").isNotNull() & usable(F.col("vec")))
-    rows = written(rows.groupBy("key").agg(F.min("vec").alias("vec")), "vectors")
-    sizes = rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    size, total = sizes[0]
-    rows = rows.where(F.size("vec") == size).select("key", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("key")).select("vec").limit(SAMPLE).collect()])
-    routes = sample[_far_first(sample, min(ROUTES, -(-total // page)))]
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = numbered(rows.select("key", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"), F.size("vec").alias("size")), "vectors")
+    out = None
+    for size in sorted(r[0] for r in rows.select("size").distinct().collect()):  # one index for each length
+        found = _top_k(rows.where(F.col("size") == size), size, every, k, page)
+        out = found if out is None else out.unionByName(found)
+    return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
+
+
+def _top_k(rows: DataFrame, size: int, every: int, k: int, page: int) -> DataFrame:
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("_row")).select("vec").limit(SAMPLE).collect()])
+    routes = sample[_far_first(sample, min(NODES, max(1, round((rows.count() / page) ** 0.5))))]
+
+    def assign(batches):
         for batch in batches:
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
             apart = _distances(vectors, routes)
-            route = apart.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(route.astype(np.int32)), pa.array(apart[np.arange(len(route)), route])], names=["key", "vec", "route", "apart"])
-    assigned = written(rows.mapInArrow(assign, "key long, vec binary, route int, apart double"), "assigned")
-    filled = {r[0]: (r[1], r[2]) for r in assigned.groupBy("route").agg(F.count(F.lit(1)), F.max("apart")).collect()}  # at most ROUTES rows
-    radii = np.array([filled.get(i, (0, -np.inf))[1] for i in range(len(routes))]) + 1e-3
-    chunks = F.element_at(F.array(*[F.lit(-(-filled.get(i, (1, 0))[0] // page)) for i in range(len(routes))]), F.col("route") + 1)
-    pages = written(assigned.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int")).select("key", "vec", "route", "chunk")
-                    .groupBy("route", "chunk").applyInArrow(_build(size, k, routes, every), PAGES), "pages")
-    blocks = pages.select("route", "chunk", "q_ids", "q_vectors", "q_floor").mapInArrow(_blocks(size, routes, radii), "home int, home_chunk int, route int, b_ids binary, b_vectors binary, b_floor binary")
-    met = pages.drop("q_ids", "q_vectors", "q_floor").join(blocks, "route").mapInArrow(_search(size, k, routes), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            node = apart.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("key"), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(node.astype(np.int32)),
+                                              pa.array(apart[np.arange(len(node)), node])], names=["_row", "key", "vec", "node", "apart"])
+    tiled = written(rows.select("_row", "key", "vec").mapInArrow(assign, "_row long, key long, vec binary, node int, apart double"), "routed")
+    pages = written(paged(tiled, "apart", page).select("_row", "key", "vec", "node", "page").groupBy("node", "page").applyInArrow(_build(size, routes), PAGES), "pages")
+    queries = written(seated(tiled.where(F.col("key") % every == 0)).select("block", F.col("_row").alias("query"), F.col("key").alias("query_id"), F.lit(0).alias("label"), "vec"), "queries")
+    found = search(pages, blocks(unlimited(queries), size), Ball(routes), k)
+    return (found.join(queries.select("query", "query_id"), "query")
+            .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias("vec_id"), "score"))

@@ -13,13 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import best_first
-from .best_first import BLOCK, NODES, PAGE, PAGES, blocks, compact, dump, matrix, search, usable
+from .best_first import NODES, PAGE, PAGES, blocks, compact, dump, matrix, paged, search, seated, unlimited, usable
 from .shared import numbered, written
 
 SAMPLE = 4096
 LEAF = 64
-STEPS = 63
 
 
 class Box:
@@ -30,16 +28,24 @@ class Box:
         return np.concatenate([vectors.min(0), vectors.max(0)])
 
     @staticmethod
-    def union(boxes: np.ndarray) -> np.ndarray:
+    def union(node: int | None, boxes: np.ndarray) -> np.ndarray:
         half = boxes.shape[1] // 2
         return np.concatenate([boxes[:, :half].min(0), boxes[:, half:].max(0)])
 
     @staticmethod
-    def bounds(queries: np.ndarray, boxes: np.ndarray, parent) -> tuple[np.ndarray, np.ndarray]:
+    def products(queries: np.ndarray, box) -> None:
+        """A box has no centre."""
+
+    @staticmethod
+    def bounds(queries: np.ndarray, boxes: np.ndarray, parent=None, left=None) -> tuple[np.ndarray, np.ndarray]:
         lowest, highest = np.split(boxes, 2, axis=1)
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
         return plus @ highest.T + minus @ lowest.T, plus @ lowest.T + minus @ highest.T
 
+    @staticmethod
+    def narrow(block: dict, page: dict, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        return at
+
 
 class Tiles:
     """Tile of a vector by its two most spread coordinates."""
@@ -72,7 +78,7 @@ def _build(size: int, axis: int):
         boxes = np.stack([Box.of(vectors[i:i + LEAF]) for i in range(0, len(rows), LEAF)])
         data = dump(vectors=compact(vectors), keys=keys, rows=rows, labels=labels, leaf=leaf, shapes=boxes, parent=None, order=np.lexsort((rows, keys)))
         return pa.table({"page": group.column("page")[:1].combine_chunks(), "node": group.column("node")[:1].combine_chunks(),
-                         "shape": pa.array([Box.union(boxes).tobytes()], pa.binary()), "data": pa.array([data], pa.binary())})
+                         "shape": pa.array([Box.union(None, boxes).tobytes()], pa.binary()), "data": pa.array([data], pa.binary())})
     return run
 
 
@@ -89,15 +95,7 @@ def pack(rows: DataFrame, size: int, page: int = PAGE) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "key", "label")), pa.array([v.tobytes() for v in vectors], pa.binary()),
                                               pa.array(tiles.of(vectors)), pa.array(np.ascontiguousarray(vectors[:, third]))], names=["_row", "key", "label", "vec", "node", "third"])
     tiled = written(rows.select("_row", "key", "label", "vec").mapInArrow(assign, "_row long, key long, label int, vec binary, node int, third double"), "tiled")
-    steps = F.array(*[F.lit((i + 1) / (STEPS + 1)) for i in range(STEPS)])
-    cuts = written(tiled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("third", steps, 1000).alias("cuts")), "cuts")  # at most NODES rows
-    at = F.size(F.filter("cuts", lambda c: c < F.col("third")))
-    ties = F.size(F.filter("cuts", lambda c: c == F.col("third"))) + 1
-    chance = F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) / float(1 << 20)
-    chunks = F.ceil(F.col("n") / page)
-    chunk = F.floor(chunks * (at + ties * chance) / (STEPS + 1))
-    paged = tiled.join(F.broadcast(cuts), "node").withColumn("page", F.col("node").cast("long") * (1 << 32) + F.least(chunk, chunks - 1))
-    return written(paged.select("_row", "key", "label", "vec", "node", "page").groupBy("node", "page").applyInArrow(_build(size, fourth), PAGES), "pages"), tiled
+    return written(paged(tiled, "third", page).select("_row", "key", "label", "vec", "node", "page").groupBy("node", "page").applyInArrow(_build(size, fourth), PAGES), "pages"), tiled
 
 
 def mine(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", scale: float = 256.0, every: int = 50, positives: int = 5, negatives: int = 3,
@@ -123,12 +121,8 @@ def mine(df: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str
 
 def _mined(rows: DataFrame, size: int, every: int, positives: int, negatives: int, low: int, high: int, page: int) -> DataFrame:
     pages, tiled = pack(rows, size, page)
-    anchors = tiled.where(F.col("key") % every == 0)
-    parts = anchors.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # at most NODES rows
-    block = F.col("node").cast("long") * (1 << 32) + F.pmod(F.xxhash64("_row"), F.col("parts"))
-    anchors = written(anchors.join(F.broadcast(parts), "node").select(block.alias("block"), F.col("_row").alias("query"), "key", "label", "vec"), "anchors")
-    infinite = [F.lit(0).alias("slot"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")]
-    positive = search(pages, blocks(anchors.select("*", *infinite), size), Box, positives, True)
+    anchors = written(seated(tiled.where(F.col("key") % every == 0)).select("block", F.col("_row").alias("query"), "key", "label", "vec"), "anchors")
+    positive = search(pages, blocks(unlimited(anchors), size), Box, positives, True)
     positive = written(positive.select("query", F.col("rank").alias("slot"), F.col("key").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     least, most = F.expr(f"({low} * positive_score + 99) div 100"), F.expr(f"({high} * positive_score) div 100")
     wanted = positive.where("positive_score >= 0").select("query", "slot", least.cast("double").alias("low"), most.cast("double").alias("high"))

@@ -7,7 +7,8 @@ depth first and spends a budget of one surplus and one deficit; the words of a l
 Spread over tasks, the first levels of the trie are the shards: a word is stored in the shard of its first counts and asks
 in that shard and in those that a surplus of one (and a deficit of one in a later group) leads to; the other half of the
 pairs is found from their other word.  The number of levels follows the vocabulary, until no shard holds more than `SHARD`
-words, or all counts are used; words that still share a shard are split by hash, and a word asks in every part.
+words, or all counts are used; words that still share a shard are split by hash, and a word asks in every part.  The words
+that ask in a shard take turns of some `ASKS` words, each with the stored words, so a busy shard is many tasks.
 """
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")  # after lower-casing
 PIECE = 1 << 20
 FLUSH = 200_000
 SHARD = 1 << 15
+ASKS = 1 << 14
 STATES = 1 << 18
 PAIRS = 1 << 18
 WIDE = 32
@@ -277,9 +279,13 @@ def near_words(words: DataFrame) -> DataFrame:
     sizes = sizes.groupBy("levels", F.slice("counts", 1, F.col("levels")).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).groupBy("levels").agg(F.max("n").alias("n"))
     fitting = [r["levels"] for r in sizes.orderBy("levels").collect() if r["n"] <= SHARD]  # one row for each level
     seats = written(counted.mapInArrow(_seats(min(fitting, default=depth)), "word string, shard string, asks boolean"), "word-seats")
-    parts = seats.where("not asks").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
-    part = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")))
-    placed = seats.join(parts, "shard").select("shard", F.explode(part).alias("part"), "asks", "word")
+    # A shard of many words is split by hash; every asking word visits each part, and many asking words share the work.
+    sizes = seats.groupBy("shard").agg(F.ceil(F.count_if(~F.col("asks")) / SHARD).cast("int").alias("parts"), F.ceil(F.count_if("asks") / ASKS).cast("int").alias("turns"))
+    hashed = F.xxhash64("word")
+    parts = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(hashed, F.col("parts")).cast("int")))
+    turns = F.when(F.col("asks"), F.array(F.pmod(hashed, F.col("turns")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("turns") - 1))
+    placed = (seats.join(sizes.where("parts > 0"), "shard").select("shard", "asks", "word", F.explode(parts).alias("p"), turns.alias("turns"))
+              .select("shard", "asks", "word", "p", F.explode("turns").alias("turn")).select("shard", F.concat_ws(".", "p", "turn").alias("part"), "asks", "word"))
     dealt = placed.repartition(partitions(words.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", "asks")
     return dealt.mapInArrow(_find, "word string, near string").distinct()
 

@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from statproof.llm import exact_dedup, language_id, licenses, metric_tree, near_dup, packing, pii, piece_codec, sharding, suffix_dedup
+from statproof.llm import best_first, exact_dedup, language_id, licenses, metric_tree, near_dup, packing, pii, piece_codec, sharding, suffix_dedup
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, kept string, `a.b` int"
@@ -113,21 +114,36 @@ def test_pieces_match_the_library_on_random_pieces():
         assert model.encode(text) == library.encode(text), text
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize("page,block,first,stream", [(64, 128, 4, 256), (16, 5, 1, 3)])
+def test_top_k_is_exact(spark, monkeypatch, page, block, first, stream):
+    for name, value in (("FIRST", first), ("STREAM", stream), ("BLOCK", block)):
+        monkeypatch.setattr(best_first, name, value)
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.normal(size=8)], 1) for i in range(400)] + [(i, [0.5] * 8, 2) for i in range(400, 560)]
-    data += [(9_000, None, 0), (9_020, [1.0, None] * 4, 0), (9_040, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (9_060, [1.0] * 7, 0), (9_080, [], 0), (40, data[40][1], 3)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score int")
-    found = {}
-    for r in metric_tree.top_k(df, page=64).orderBy("query_id", "rank").collect():
-        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    whole = {i: np.floor(64 * np.array(v)).astype(int) for i, v, _ in data[:560]}
-    assert set(found) == {i for i in whole if i % 20 == 0}
-    for q, best in found.items():
-        assert best == sorted(((i, int(whole[q] @ v)) for i, v in whole.items() if i != q), key=lambda x: (-x[1], x[0]))[:20]
+    data += [(9_060, [1.0] * 7, 0), (9_061, [0.5] * 7, 0), (40, data[40][1], 3), (40, [0.25] * 8, 3)]  # another length; a key on three rows
+    bad = [(9_000, None, 0), (9_020, [1.0, None] * 4, 0), (9_040, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (9_080, [], 0)]
+    df = spark.createDataFrame(data + bad, "vec_id long, embedding array<double>, score int")
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v, _ in data]
+    expected = []
+    for n, (q, vector) in enumerate(whole):
+        if q % 20 == 0:
+            others = sorted((-int(vector @ v), i) for m, (i, v) in enumerate(whole) if m != n and len(v) == len(vector))
+            expected += [(q, rank, i, -score) for rank, (score, i) in enumerate(others[:20], 1)]
+    assert sorted(tuple(r) for r in metric_tree.top_k(df, page=page).collect()) == sorted(expected)
     assert metric_tree.top_k(df.where("false")).count() == 0
 
 
+def test_ball_bounds_hold():
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.integers(-40, 40, (60, 9)).astype(float), rng.integers(-40, 40, (30, 9)).astype(float)
+    centre, parent = np.rint(vectors.mean(0)), rng.integers(-40, 40, 9).astype(float)
+    ball = np.concatenate([centre, [np.linalg.norm(vectors - centre, axis=1).max(), np.linalg.norm(centre - parent)]])
+    products, scores = queries @ parent, queries @ vectors.T
+    for live in (True, False):  # with and without the centre's own product
+        upper, lower = metric_tree.Ball.bounds(queries, ball[None], products, lambda u, lo: np.array([live]))
+        assert (scores <= upper).all() and (lower == -np.inf).all()
+
+
 def test_language_held_out(spark):
     rng = random.Random(2)
     alphabets = {"en": "the and ing of er th", "de": "der die ung sch ich ein", "fr": "le la eau que oui é"}
@@ -151,6 +167,23 @@ def test_more_labels_than_one_table_and_only_long_texts(spark):
     assert all(out[i].lang_pred == name for i, _, name in data if name in learned)
 
 
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    text = ("one byte after another " * 40).encode()
+    grams = {}
+    for batch in language_id._grams(iter([pa.RecordBatch.from_pydict({"lang": ["x"], "text": [text.decode()]})])):
+        for _, order, gram, n in zip(*(c.to_pylist() for c in batch.columns)):
+            grams[0, order, gram] = grams.get((0, order, gram), 0) + n
+    scorer = language_id.Scorer(["x"], [(*g, n) for g, n in grams.items()])
+    bodies = [text, b"", b"ab", b"other \xc3\xa9 " * 30, text[:100]]
+    whole = scorer.score(bodies).tolist()
+    for piece in (1, 2, 7, 100, 1 << 20):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert scorer.score(bodies).tolist() == whole
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 5, None, "", "b" * 50, "c", None]})
+    monkeypatch.setattr(language_id, "SLICE", 6)
+    assert [x.num_rows for x in language_id._slices(batch, 0)] == [3, 1, 2]
+
+
 def test_code_lengths_are_exact():
     """Table look-up gives the code length of a direct walk through the contexts."""
     text = b"abracadabra abra"
@@ -366,6 +399,26 @@ def test_sharding(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    """Against plain draws, for 1 to 20 shards."""
+    import math
+    import xxhash
+
+    def draw(key, name):
+        h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))
+        return -math.log(((h >> 11) + 0.5) / (1 << 53))
+    keys = range(-20, 400)
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+    found = df.select("id", *[sharding.shard_of("id", sharding.tree_of(n)).alias(f"n{n}") for n in range(1, 21)]).collect()
+    for r in found:
+        for n in range(1, 21):
+            assert r[f"n{n}"] == min(range(n), key=lambda s: draw(r.id, f"/region+{s}"))
+            assert n == 1 or r[f"n{n}"] in (r[f"n{n - 1}"], n - 1)
+    assert len({r.n20 for r in found}) == 20
+    grown = sharding.place(df.withColumn("text", F.lit("x")), sharding.tree_of(8), "id").collect()
+    assert {(r.id, r.shard, r.grown_shard) for r in grown} == {(r.id, r.n8, r.n9) for r in found}
+
+
 def test_changed_weight_moves_rows_only_in_changed_subtrees(spark):
     tree = sharding.uniform_tree(8)
     less = {**tree, "region0": {**tree["region0"], "rack0": {0: 0.5, 1: 1.0}}}

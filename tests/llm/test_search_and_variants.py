@@ -72,7 +72,7 @@ def test_small_shards_find_the_same_words(spark, monkeypatch, shard, states, wid
     rng = random.Random(9)
     words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(150)})
     expected = {(a, b) for a in words for b in words if spelling.one_edit(a, b)}
-    for name, value in (("SHARD", shard), ("STATES", states), ("WIDE", wide)):
+    for name, value in (("SHARD", shard), ("ASKS", max(1, shard // 3)), ("STATES", states), ("WIDE", wide)):
         monkeypatch.setattr(spelling, name, value)
     found = set()
     trie = spelling.Trie(words)
@@ -159,9 +159,8 @@ def brute_negatives(rows, every=50):
 
 @pytest.mark.parametrize("page,block,first,stream", [(1024, 128, 4, 256), (16, 3, 1, 2)])
 def test_hard_negatives(spark, monkeypatch, page, block, first, stream):
-    for name, value in (("FIRST", first), ("STREAM", stream)):
+    for name, value in (("FIRST", first), ("STREAM", stream), ("BLOCK", block)):
         monkeypatch.setattr(best_first, name, value)
-    monkeypatch.setattr(rtree, "BLOCK", block)
     monkeypatch.setattr(rtree, "LEAF", 4 if page == 16 else 64)
     rng = np.random.default_rng(2)
     good = [(10 * i, rng.normal(size=6).tolist(), int(rng.integers(0, 4))) for i in range(200)]
@@ -177,8 +176,8 @@ def test_hard_negatives(spark, monkeypatch, page, block, first, stream):
 def test_box_bounds_hold():
     rng = np.random.default_rng(5)
     vectors, queries = rng.integers(-9, 9, (50, 7)).astype(float), rng.integers(-9, 9, (20, 7)).astype(float)
-    upper, lower = rtree.Box.bounds(queries, rtree.Box.of(vectors)[None], None)
+    upper, lower = rtree.Box.bounds(queries, rtree.Box.of(vectors)[None])
     scores = queries @ vectors.T
     assert (scores <= upper).all() and (scores >= lower).all()
     halves = np.stack([rtree.Box.of(vectors[:20]), rtree.Box.of(vectors[20:])])
-    assert (rtree.Box.union(halves) == rtree.Box.of(vectors)).all()
+    assert (rtree.Box.union(None, halves) == rtree.Box.of(vectors)).all()
