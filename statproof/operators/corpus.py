@@ -24,6 +24,19 @@ def row_range(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
     return with_row_number(df, key).where(F.col("row_number").between(start, end))
 
 
+def selected_rows(df: DataFrame, key: str, start: int | None = None, end: int | None = None, confirmed: bool = False) -> DataFrame:
+    """The rows of one analysis, numbered: a table of at most 1,000 rows whole, whatever range is asked for; of a larger one
+    nothing before the range is confirmed, then rows start..end, which must lie inside it."""
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    if total <= MAX_RANGE:
+        return with_row_number(df, key)
+    if not confirmed:
+        return with_row_number(df.where("false"), key)
+    if start is None or end is None or end > total:
+        raise ValueError("choose a range of rows of the table")
+    return row_range(df, key, start, end)
+
+
 def strip_chrome(df: DataFrame) -> DataFrame:
     return df.withColumn("anchored", tx.anchored(F.col("body"))).withColumn("body", tx.strip_chrome(F.col("body")))
 

@@ -8,7 +8,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.functions.scale import value_positions
+from statproof.functions.scale import stable, value_positions
 from statproof.operators.extraction import _rule_label
 
 ARTICLE_END = r"(?s)(?:관련 기사|기자 프로필|기자 약력|구독).*$"
@@ -175,7 +175,8 @@ def filter_articles(rows: DataFrame, profile: DataFrame, quality: str = "all", b
     art = valid_articles(rows)
     per = profile.groupBy("row_no").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("candidate").alias("n_candidates"))
     a = art.join(per, "row_no", "left").na.fill(0, ["n_sentences", "n_candidates"])
-    sb, ss = structure_stats(a, "clean_length"), structure_stats(a, "n_sentences")
+    # One row each, cut off from its plan: a scalar that holds another scalar cannot be resolved inside a filter.
+    sb, ss = stable(structure_stats(a, "clean_length")), stable(structure_stats(a, "n_sentences"))
     out = ((F.col("clean_length") < sb.select("low").scalar()) | (F.col("clean_length") > sb.select("high").scalar())
            | (F.col("n_sentences") < ss.select("low").scalar()) | (F.col("n_sentences") > ss.select("high").scalar()))
     warned = F.size("warnings") > 0

@@ -286,3 +286,14 @@ def append_gold(gold: DataFrame, new: DataFrame, labels: list, key: str = "row_n
 
 def asset_stats(gold: DataFrame, field: str = "gold_label") -> DataFrame:
     return gold.groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_status") == "approved").alias("approved"))
+
+
+def rule_stats(rules: DataFrame) -> DataFrame:
+    """(type, total, executable) of rules(rule_id, type, pattern): rules of each type, `?` without one, and those with a pattern."""
+    kind = F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.lit("?"))
+    return rules.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(F.col("pattern"), F.lit("")) != "").alias("executable"))
+
+
+def alias_stats(aliases: DataFrame) -> DataFrame:
+    """(total, from_failure) of aliases(alias, canonical, origin): those whose origin is a failure record, `F...`."""
+    return aliases.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("origin").startswith("F")).alias("from_failure"))

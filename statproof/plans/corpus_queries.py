@@ -38,6 +38,12 @@ def a02(spark, d):
     return rows.select(F.col("row_number").cast("long").alias("row_number"), "row_no", "title")
 
 
+def a02_selected(spark, d):
+    """A table of at most 1,000 rows is taken whole; a larger one gives the confirmed range."""
+    rows = op.selected_rows(Tables(spark, d).news, "row_no", 101, 700, confirmed=True)
+    return rows.select(F.col("row_number").cast("long").alias("row_number"), "row_no", "title")
+
+
 def a03(spark, d):
     return op.strip_chrome(Tables(spark, d).news).select("row_no", "anchored", F.length("body").alias("n"), F.md5("body").alias("h"))
 
@@ -123,7 +129,7 @@ def a15(spark, d):
 
 
 QUERIES = {
-    "a01_article_scan": a01, "a01_article_files": a01_files, "a02_row_range": a02, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
+    "a01_article_scan": a01, "a01_article_files": a01_files, "a02_row_range": a02, "a02_selected_rows": a02_selected, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
     "a06_dedupe_articles": a06, "a07_content_ids": a07, "a08_split_sentences": a08, "a09_insert_new": a09,
     "a09_insert_counts": a09_counts, "a10_ingest_report": a10, "a10_import_previews": a10_previews, "a11_secret_scan": a11,
     "a12_contamination": a12, "a13_safe_csv": a13, "a14_bounded_export": a14, "a14_export_rows": a14_rows, "a15_page_definitions": a15,
@@ -142,6 +148,8 @@ ORACLE = {
     "a01_article_files": with_clause("news") + " SELECT kind, trim(coalesce(title, '')) AS title, trim(coalesce(date, '')) AS date, trim(coalesce(url, '')) AS url, md5(coalesce(body, '')) AS h, count(*) AS n FROM news, (VALUES ('csv'), ('jsonl')) k(kind) GROUP BY ALL",
     "a01_article_scan": with_clause("news") + " SELECT row_no, title, date, section, url, length(body) AS body_len, label FROM news",
     "a02_row_range": with_clause("news") + " SELECT * FROM (SELECT row_number() OVER (ORDER BY row_no) AS row_number, row_no, title FROM news) WHERE row_number BETWEEN 101 AND 700",
+    "a02_selected_rows": with_clause("news") + """ SELECT row_number, row_no, title FROM (SELECT row_number() OVER (ORDER BY row_no) AS row_number, count(*) OVER () AS total, row_no, title FROM news)
+      WHERE total <= 1000 OR row_number BETWEEN 101 AND 700""",
     "a03_strip_chrome": _A + " SELECT row_no, anchored, length(body) AS n, md5(body) AS h FROM o_chrome",
     "a04_clean_body": _A + " SELECT row_no, length(body) AS n, md5(body) AS h FROM o_clean",
     "a05_derive_section": _A + " SELECT row_no, section FROM o_section",

@@ -174,13 +174,25 @@ def f19(spark, d):
     return op.append_gold(t.gold_rows, new, ["match", "mismatch"]).select("row_no", "gold_no", "sentence")
 
 
+def f19_rules(spark, d):
+    """Part types as rule cards: the first word is their type, large parts have a pattern."""
+    p = Tables(spark, d).part
+    rules = p.select(F.col("p_partkey").alias("rule_id"), F.when(F.col("p_size") % 9 > 0, F.split("p_type", " ")[0]).alias("type"), F.when(F.col("p_size") > 20, F.col("p_name")).alias("pattern"))
+    return op.rule_stats(rules)
+
+
+def f19_aliases(spark, d):
+    p = Tables(spark, d).part
+    return op.alias_stats(p.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("canonical"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("F"), F.col("p_partkey"))).when(F.col("p_size") % 3 == 1, "user").alias("origin")))
+
+
 def f19_stats(spark, d):
     return op.asset_stats(Tables(spark, d).gold_rows)
 
 
 QUERIES = {"f01_eval_detection": f01, "f01_detection_misses": f01_misses, "f02_eval_verdict": f02, "f03_classification_report": f03, "f03_class_metrics": f03_classes, "f04_fallback_metrics": f04,
            "f05_diff_runs": f05, "f06_failure_stats": f06, "f06_refused_failures": f06_refused, "f06_resolve_failures": f06_resolve, "f07_routing_metrics": f07, "f08_eval_mapping": f08, "f09_eval_paths": f09, "f10_e2e_progress": f10, "f11_e2e_summary": f11,
-           "f12_metric_gate": f12, "f13_agreement": f13, "f14_merge_labels": f14, "f15_stratified_sample": f15, "f16_validate_gold": f16, "f17_parity": f17, "f18_gold_progress": f18, "f19_append_gold": f19, "f19_asset_stats": f19_stats}
+           "f12_metric_gate": f12, "f13_agreement": f13, "f14_merge_labels": f14, "f15_stratified_sample": f15, "f16_validate_gold": f16, "f17_parity": f17, "f18_gold_progress": f18, "f19_append_gold": f19, "f19_asset_stats": f19_stats, "f19_rule_stats": f19_rules, "f19_alias_stats": f19_aliases}
 
 
 def _prf(tp="tp", fp="fp", fn="fn"):
@@ -261,5 +273,7 @@ ORACLE = {
     "f19_append_gold": with_clause("gold_rows", "gold_rows_b") + """, n AS (SELECT row_no, CASE WHEN row_no % 2 = 0 THEN concat(sentence, ' new') ELSE sentence END AS sentence, gold_label FROM gold_rows_b),
       k AS (SELECT row_no, sentence FROM n WHERE gold_label IN ('match', 'mismatch') AND trim(sentence) <> '' AND trim(sentence) NOT IN (SELECT trim(sentence) FROM gold_rows) QUALIFY row_number() OVER (PARTITION BY trim(sentence) ORDER BY row_no) = 1)
       SELECT row_no, row_number() OVER (ORDER BY row_no) + (SELECT max(row_no) FROM gold_rows) AS gold_no, sentence FROM k""",
+    "f19_rule_stats": """SELECT coalesce(CASE WHEN p_size % 9 > 0 THEN split_part(p_type, ' ', 1) END, '?') AS type, count(*) AS total, count(*) FILTER (p_size > 20) AS executable FROM part GROUP BY 1""",
+    "f19_alias_stats": "SELECT count(*) AS total, count(*) FILTER (p_size % 3 = 0) AS from_failure FROM part",
     "f19_asset_stats": _G + " SELECT gold_label, count(*) AS n, count(*) FILTER (review_status = 'approved') AS approved FROM gold_rows GROUP BY 1",
 }

@@ -1,10 +1,13 @@
 """Registered queries C01-C14 with their DuckDB oracles."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.operators import extraction, ranking as op
+from statproof.functions.scale import shared_folder
+from statproof.operators import crawl, extraction, ranking as op
 from statproof.plans import oracle_parts as o
 from statproof.plans.extraction_queries import _profile_ctes
 from statproof.plans.fixtures import Tables, with_clause
@@ -138,6 +141,23 @@ def c13_capped(spark, d):
     return op.capped_visits(lists, 12)
 
 
+def _crawled(spark, d):
+    """Three capped runs; each resumes the queue of the one before."""
+    edges = _edges(spark, d).withColumn("ord", F.col("child_id"))
+    folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    for _ in range(3):
+        seen = crawl.crawl(edges, spark.sql("SELECT 'root' AS root_id"), folder, 7)
+    return edges, seen
+
+
+def c13_resumed(spark, d):
+    return _crawled(spark, d)[1].select("list_id", "position", "run", "state")
+
+
+def c13_crawled(spark, d):
+    return crawl.crawled_tables(*_crawled(spark, d))
+
+
 def c13_merge(spark, d):
     t = Tables(spark, d)
     cols = ["k", "payload"]
@@ -159,10 +179,15 @@ def c14_summary(spark, d):
 QUERIES = {
     "c01_search_overlap": c01, "c02_search_tfidf": c02, "c03_rrf": c03, "c04_search_substring": c04, "c05_union_hits": c05, "c06_filter_coverage": c06,
     "c07_rerank": c07, "c08_candidate_fit": c08, "c09_best_item": c09, "c10_suggest": c10, "c10_candidate_log": c10_log, "c11_match_score": c11,
-    "c12_query_plan": c12, "c12_query_budget": c12_budget, "c13_expand_catalog": c13, "c13_capped_visits": c13_capped, "c13_merge_catalog": c13_merge, "c14_semantic_cards": c14,
+    "c12_query_plan": c12, "c12_query_budget": c12_budget, "c13_expand_catalog": c13, "c13_capped_visits": c13_capped, "c13_merge_catalog": c13_merge, "c13_resumed_crawl": c13_resumed, "c13_crawled_tables": c13_crawled, "c14_semantic_cards": c14,
     "c14_card_summary": c14_summary,
 }
 
+# Breadth-first order of a tree of three levels: the root, its lists, then theirs by first parent and id.
+_CRAWL = f"""WITH e AS ({EDGES}), l1 AS (SELECT child_id AS list_id, 1 + row_number() OVER (ORDER BY child_id) AS position FROM (SELECT DISTINCT child_id FROM e WHERE parent_id = 'root' AND NOT is_table)),
+  f2 AS (SELECT child_id AS list_id, min(position) AS parent FROM e JOIN l1 ON parent_id = l1.list_id WHERE NOT is_table GROUP BY 1),
+  q AS (SELECT 'root' AS list_id, CAST(1 AS BIGINT) AS position, CAST(0 AS BIGINT) AS parent UNION ALL SELECT list_id, position, 1 FROM l1
+    UNION ALL SELECT list_id, (SELECT max(position) FROM l1) + row_number() OVER (ORDER BY parent, list_id), parent FROM f2)"""
 _GRAMS = ("list_distinct(flatten(list_transform(regexp_extract_all({0}, '[가-힣A-Za-z0-9]+'), lambda w: list_concat([w], "
           "list_transform(range(1, greatest(length(w), 1)), lambda i: substr(w, i, 2))))))")
 _TGRAMS = ("flatten(list_transform(regexp_extract_all({0}, '[가-힣A-Za-z0-9]+'), lambda w: list_concat(list_concat([w], "
@@ -285,6 +310,9 @@ ORACLE = {
       SELECT child_id AS tbl_id, min(depth) AS depth, arg_min(parent_id, (depth, parent_id)) AS list_id FROM w JOIN e ON e.parent_id = w.node AND e.is_table GROUP BY 1""",
     "c13_capped_visits": f"""WITH e AS ({EDGES}), l AS (SELECT child_id AS list_id, CASE WHEN min(parent_id) = 'root' THEN 1 ELSE 2 END AS depth FROM e WHERE NOT is_table GROUP BY 1)
       SELECT list_id, depth, CASE WHEN row_number() OVER (ORDER BY depth, list_id) <= 12 THEN 'visited' ELSE 'pending' END AS state FROM l""",
+    "c13_resumed_crawl": _CRAWL + """ SELECT list_id, position, CAST(CASE WHEN position = 1 THEN 1 ELSE ceil(parent / 7) END AS INT) AS run, CASE WHEN position <= 21 THEN 'visited' ELSE 'pending' END AS state
+      FROM q WHERE position = 1 OR parent <= 21""",
+    "c13_crawled_tables": _CRAWL + " SELECT child_id AS tbl_id, arg_min(parent_id, position) AS list_id FROM e JOIN q ON parent_id = q.list_id WHERE is_table AND position <= 21 GROUP BY 1",
     "c13_merge_catalog": with_clause("payload_a", "payload_b") + " SELECT k, payload FROM payload_b UNION ALL SELECT k, payload FROM payload_a WHERE k NOT IN (SELECT k FROM payload_b)",
     "c14_semantic_cards": _FIT + """ SELECT CASE WHEN sel <> '' THEN sel ELSE ind END AS indicator, period_kind AS time, CASE WHEN region <> '' THEN 'inferred' ELSE 'unconfirmed' END AS spatial_status,
       round(fit_score / 100, 2) AS semantic_confidence, count(*) AS n FROM fits GROUP BY 1, 2, 3, 4""",

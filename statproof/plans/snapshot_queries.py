@@ -194,8 +194,9 @@ ORACLE = {
     "d24_recommend_coords": _AX + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims)
       SELECT claim_id, label, value FROM cc JOIN ax ON claim_id % 5 <> 0 AND tbl_id = 'DT_ORD_M' AND CASE label WHEN '시점' THEN value = p WHEN '단위' THEN value = '건' WHEN '항목' THEN contains(value, '발주량') ELSE value = subj END
       UNION ALL SELECT claim_id, label, value FROM cc JOIN ax ON claim_id % 5 = 0 AND tbl_id = 'DT_RATE_Y' AND CASE label WHEN '항목' THEN value = '전년비(%)' WHEN '국가' THEN value = subj ELSE FALSE END""",
-    "d24_rows_at": _O + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims) SELECT claim_id, prd_de, dt FROM cc JOIN official_stats ON c1_nm = subj
-      AND CASE WHEN claim_id % 5 = 0 THEN tbl_id = 'DT_RATE_Y' AND itm_nm = '전년비(%)' ELSE tbl_id = 'DT_ORD_M' AND prd_de = p END""",
+    "d24_rows_at": _O + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims)
+      SELECT claim_id, prd_de, dt FROM cc JOIN official_stats ON c1_nm = subj AND prd_de = p WHERE claim_id % 5 <> 0 AND tbl_id = 'DT_ORD_M'
+      UNION ALL SELECT claim_id, prd_de, dt FROM cc JOIN official_stats ON c1_nm = subj WHERE claim_id % 5 = 0 AND tbl_id = 'DT_RATE_Y' AND itm_nm = '전년비(%)'""",
     "d25_evidence_draft": _O + """, f AS (SELECT * FROM official_stats QUALIFY row_number() OVER (PARTITION BY tbl_id ORDER BY concat_ws('|', prd_de, c1_nm, c2_nm, itm_nm)) = 1)
       SELECT tbl_id, tbl_nm AS title, itm_nm AS indicator, CASE WHEN c2_obj_nm = '' THEN c1_obj_nm ELSE concat(c1_obj_nm, ', ', c2_obj_nm) END AS dimensions, unit_nm AS unit, CASE org_id WHEN '101' THEN '국가데이터처' ELSE '한국은행' END AS organization, CASE length(prd_de) WHEN 6 THEN '월' ELSE '연' END AS time_dimension,
         CASE WHEN c2_nm = '' THEN concat(c1_obj_nm, '=', c1_nm) ELSE concat(c1_obj_nm, '=', c1_nm, ';', c2_obj_nm, '=', c2_nm) END AS source_selection, CAST(CASE WHEN c2_nm = '' THEN 1 ELSE 2 END AS BIGINT) AS parsed FROM f""",
