@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .shared import written
@@ -139,15 +140,24 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(np.full(len(values), order, np.int32)), pa.array(values), pa.array(n.astype(np.int64))], names=["lang", "order", "gram", "n"])
 
 
+def packed(scorer: Scorer) -> bytes:
+    """Compressed: a table of code lengths repeats itself, and it passes through the driver."""
+    return zstandard.ZstdCompressor(level=9).compress(pickle.dumps(scorer, pickle.HIGHEST_PROTOCOL))
+
+
+def unpacked(data: bytes) -> Scorer:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def _tables(numbers: dict[str, int]):
-    """The pickled scorer of each group of languages, from its rows of (group, lang, order, gram, n)."""
+    """The packed scorer of each group of languages, from its rows of (group, lang, order, gram, n)."""
     names = sorted(numbers, key=numbers.get)
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
         columns = [table.column(c).to_pylist() for c in ("lang", "order", "gram", "n")]
         scorer = Scorer(names[group * GROUP:(group + 1) * GROUP], [(numbers[lang] % GROUP, order, gram, n) for lang, order, gram, n in zip(*columns)])
-        return pa.table({"group": pa.array([group], pa.int32()), "scorer": pa.array([pickle.dumps(scorer, pickle.HIGHEST_PROTOCOL)], pa.binary())})
+        return pa.table({"group": pa.array([group], pa.int32()), "scorer": pa.array([packed(scorer)], pa.binary())})
     return run
 
 
@@ -221,11 +231,11 @@ def predict(df: DataFrame, model: tuple[list[str], list], keep: list[str], text:
         def scorers() -> Iterator[Scorer]:
             if len(tables) == 1:
                 if not held:
-                    held.append(pickle.loads(tables[0].value))
+                    held.append(unpacked(tables[0].value))
                 yield held[0]
             else:
                 for table in tables:
-                    yield pickle.loads(table.value)
+                    yield unpacked(table.value)
                     if getattr(table, "_path", None):  # it can be read again from its file
                         vars(table).pop("_value", None)
 
