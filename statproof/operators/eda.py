@@ -174,7 +174,7 @@ def filter_articles(rows: DataFrame, profile: DataFrame, quality: str = "all", b
     """Valid articles by quality, body-length band (nearest-rank quartiles) and candidate count."""
     art = valid_articles(rows)
     per = profile.groupBy("row_no").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("candidate").alias("n_candidates"))
-    a = art.join(per, "row_no", "left").na.fill(0, ["n_sentences", "n_candidates"])
+    a = stable(art.join(per, "row_no", "left").na.fill(0, ["n_sentences", "n_candidates"]))  # read several times below
     # One row each, cut off from its plan: a scalar that holds another scalar cannot be resolved inside a filter.
     sb, ss = stable(structure_stats(a, "clean_length")), stable(structure_stats(a, "n_sentences"))
     out = ((F.col("clean_length") < sb.select("low").scalar()) | (F.col("clean_length") > sb.select("high").scalar())
