@@ -2,16 +2,17 @@
 
 Search operators take queries(qid, query) and a catalog(ord, doc).  Identical query texts and identical documents are
 scored once: only distinct texts meet in the gram join, and of each distinct document only its first k tables can
-reach a top-k list, so popular texts add no pairs.
+reach a top-k list, so popular texts add no pairs.  Which pairs meet is decided by the bounds of `search`.
 """
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx
 from statproof.functions.scale import anchored_contains, first_per_key, ranked_per_key, stable, top_per_key
+from statproof.operators.search import top_candidates
 
 _WORDS = r"([가-힣A-Za-z0-9]+)"
 
@@ -49,14 +50,14 @@ def _expand(scored: DataFrame, queries: DataFrame, catalog: DataFrame, k: int) -
 
 def search_overlap(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     """Shared word/bigram count over the root of the union size."""
-    def side(df, key, text, gid):
-        return _distinct_texts(df, key, text, gid).withColumn("grams", overlap_grams(F.col("text")))
-    q, d = side(queries, "qid", "query", "qg"), side(catalog, "ord", "doc", "dg")
-    inter = (q.select("qg", F.explode("grams").alias("g")).join(d.select("dg", F.explode("grams").alias("g")), "g")
-             .groupBy("qg", "dg").agg(F.count(F.lit(1)).alias("inter")))
-    sized = (inter.join(q.select("qg", F.size("grams").alias("nq")), "qg").join(d.select("dg", F.size("grams").alias("nd")), "dg"))
-    score = F.round(F.col("inter") / F.sqrt(F.col("nq") + F.col("nd") - F.col("inter")), 4)
-    return _expand(sized.withColumn("score", score).withColumn("sort_score", F.col("score")), queries, catalog, k)
+    def side(df, key, text, gid, w, size):
+        grams = _distinct_texts(df, key, text, gid).withColumn("grams", overlap_grams(F.col("text")))
+        return grams.select(gid, F.explode("grams").alias("g"), F.lit(1.0).alias(w), F.size("grams").alias(size))
+    def score(inter, nq, nd):
+        return F.round(inter / F.sqrt(nq + nd - inter), 4)
+    pairs = top_candidates(side(queries, "qid", "query", "qg", "wq", "aq"), side(catalog, "ord", "doc", "dg", "wd", "ad"), k, score,
+                           lambda rest, nq: F.round(rest / F.sqrt(nq), 4))
+    return _expand(pairs.withColumn("score", score(F.col("dot"), F.col("aq"), F.col("ad"))).withColumn("sort_score", F.col("score")), queries, catalog, k)
 
 
 def search_tfidf(queries: DataFrame, catalog: DataFrame, k: int = 3, keywords: str = "keywords") -> DataFrame:
@@ -64,20 +65,17 @@ def search_tfidf(queries: DataFrame, catalog: DataFrame, k: int = 3, keywords: s
     corpus = catalog.select(F.array("doc", F.coalesce(keywords, F.lit(""))).alias("t")).select(F.explode("t").alias("t"))
     n = catalog.agg((F.count(F.lit(1)) * 2).alias("n")).scalar()
     df = corpus.groupBy("t").agg(F.count(F.lit(1)).alias("c")).select("c", F.explode(F.array_distinct(tfidf_grams(F.col("t")))).alias("g"))
-    idf = df.groupBy("g").agg(F.sum("c").alias("df")).select("g", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = stable(df.groupBy("g").agg(F.sum("c").alias("df")).select("g", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")))
 
-    def vectors(frame, key, text, gid):
+    def vectors(frame, key, text, gid, w, size):
         tf = (_distinct_texts(frame, key, text, gid).select(gid, F.explode(tfidf_grams(F.col("text"))).alias("g"))
-              .groupBy(gid, "g").agg(F.count(F.lit(1)).alias("tf")))
-        return tf.join(idf, "g").select(gid, "g", (F.col("tf") * F.col("idf")).alias("w"))
-    q, d = vectors(queries, "qid", "query", "qg"), vectors(catalog, "ord", "doc", "dg")
-
-    def norm(v, gid):
-        return v.groupBy(gid).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{gid}"))
-    dot = q.withColumnRenamed("w", "wq").join(d.withColumnRenamed("w", "wd"), "g").groupBy("qg", "dg").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    cos = dot.join(norm(q, "qg"), "qg").join(norm(d, "dg"), "dg").withColumn("score", F.col("dot") / (F.col("norm_qg") * F.col("norm_dg")))
+              .groupBy(gid, "g").agg(F.count(F.lit(1)).alias("tf"))).join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(gid)))
+        return tf.select(gid, "g", (F.col("w") / norm).alias(w), F.lit(1).alias(size))
+    pairs = top_candidates(vectors(queries, "qid", "query", "qg", "wq", "aq"), vectors(catalog, "ord", "doc", "dg", "wd", "ad"), k,
+                           lambda dot, aq, ad: dot, lambda rest, aq: rest)
     # equal vectors can differ in the last bits by summation order; ties are decided on nine decimals
-    return _expand(cos.withColumn("sort_score", F.round("score", 9)).where("sort_score > 0"), queries, catalog, k)
+    return _expand(pairs.withColumn("score", F.col("dot")).withColumn("sort_score", F.round("dot", 9)).where("sort_score > 0"), queries, catalog, k)
 
 
 def search_substring(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
@@ -88,9 +86,10 @@ def search_substring(queries: DataFrame, catalog: DataFrame, k: int = 10) -> Dat
     qw, dw = q.select(F.col("w").alias("qw")).distinct(), d.select(F.col("w").alias("dw")).distinct()
     pairs = (anchored_contains(dw, "dw", qw, "qw").select("qw", "dw")
              .unionByName(anchored_contains(qw, "qw", dw, "dw").select("qw", "dw")).distinct())
-    hits = (q.withColumnRenamed("w", "qw").join(pairs, "qw").join(d.withColumnRenamed("w", "dw"), "dw")
-            .groupBy("qg", "dg").agg(F.count(F.lit(1)).alias("score")))
-    return _expand(hits.withColumn("sort_score", F.col("score")), queries, catalog, k)
+    one = F.lit(1)
+    asked = q.withColumnRenamed("w", "qw").join(pairs, "qw").groupBy("qg", F.col("dw").alias("g")).agg(F.count(one).cast("double").alias("wq")).withColumn("aq", one)
+    hits = top_candidates(asked, d.select("dg", F.col("w").alias("g"), F.lit(1.0).alias("wd"), one.alias("ad")), k, lambda dot, aq, ad: dot, lambda rest, aq: rest)
+    return _expand(hits.withColumn("score", F.round("dot").cast("long")).withColumn("sort_score", F.col("score")), queries, catalog, k)
 
 
 def rrf(rankings: DataFrame, k: int = 60, top: int = 3) -> DataFrame:
