@@ -261,6 +261,35 @@ def suggest(hits: DataFrame, items: DataFrame, k: int = 3, metadata_limit: int |
     return top_per_key(fit.withColumnRenamed("rank", "hit_rank"), ["claim_id"], [F.desc("score"), "hit_rank"], k)
 
 
+def search_hits(profiles: DataFrame, catalog: DataFrame, qualified_depth: int = 100, plain_depth: int = 10) -> DataFrame:
+    """profiles(claim_id, profile) against catalog(ord, doc, org_id, tbl_id, ...) -> claim_id, rank and the columns of the table.
+
+    A profile with qualifiers asks each qualifier and then its indicator, and every table counts where it is seen first;
+    one without asks its indicator alone.  A profile without any term has no hits.  All distinct terms search one index."""
+    terms = F.array_compact(F.transform(F.concat(F.col("profile.qualifiers"), F.array("profile.indicator")), lambda t: F.nullif(F.trim(t), F.lit(""))))
+    asked = profiles.select("claim_id", F.when(F.size("profile.qualifiers") > 0, qualified_depth).otherwise(plain_depth).alias("_depth"),
+                            F.posexplode(F.array_distinct(terms)).alias("term_idx", "term"))
+    distinct = stable(asked.select(F.col("term").alias("qid"), F.col("term").alias("query")).distinct())
+    found = search_overlap(distinct, catalog.select("ord", "doc"), max(qualified_depth, plain_depth)).drop("score")
+    hits = (asked.join(found.withColumnRenamed("qid", "term"), "term").where(F.col("rank") <= F.col("_depth"))
+            .join(catalog.drop("doc"), "ord").drop("term"))
+    return union_hits(hits).where(F.col("rank") <= F.col("_depth")).drop("_depth", "term_idx", "term_rank")
+
+
+def suggest_for_claims(claims: DataFrame, catalog: DataFrame, items: DataFrame, k: int = 3, metadata_limit: int = 3) -> DataFrame:
+    """claims(claim_id, sentence) -> top-k candidates: profile, search, fit and order in one step.
+
+    A profile holds few fixed values, so each distinct one is searched and fitted once and its k candidates are handed to
+    its claims.  The official items of the first `metadata_limit` hits are read.  A sentence without indicator and
+    qualifier, or a null one, gives no candidate."""
+    profiled = claims.select("claim_id", F.explode(F.array(tx.claim_profile(F.coalesce("sentence", F.lit("")).alias("sentence")))).alias("profile"))
+    profiled = stable(profiled.where((F.col("profile.indicator") != "") | (F.size("profile.qualifiers") > 0)))
+    kinds = profiled.groupBy("profile").agg(F.min("claim_id").alias("claim_id"))
+    hits = search_hits(kinds, catalog).join(kinds, "claim_id")
+    best = suggest(hits, items, k, metadata_limit).drop("claim_id")
+    return profiled.join(best, "profile")
+
+
 def candidate_log(suggested: DataFrame) -> DataFrame:
     """One nested record per claim, then flattened to log rows (rank order kept)."""
     rec = F.struct("rank", "tbl_id", "score", "fit_score", "selected_item")

@@ -22,8 +22,9 @@ def opened_grams(asked: DataFrame, postings: DataFrame, k: int, final: Callable,
     """asked(qg, g, wq, aq) and postings(dg, g, wd, ad) -> qg, g, wq, aq, floor, closed, early, opened.
 
     early: the rarest gram, and those that follow within `OPENED` postings a wanted document; floor: a score that at
-    least k documents reach by early grams (null if these give fewer than k); closed: the most that all closed grams can add.  `final(dot, aq, ad)` grows with dot; `unseen(rest, aq)` is the best score of a document
-    that shares only grams adding up to `rest`."""
+    least k documents reach by early grams (null if these give fewer than k); closed: the most that all closed grams can
+    add.  `final(dot, aq, ad)` grows with dot; `unseen(rest, aq)` is the best score of a document that shares only grams
+    adding up to `rest`."""
     stats = postings.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.max("wd").alias("top"))
     rarest = Window.partitionBy("qg").orderBy("df", "g")
     ahead = rarest.rowsBetween(Window.unboundedPreceding, -1)
@@ -44,6 +45,7 @@ def top_candidates(asked: DataFrame, postings: DataFrame, k: int, final: Callabl
 
     A query text whose k best cannot be told from its rare grams opens all of them.  Queries or documents without grams,
     and grams that no document holds, give nothing."""
+    postings = stable(postings)
     plan = stable(opened_grams(asked, postings, k, final, unseen))
     seen = plan.where("opened").join(postings, "g").groupBy("qg", "dg").agg(
         F.sum(F.col("wq") * F.col("wd")).alias("seen"), F.first("aq").alias("aq"), F.first("ad").alias("ad"), F.first("floor").alias("floor"), F.first("closed").alias("closed"))

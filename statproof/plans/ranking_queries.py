@@ -98,6 +98,13 @@ def c10_log(spark, d):
     return op.candidate_log(op.suggest(_profiled(t), t.kr_items)).groupBy("selected_item", "rank").agg(F.count(F.lit(1)).alias("n"), F.sum("n_candidates").alias("total"))
 
 
+def c10_composed(spark, d):
+    t = Tables(spark, d)
+    catalog = t.kr_tables.select("tbl", F.col("tbl").alias("ord"), F.concat_ws(" ", "tbl_nm", "survey").alias("doc"), "org_id", "tbl_id", "tbl_nm", "survey")
+    found = op.suggest_for_claims(t.order_sentences, catalog, t.kr_items)
+    return found.select("claim_id", "rank", "hit_rank", "tbl", "score", "max_score", "selected_item")
+
+
 def c11(spark, d):
     t = Tables(spark, d)
     ev = t.evidence_objects.withColumn("selection", F.create_map(F.lit("지역"), "sel_region", F.lit("연령"), "sel_age"))
@@ -178,7 +185,7 @@ def c14_summary(spark, d):
 
 QUERIES = {
     "c01_search_overlap": c01, "c02_search_tfidf": c02, "c03_rrf": c03, "c04_search_substring": c04, "c05_union_hits": c05, "c06_filter_coverage": c06,
-    "c07_rerank": c07, "c08_candidate_fit": c08, "c09_best_item": c09, "c10_suggest": c10, "c10_candidate_log": c10_log, "c11_match_score": c11,
+    "c07_rerank": c07, "c08_candidate_fit": c08, "c09_best_item": c09, "c10_suggest": c10, "c10_candidate_log": c10_log, "c10_composed_search": c10_composed, "c11_match_score": c11,
     "c12_query_plan": c12, "c12_query_budget": c12_budget, "c13_expand_catalog": c13, "c13_capped_visits": c13_capped, "c13_merge_catalog": c13_merge, "c13_resumed_crawl": c13_resumed, "c13_crawled_tables": c13_crawled, "c14_semantic_cards": c14,
     "c14_card_summary": c14_summary,
 }
@@ -264,6 +271,17 @@ _FIT0 = (with_clause("table_hits", "kr_tables", "order_sentences", "kr_items") +
   fits AS (SELECT *, CAST(CASE WHEN max_score <= 0 THEN 0 ELSE greatest(0, least(100, round_even(score * 100.0 / max_score, 0))) END AS INT) AS fit_score FROM fit)""")
 _FIT = _FIT0.replace("{items}", "[it.a, it.b]")
 _SUG = _FIT
+# Terms of a profile, each term's tables by overlap, and every table where a claim sees it first.
+_TERMS = f""",
+  sq AS (SELECT claim_id, length(array_to_string(quals, '')) > 0 AS qualified, ts[i] AS term, i FROM (SELECT claim_id, quals, list_filter(list_concat(quals, [ind]), lambda x: x <> '') AS ts FROM pr), unnest(range(1, len(ts) + 1)) u(i)),
+  tg AS (SELECT term, {_GRAMS.format('term')} AS g FROM (SELECT DISTINCT term FROM sq)), kg AS (SELECT tbl, {_GRAMS.format("concat_ws(' ', tbl_nm, survey)")} AS g FROM kr_tables),
+  tk AS (SELECT term, tbl, len(list_intersect(tg.g, kg.g)) AS n, len(tg.g) + len(kg.g) AS total FROM tg, kg),
+  tr AS (SELECT term, tbl, row_number() OVER (PARTITION BY term ORDER BY round(n / sqrt(total - n), 4) DESC, tbl) AS r FROM tk WHERE n > 0),
+  su AS (SELECT claim_id, tbl, qualified, min(i * 1000 + r) AS place FROM sq JOIN tr USING (term) WHERE r <= CASE WHEN qualified THEN 100 ELSE 10 END GROUP BY 1, 2, 3),
+  sh AS (SELECT claim_id, tbl, row_number() OVER (PARTITION BY claim_id ORDER BY place) AS rank, qualified FROM su QUALIFY rank <= CASE WHEN qualified THEN 100 ELSE 10 END),
+  it AS ("""
+_COMPOSED = (_FIT0.replace(",\n  it AS (", _TERMS).replace("FROM table_hits h JOIN", "FROM sh h JOIN")
+             .replace("{items}", "CASE WHEN h.rank <= 3 THEN [it.a, it.b] ELSE [] END"))
 _UNIT11 = "CASE " + " ".join(f"WHEN contains(sentence, '{u}') THEN '{u}'" for u in lx.MATCH_UNITS) + " ELSE '' END"
 _SRC12 = with_clause("order_sentences") + ", " + o.source_cte("order_sentences", "o_src")
 
@@ -293,6 +311,8 @@ ORACLE = {
     "c09_best_item": _FIT + " SELECT sel AS item, ind AS indicator, count(*) AS n FROM fits GROUP BY 1, 2",
     "c10_suggest": _SUG + """, r AS (SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, rank) AS rk, rank AS hit_rank, tbl, score, sel FROM fits)
       SELECT claim_id, rk AS rank, hit_rank, tbl, score, sel AS selected_item FROM r WHERE rk <= 3""",
+    "c10_composed_search": _COMPOSED + """, r AS (SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, rank) AS rk, rank AS hit_rank, tbl, score, max_score, sel FROM fits)
+      SELECT claim_id, rk AS rank, hit_rank, tbl, score, CAST(max_score AS INT) AS max_score, sel AS selected_item FROM r WHERE rk <= 3""",
     "c10_candidate_log": _SUG + """, r AS (SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, rank) AS rk, sel FROM fits),
       g AS (SELECT *, count(*) OVER (PARTITION BY claim_id) AS n FROM r WHERE rk <= 3) SELECT sel AS selected_item, rk AS rank, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM g GROUP BY 1, 2""",
     "c11_match_score": with_clause("table_hits", "order_sentences", "evidence_objects") + f""", j AS (SELECT *, replace(sentence, ' ', '') AS z, replace(indicator, ' ', '') AS ind, {_UNIT11} AS su,

@@ -112,3 +112,23 @@ def test_empty_sides(spark):
     for call in (ranking.search_overlap, ranking.search_tfidf, ranking.search_substring):
         assert call(none[0], some[1]).isEmpty() and call(some[0], none[1]).isEmpty()
         assert call(*some).count() == 1
+
+
+def test_candidates_from_a_sentence(spark):
+    """Terms drive the search: a qualified claim asks each term, a plain one its indicator, one without terms nothing."""
+    names = ["배추 물가 통계", "소비자물가 총지수", "실업률 통계", "품목별 소비자물가지수 배추", "아무 표"]
+    catalog = spark.createDataFrame([(i, i, n, "O1", f"T{i}", n, "") for i, n in enumerate(names)],
+                                    "tbl long, ord long, doc string, org_id string, tbl_id string, tbl_nm string, survey string")
+    items = spark.createDataFrame([(2, 0, "실업률(%)"), (2, 1, "취업자"), (0, 0, "전월비(%)")], "tbl long, item_no int, item string")
+    claims = spark.createDataFrame([(1, "지난해 배추 가격이 5.2% 올랐다."), (2, "실업률은 6.1%다."), (3, "아무 관련 없는 문장"), (4, None), (5, ""), (6, "실업률은 6.1%다.")],
+                                   "claim_id long, sentence string")
+    got = {}
+    for r in ranking.suggest_for_claims(claims, catalog, items).orderBy("claim_id", "rank").collect():
+        got.setdefault(r["claim_id"], []).append(r)
+    assert set(got) == {1, 2, 6}
+    assert [r["tbl"] for r in got[2]] == [2] and got[2][0]["selected_item"] == "실업률(%)"
+    assert [r["tbl"] for r in got[1]][0] == 3 and len(got[1]) == 3
+    assert [(r["tbl"], r["score"]) for r in got[6]] == [(r["tbl"], r["score"]) for r in got[2]]
+    hits = ranking.search_hits(claims.where("claim_id = 1").select("claim_id", F.lit(None).alias("x")).select(
+        "claim_id", F.struct(F.array(F.lit("배추"), F.lit(" ")).alias("qualifiers"), F.lit("소비자물가").alias("indicator")).alias("profile")), catalog)
+    assert [r["tbl"] for r in hits.orderBy("rank").collect()] == [0, 3, 1]
