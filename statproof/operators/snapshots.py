@@ -156,19 +156,31 @@ def compare_snapshot(claims: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def rank_records(comparisons: DataFrame, records: DataFrame) -> DataFrame:
-    """Every stored record of the claim's table with four gate flags, the primary one first, then the alternatives in
-    gate order.  comparisons(claim_id, tbl_id, claim_period, claim_unit, evidence_indicator, evidence_selection, status,
-    official_value): a record is primary only if the comparison was decided and used that record's value."""
+    """Every stored record of the claim's table with four gate flags and its position: the primary record, then the
+    alternatives by gates, normalised period, indicator key, selection, value and unit.
+
+    comparisons(claim_id, tbl_id, claim_period, claim_unit, evidence_indicator, evidence_selection, status, official_value;
+    official_period if known): the primary record is the first in that order that passes all gates and holds the period
+    and value of a decided comparison; there is none otherwise.  Equal records keep any order among themselves, and one of
+    them is primary.  A record without selection, period, indicator or unit passes the gates that ask for none."""
     c = F.col
-    j = comparisons.join(records.withColumnRenamed("selection", "rsel"), "tbl_id")
-    flags = {"g_period": _norm_period(c("period")) == _norm_period(c("claim_period")), "g_indicator": _key(c("indicator")) == _key(c("evidence_indicator")),
-             "g_selection": _selected(c("rsel"), c("evidence_selection")), "g_unit": _unit(c("unit")) == c("claim_unit")}
+    j = comparisons.join(records.withColumnRenamed("selection", "rsel"), "tbl_id").withColumn("rsel", F.coalesce("rsel", F.create_map().cast("map<string,string>")))
+    period, unit, value = (F.coalesce(x, F.lit("")) for x in (_norm_period(c("period")), _unit(c("unit")), F.trim("value")))
+    official_period = F.coalesce("official_period", "claim_period") if "official_period" in comparisons.columns else c("claim_period")
+    flags = {"g_period": period == _norm_period(c("claim_period")), "g_indicator": _key(c("indicator")) == _key(c("evidence_indicator")),
+             "g_selection": _selected(c("rsel"), c("evidence_selection")), "g_unit": unit == _unit(c("claim_unit"))}
     for n, f in flags.items():
-        j = j.withColumn(n, f)
-    w = Window.partitionBy("claim_id").orderBy(*[F.desc(n) for n in flags], "period", "indicator", canonical_map(c("rsel")), "value")
-    used = c("status").isin("match", "mismatch") & (F.concat("value", "unit") == c("official_value"))
-    return (j.withColumn("match_score", sum((c(n).cast("int") for n in flags), F.lit(0))).withColumn("position", F.row_number().over(w))
-            .withColumn("is_primary", F.coalesce((c("position") == 1) & (c("match_score") == 4) & used, F.lit(False))))
+        j = j.withColumn(n, F.coalesce(f, F.lit(False)))
+    used = (c("status").isin("match", "mismatch") & (F.concat(value, F.trim(F.coalesce("unit", F.lit("")))) == c("official_value"))
+            & (period == _norm_period(official_period)))
+    j = j.withColumn("match_score", sum((c(n).cast("int") for n in flags), F.lit(0)))
+    selection = F.array_sort(F.map_entries("rsel"))
+    w = Window.partitionBy("claim_id").orderBy(*[F.desc(n) for n in flags], period, _key(c("indicator")), selection, value, unit)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    j = j.withColumn("_at", F.row_number().over(w)).withColumn("_used", F.coalesce((c("match_score") == 4) & used, F.lit(False)))
+    j = j.withColumn("_first", F.min(F.when(c("_used"), c("_at"))).over(whole))
+    return (j.withColumn("is_primary", F.coalesce(c("_at") == c("_first"), F.lit(False)))
+            .withColumn("position", F.when(c("is_primary"), 1).when(c("_at") < c("_first"), c("_at") + 1).otherwise(c("_at"))).drop("_at", "_used", "_first"))
 
 
 # --- table structure and coordinates ------------------------------------------------------------------------

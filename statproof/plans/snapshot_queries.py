@@ -85,6 +85,17 @@ def d21(spark, d):
     return r.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_primary").alias("primaries"), F.max("match_score").alias("best"), F.min_by("value", "position").alias("top_value"))
 
 
+def d21_order(spark, d):
+    """Claims that name a flag alone, so that records of several statuses pass all gates; the compared one is the largest."""
+    t = Tables(spark, d)
+    decided = t.snapshot_before.groupBy("period", "flag").agg(F.max("value").alias("v"))
+    c = decided.select(F.concat("period", "flag").alias("claim_id"), F.lit("DT_SHIP").alias("tbl_id"), F.replace("period", F.lit("-"), F.lit(".")).alias("claim_period"), F.lit(" 건").alias("claim_unit"),
+                       F.lit("출하수량").alias("evidence_indicator"), _map(flag=F.col("flag"), status=F.lit("")).alias("evidence_selection"),
+                       F.when(F.col("flag") == "R", "not_comparable").otherwise("match").alias("status"), F.concat("v", F.lit("건")).alias("official_value"))
+    r = op.rank_records(c, _snap(t.snapshot_before).select("tbl_id", "period", "indicator", "selection", "value", "unit"))
+    return r.select("claim_id", "position", "is_primary", "period", F.col("rsel")["flag"].alias("flag"), F.col("rsel")["status"].alias("record_status"), "value", "match_score")
+
+
 def d22(spark, d):
     return op.table_structure(_stats(Tables(spark, d)))
 
@@ -159,7 +170,7 @@ def d30(spark, d):
     return op.pending_requests(r, done).select("request_id")
 
 
-QUERIES = {"d15_build_snapshots": d15, "d16_evidence_id": d16, "d17_diff_snapshots": d17, "d17_diff_counts": d17_counts, "d18_revision_impact": d18, "d19_revision_queue": d19, "d20_compare_snapshot": d20, "d21_rank_records": d21,
+QUERIES = {"d15_build_snapshots": d15, "d16_evidence_id": d16, "d17_diff_snapshots": d17, "d17_diff_counts": d17_counts, "d18_revision_impact": d18, "d19_revision_queue": d19, "d20_compare_snapshot": d20, "d21_rank_records": d21, "d21_record_order": d21_order,
            "d22_table_structure": d22, "d23_coordinate_axes": d23, "d24_recommend_coords": d24, "d24_rows_at": d24_rows, "d25_evidence_draft": d25, "d26_complete_claims": d26, "d27_freeze_completions": d27, "d28_evaluate_formulas": d28,
            "d29_expand_coords": d29, "d30_pending_requests": d30}
 
@@ -189,6 +200,11 @@ ORACLE = {
         WHEN 'unit' THEN 'period,indicator,selection,value_kind' ELSE 'period,indicator,selection,value_kind,unit' END AS gates_passed FROM g""",
     "d21_rank_records": _S + """, c AS (SELECT DISTINCT period, flag FROM snapshot_before) SELECT concat(c.period, c.flag) AS claim_id, count(*) AS n, count(*) FILTER (s.period = c.period AND s.flag = c.flag AND s.status = 'F' AND c.flag <> 'A') AS primaries,
       max((s.period = c.period)::INT + 1 + (s.flag = c.flag AND s.status = 'F')::INT + 1) AS best, arg_min(s.value, (s.period <> c.period, NOT (s.flag = c.flag AND s.status = 'F'), s.period, s.flag, s.status)) AS top_value FROM c, snapshot_before s GROUP BY 1""",
+    "d21_record_order": _S + """, c AS (SELECT period AS p, flag AS f, max(value) AS v FROM snapshot_before GROUP BY 1, 2),
+      r AS (SELECT concat(p, f) AS claim_id, s.period, s.flag, s.status, s.value, CAST(2 + (s.period = p)::INT + (s.flag = f)::INT AS INT) AS match_score, s.period = p AS gp, s.flag = f AS gs,
+        f <> 'R' AND s.period = p AND s.flag = f AND s.value = v AS used FROM c, snapshot_before s),
+      m AS (SELECT *, row_number() OVER (PARTITION BY claim_id, used ORDER BY status) = 1 AND used AS is_primary FROM r)
+      SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY is_primary DESC, gp DESC, gs DESC, period, flag, status, value) AS INT) AS position, is_primary, period, flag, status AS record_status, value, match_score FROM m""",
     "d22_table_structure": _O + """ SELECT tbl_id, CASE WHEN tbl_id = 'DT_ORD_Y' THEN 2 ELSE 1 END AS varying, CASE tbl_id WHEN 'DT_ORD_Y' THEN 'crosstab' WHEN 'DT_RATE_Y' THEN 'indicator_bundle' ELSE 'time_series' END AS structure FROM official_stats GROUP BY tbl_id""",
     "d23_coordinate_axes": _AX + " SELECT tbl_id, label, count(*) AS n, min(value) AS lo, max(value) AS hi FROM ax GROUP BY 1, 2",
     "d24_recommend_coords": _AX + f""", cc AS (SELECT claim_id, {_C24} AS subj, y || '0' || (claim_id % 8 + 1) AS p FROM claims)
