@@ -336,10 +336,11 @@ def _useful_tokens(text: Column) -> Column:
 
 
 def make_query(sentence: Column, aliases=()) -> Column:
-    return let(substitute_aliases(sentence, aliases), lambda text: _query_of(text, sentence))
+    return let(substitute_aliases(sentence, aliases), lambda text: query_of(text, sentence))
 
 
-def _query_of(text: Column, sentence: Column) -> Column:
+def query_of(text: Column, sentence: Column) -> Column:
+    """Search words of a sentence whose aliases were replaced in `text`."""
     lead = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(lx.QUERY_HOUSEHOLD)) - 1)
     households = F.transform(F.regexp_extract_all(text, F.lit(lx.QUERY_HOUSEHOLD), F.lit(1)),
                              lambda n: F.concat(n, F.lit("인가구")))
@@ -350,7 +351,11 @@ def _query_of(text: Column, sentence: Column) -> Column:
 
 
 def query_variants(sentence: Column, aliases=()) -> Column:
-    both = F.array(strip(make_query(sentence, aliases)), strip(substitute_aliases(sentence, aliases)))
+    return variants_of(make_query(sentence, aliases), substitute_aliases(sentence, aliases))
+
+
+def variants_of(query: Column, text: Column) -> Column:
+    both = F.array(strip(query), strip(text))
     return F.filter(F.array_distinct(both), lambda q: q != "")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.operators import corpus, extraction as op
+from statproof.operators import corpus, dictionaries, extraction as op
 from statproof.plans import oracle_parts as o
 from statproof.plans.fixtures import Tables, with_clause
 
@@ -82,6 +82,30 @@ def b12(spark, d):
     return op.apply_aliases(sentences(spark, d), "sentence", ALIASES).select(*KEYS, F.md5("sentence").alias("h"))
 
 
+def _nation_aliases(t):
+    """A dictionary from the delivered nations: two aliases of a nation, one inside the other, and one that all claims share."""
+    n = t.nation.selectExpr("CAST(n_nationkey AS INT) AS ord", "inline(array(struct(n_name AS alias, concat('국가 ', n_name) AS canonical), struct(concat(n_name, ' 주문') AS alias, concat(n_name, ' 발주') AS canonical)))")
+    return n.unionByName(t.spark.sql("SELECT 1000 AS ord, '주문 건수' AS alias, '주문량 통계' AS canonical"))
+
+
+def b12_table(spark, d):
+    t = Tables(spark, d)
+    return dictionaries.apply_alias_table(t.claims.select("claim_id", "sentence"), "sentence", _nation_aliases(t))
+
+
+def b11_table(spark, d):
+    t = Tables(spark, d)
+    q = dictionaries.make_queries_from(t.claims, _nation_aliases(t))
+    return q.select("claim_id", "query", F.size("variants").cast("long").alias("n_variants"))
+
+
+def b06_table(spark, d):
+    t = Tables(spark, d)
+    rules = t.nation.selectExpr("CAST(n_nationkey AS INT) AS ord", "n_name AS rule_id", "concat(n_name, ' 주문 (?:건수|증감률)는') AS pattern", "n_name AS literal").unionByName(
+        spark.sql(r"SELECT 10 AS ord, 'shared' AS rule_id, r'\d건에\s' AS pattern, '건에' AS literal UNION ALL SELECT -1, 'open', r'역대\s*최대', ''"))
+    return dictionaries.apply_rule_table(t.claims.select("claim_id", "sentence"), rules).select("claim_id", "rule_id")
+
+
 def b13(spark, d):
     p = op.claim_profiles(sentences(spark, d))
     return p.select(*KEYS, "profile.topic", "profile.indicator", "profile.period", "profile.comparison", "profile.unit", "profile.region",
@@ -128,8 +152,8 @@ def b18(spark, d):
 
 QUERIES = {
     "b01_extract_quantities": b01, "b01_quantity_spans": b01_spans, "b02_resolve_period": b02, "b03_claim_op": b03, "b04_parse_claims": b04,
-    "b05_detect_candidates": b05, "b06_apply_rules": b06, "b07_rule_evidence": b07, "b08_mixed_fragments": b08, "b09_classify_source": b09,
-    "b10_search_terms": b10, "b11_make_query": b11, "b11_make_query_news": b11_news, "b12_apply_aliases": b12, "b13_claim_profile": b13,
+    "b05_detect_candidates": b05, "b06_apply_rules": b06, "b06_rule_table": b06_table, "b07_rule_evidence": b07, "b08_mixed_fragments": b08, "b09_classify_source": b09,
+    "b10_search_terms": b10, "b11_make_query": b11, "b11_make_query_news": b11_news, "b12_apply_aliases": b12, "b12_alias_table": b12_table, "b11_make_query_table": b11_table, "b13_claim_profile": b13,
     "b14_article_period": b14, "b15_atomic_claims": b15, "b16_claim_cards": b16, "b16_reviewed_cards": b16_reviewed, "b17_judge_decisions": b17,
     "b18_expand_periods": b18, "b18_capped_periods": b18_capped,
 }
@@ -281,7 +305,15 @@ def _ready(reviewed):
 
 
 _ITEM = r"([가-힣][가-힣·\s]{0,30}?)\s*\(([^()]+)\)"
+_NATIONS = """, al AS (SELECT list(concat(alias, '>', canonical) ORDER BY -length(alias), ord) AS pairs FROM (SELECT n_nationkey AS ord, n_name AS alias, '국가 ' || n_name AS canonical FROM nation
+  UNION ALL SELECT n_nationkey, n_name || ' 주문', n_name || ' 발주' FROM nation UNION ALL SELECT 1000, '주문 건수', '주문량 통계'))"""
+_REPLACED = ("list_reduce(pairs, lambda acc, x: CASE WHEN contains(sentence, split_part(x, '>', 1)) THEN replace(acc, split_part(x, '>', 1), split_part(x, '>', 2)) ELSE acc END, sentence)")
 ORACLE = {
+    "b06_rule_table": with_clause("claims") + """, ru AS (SELECT n_nationkey AS ord, n_name AS rule_id, n_name || ' 주문 (?:건수|증감률)는' AS pattern FROM nation UNION ALL SELECT 10, 'shared', '\\d건에\\s' UNION ALL SELECT -1, 'open', '역대\\s*최대')
+      SELECT claim_id, arg_min(rule_id, (ord, rule_id)) AS rule_id FROM claims LEFT JOIN ru ON regexp_matches(sentence, pattern) GROUP BY claim_id""",
+    "b12_alias_table": with_clause("claims") + _NATIONS + f" SELECT claim_id, {_REPLACED} AS sentence FROM claims, al",
+    "b11_make_query_table": with_clause("claims") + _NATIONS + ", " + _query_ctes("claims", "claim_id", []).replace("sentence AS t FROM claims", f"{_REPLACED} AS t FROM claims, al")
+    + " SELECT claim_id, query, CAST(CASE WHEN trim(query) = trim(t) THEN 1 ELSE 2 END AS BIGINT) AS n_variants FROM k4",
     "b01_extract_quantities": o.ARTICLES + ", " + _quantities("o_sents", "row_no, sentence_idx") + """ SELECT row_no, sentence_idx, q_idx, value, scale, unit,
       concat(scale, unit) AS composed_unit, value * factor AS normalized_value, raw, decimals FROM q2""",
     "b01_quantity_spans": o.ARTICLES + ", " + _quantities("o_sents", "row_no, sentence_idx") + " SELECT row_no, sentence_idx, q_idx, raw AS cut FROM q2",
