@@ -14,6 +14,9 @@ from statproof.operators import corpus, evidence
 from statproof.operators.queue import TERMINAL, TRANSITIONS
 
 
+COMPACT = 16  # batches from one compacted state table to the next
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder in the shared checkpoint folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -24,12 +27,44 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def earlier(spark: SparkSession, target: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows of earlier batches (an empty table before the first one)."""
+def _read(spark: SparkSession, base: str, pattern: str, schema: str) -> DataFrame | None:
     try:
-        return spark.read.schema(f"{schema}, batch_id long").parquet(target).where(F.col("batch_id") < batch_id)
-    except AnalysisException:
+        return spark.read.schema(f"{schema}, batch_id long").option("basePath", base).parquet(f"{base}/{pattern}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _rows(spark: SparkSession, target: str, base: int, batch_id: int, schema: str) -> DataFrame:
+    """The compacted rows up to batch `base` (-1: none) and those of the batches between it and `batch_id`."""
+    old = _read(spark, f"{target}-base", f"batch_id={base}", schema) if base >= 0 else None
+    if old is None:
+        new = _read(spark, target, "batch_id=*", schema)
+        new = None if new is None else new.where(F.col("batch_id") < batch_id)
+    else:
+        wanted = ",".join(str(i) for i in range(base + 1, batch_id))
+        new = _read(spark, target, f"batch_id={{{wanted}}}", schema) if wanted else None
+    found = [df for df in (old, new) if df is not None]
+    if not found:
         return spark.createDataFrame([], f"{schema}, batch_id long")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def earlier(spark: SparkSession, target: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows of earlier batches (an empty table before the first one): the newest compacted table and at most
+    `COMPACT` - 1 folders after it, however many batches ran.  Without that table all folders are read."""
+    return _rows(spark, target, batch_id // COMPACT * COMPACT - 1, batch_id, schema)
+
+
+def compact(spark: SparkSession, target: str, batch_id: int, schema: str, key: str) -> None:
+    """Every `COMPACT` batches: one row per key, its newest, of all batches so far as the next compacted table.
+
+    It is written inside its batch, so no later batch sees half of it; a batch that runs again writes it anew from the same
+    folders.  Older folders stay; they are not read any more."""
+    if (batch_id + 1) % COMPACT == 0:
+        rows = _rows(spark, target, batch_id - COMPACT, batch_id + 1, schema)
+        first_per_key(rows, [key], [F.desc("batch_id")]).drop("batch_id").write.mode("overwrite").parquet(f"{target}-base/batch_id={batch_id}")
 
 
 def _write(df: DataFrame, target: str, batch_id: int) -> None:
@@ -51,6 +86,7 @@ def stream_ingest(source: DataFrame, target: str, checkpoint: str) -> None:
         new = first_per_key(corpus.prepare_articles(batch).withColumn("article_key", corpus.article_key()), ["article_key"], ["row_no"])
         _write(new.join(old, "article_key", "left_anti").drop("anchored"), target, batch_id)
         _write(spark.read.parquet(f"{target}/batch_id={batch_id}").select("article_key"), keys, batch_id)
+        compact(spark, keys, batch_id, "article_key string", "article_key")
     run_available(source, body, checkpoint)
 
 
@@ -64,6 +100,7 @@ def stream_verify(claims: DataFrame, catalog: DataFrame, stats: DataFrame, targe
         todo = todo.join(earlier(spark, keys, batch_id, f"claim_id {name}").select("claim_id"), "claim_id", "left_anti")
         _write(evidence.verify_claims(todo, catalog, stats, registry), target, batch_id)
         _write(spark.read.parquet(f"{target}/batch_id={batch_id}").select("claim_id"), keys, batch_id)
+        compact(spark, keys, batch_id, f"claim_id {name}", "claim_id")
     run_available(claims, body, checkpoint)
 
 
@@ -80,8 +117,9 @@ def stream_lifecycle(events: DataFrame, target: str, checkpoint: str) -> None:
         spark = batch.sparkSession
         kind = {f.name: f.dataType.simpleString() for f in batch.schema.fields}
         ids, states = f"{target}-ids", f"{target}-states"
-        done = earlier(spark, ids, batch_id, f"event_id {kind['event_id']}").select("event_id")
-        known = earlier(spark, states, batch_id, f"claim_id {kind['claim_id']}, last_ts {kind['ts']}, last_event {kind['event_id']}, last_state string")
+        id_schema, state_schema = f"event_id {kind['event_id']}", f"claim_id {kind['claim_id']}, last_ts {kind['ts']}, last_event {kind['event_id']}, last_state string"
+        done = earlier(spark, ids, batch_id, id_schema).select("event_id")
+        known = earlier(spark, states, batch_id, state_schema)
         last = first_per_key(known, ["claim_id"], [F.desc("batch_id")]).drop("batch_id")
         new = batch.select(*cols).dropDuplicates(["event_id"]).join(done, "event_id", "left_anti")
         j = new.join(last, "claim_id", "left")
@@ -99,4 +137,6 @@ def stream_lifecycle(events: DataFrame, target: str, checkpoint: str) -> None:
         order = F.struct("ts", "event_id")
         _write(written.where("check <> 'late'").groupBy("claim_id").agg(
             F.max(order)["ts"].alias("last_ts"), F.max(order)["event_id"].alias("last_event"), F.max_by("state", order).alias("last_state")), states, batch_id)
+        compact(spark, ids, batch_id, id_schema, "event_id")
+        compact(spark, states, batch_id, state_schema, "claim_id")
     run_available(events, body, checkpoint)
