@@ -9,11 +9,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx, verdict as vd
 from statproof.functions.scale import anchored_contains, stable
-from statproof.operators.ranking import search_overlap
+from statproof.operators.ranking import filter_coverage, search_overlap
 
 _ROW_ORDER = ["c1_nm", "c2_nm", "itm_nm", "prd_de"]
 
 
+# --- tables of a claim --------------------------------------------------------------------------------------
+def candidate_tables(claims: DataFrame, catalog: DataFrame, depth: int = 10) -> DataFrame:
+    """claims(claim_id, sentence, period, ...) x the `depth` best tables of each sentence that can hold its year.
+
+    catalog(ord, tbl_id, org_id, tbl_nm, doc, start_prd, end_prd).  `rank` counts the tables that stay, `orig_rank` all hits;
+    an unknown year or range excludes nothing.  A claim whose sentence shares no word part with any table has no row."""
+    hits = search_overlap(claims.select(F.col("claim_id").alias("qid"), F.col("sentence").alias("query")), catalog.select("ord", "doc"), depth)
+    met = claims.join(hits.select(F.col("qid").alias("claim_id"), "ord", "rank"), "claim_id").join(catalog.drop("doc"), "ord")
+    return filter_coverage(met, depth).drop("ord", "score", "start_prd", "end_prd")
+
+
+def per_table(claims: DataFrame) -> DataFrame:
+    """Make every (claim, table) pair a claim of its own: `claim_id` becomes the struct (claim_id, tbl_id), so that the
+    operators below work on all candidate tables of a claim at once, each table apart from the others."""
+    return claims.withColumn("claim_id", F.struct("claim_id", "tbl_id"))
+
+
+def year_before(period: Column) -> Column:
+    """The same period one year earlier; null without a leading year."""
+    return F.concat((F.substring(period, 1, 4).try_cast("int") - 1).cast("string"), F.substring(period, 5, 100))
+
+
 # --- evidence slices ----------------------------------------------------------------------------------------
 def official_rows(stats: DataFrame) -> DataFrame:
     """Cube rows with a numeric value, an inferred unit and one row per usable period prefix (year, month/quarter)."""

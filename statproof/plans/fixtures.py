@@ -170,6 +170,16 @@ SELECT claim_id, c1, y, n, prev_n, tenths, k,
     ELSE concat({_str('y')}, '년 ', c1, ' 주문 건수는 지난달 ', {_thousands('n')}, '건으로 집계됐다.') END AS sentence
 FROM claim_seeds""")
 
+_define("cube_claims", "claims monthly_counts", f"""
+SELECT claim_id, c1, y, 0 AS m, k, article_date, sentence FROM claims
+UNION ALL
+SELECT 1000000000 + t.claim_id, t.c1, t.y, t.m, 12, concat({_str('t.y + 1')}, '-06-15'),
+  concat({_str('t.y')}, '년 ', {_str('t.m')}, '월 ', t.c1, ' 월간 발주량은 ', {_thousands('a.n')}, '건이다.')
+FROM (SELECT c_custkey AS claim_id, CASE WHEN c_custkey % 10 = 9 THEN '전국' ELSE n_name END AS c1,
+        1995 + c_custkey % 7 AS y, 1 + c_custkey % 12 AS m
+      FROM customer JOIN nation ON c_nationkey = n_nationkey) t
+JOIN monthly_counts a ON a.c1 = t.c1 AND a.y = t.y AND a.m = t.m""")
+
 # --- ranking ------------------------------------------------------------------------------------------------
 _define("part_catalog", "", f"""
 SELECT p_partkey AS ord, concat('T', {_str('p_partkey')}) AS tbl_id, concat('O', {_str('p_size % 7')}) AS org_id,
@@ -314,7 +324,7 @@ def with_clause(*names: str) -> str:
 
 
 # Derived inputs that several steps of one query read again: computed once and cut from the plan.
-REUSED = ("official_stats", "claims")
+REUSED = ("official_stats", "claims", "cube_claims")
 _CACHE: dict = {}
 
 

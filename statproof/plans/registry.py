@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["corpus", "extraction", "ranking", "evidence", "snapshot", "queue", "evaluation", "lab", "eda", "streaming"]
+FAMILIES = ["corpus", "extraction", "ranking", "evidence", "ranked_evidence", "snapshot", "queue", "evaluation", "lab", "eda", "streaming"]
 
 
 def _modules():
