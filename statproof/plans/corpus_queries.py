@@ -33,6 +33,16 @@ def a01_files(spark, d):
     return out.groupBy("kind", "title", "date", "url", "h").agg(F.count(F.lit(1)).alias("n"))
 
 
+def a01_splits(spark, d):
+    """Articles whose bodies hold quotes and line breaks, written as CSV and cut at true record ends in every split."""
+    path = f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}.csv"
+    body = F.concat("body", F.lit('\n"'), "title", F.lit('"\r\n, '), "date")
+    rows = Tables(spark, d).news.select(F.col("title").alias("제목"), F.col("date").alias("작성일"), F.col("url").alias("URL"), body.alias("본문"))
+    rows.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = src.read_articles(spark, path, "csv_splits").select("title", "date", "url", F.md5("body").alias("h"))
+    return got.groupBy("title", "date", "url", "h").agg(F.count(F.lit(1)).alias("n"))
+
+
 def a02(spark, d):
     rows = op.row_range(Tables(spark, d).news, "row_no", 101, 700)
     return rows.select(F.col("row_number").cast("long").alias("row_number"), "row_no", "title")
@@ -129,7 +139,7 @@ def a15(spark, d):
 
 
 QUERIES = {
-    "a01_article_scan": a01, "a01_article_files": a01_files, "a02_row_range": a02, "a02_selected_rows": a02_selected, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
+    "a01_article_scan": a01, "a01_article_files": a01_files, "a01_article_splits": a01_splits, "a02_row_range": a02, "a02_selected_rows": a02_selected, "a03_strip_chrome": a03, "a04_clean_body": a04, "a05_derive_section": a05,
     "a06_dedupe_articles": a06, "a07_content_ids": a07, "a08_split_sentences": a08, "a09_insert_new": a09,
     "a09_insert_counts": a09_counts, "a10_ingest_report": a10, "a10_import_previews": a10_previews, "a11_secret_scan": a11,
     "a12_contamination": a12, "a13_safe_csv": a13, "a14_bounded_export": a14, "a14_export_rows": a14_rows, "a15_page_definitions": a15,
@@ -146,6 +156,8 @@ _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replac
 
 ORACLE = {
     "a01_article_files": with_clause("news") + " SELECT kind, trim(coalesce(title, '')) AS title, trim(coalesce(date, '')) AS date, trim(coalesce(url, '')) AS url, md5(coalesce(body, '')) AS h, count(*) AS n FROM news, (VALUES ('csv'), ('jsonl')) k(kind) GROUP BY ALL",
+    "a01_article_splits": with_clause("news") + """ SELECT trim(coalesce(title, '')) AS title, trim(coalesce(date, '')) AS date, trim(coalesce(url, '')) AS url,
+      coalesce(md5(body || chr(10) || '"' || title || '"' || chr(13) || chr(10) || ', ' || date), md5('')) AS h, count(*) AS n FROM news GROUP BY ALL""",
     "a01_article_scan": with_clause("news") + " SELECT row_no, title, date, section, url, length(body) AS body_len, label FROM news",
     "a02_row_range": with_clause("news") + " SELECT * FROM (SELECT row_number() OVER (ORDER BY row_no) AS row_number, row_no, title FROM news) WHERE row_number BETWEEN 101 AND 700",
     "a02_selected_rows": with_clause("news") + """ SELECT row_number, row_no, title FROM (SELECT row_number() OVER (ORDER BY row_no) AS row_number, count(*) OVER () AS total, row_no, title FROM news)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from statproof.functions import lexicon as lx
+from statproof.sources.split_csv import read_csv_splits
 
 
 def resolve_headers(raw: DataFrame) -> DataFrame:
@@ -20,9 +21,11 @@ def resolve_headers(raw: DataFrame) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Read a CSV or JSONL dataset.  `row_no` keeps the row order of the source whatever split a file lands in: file,
+    """Read a CSV or JSONL dataset (`csv`: one task a file; `csv_splits`: one task a split).  `row_no` keeps the row order of the source whatever split a file lands in: file,
     first byte of the split, position; its text sorts in that order."""
     kind = kind or ("csv" if path.rstrip("/").endswith("csv") else "jsonl")
+    if kind == "csv_splits":
+        return resolve_headers(read_csv_splits(spark, path))
     if kind == "csv":
         raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
         raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
