@@ -426,8 +426,11 @@ def atomic_claims(sentence: Column) -> Column:
 
 # --- judge responses ----------------------------------------------------------------------------------------
 def first_json_object(response: Column) -> Column:
-    """Text of the first valid JSON object in a reply that may carry words around it; null when there is none."""
-    r = F.coalesce(response, F.lit(""))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(r), F.lit(1))), lambda i: F.substring(r, i, F.lit(1)) == "{")
-    objects = F.transform(starts, lambda i: F.get_json_object(F.substring(r, i, F.length(r)), "$"))
-    return F.try_element_at(F.filter(objects, lambda o: o.isNotNull() & o.startswith("{")), F.lit(1))
+    """Text of the first valid JSON object in a reply that may carry words around it; null when there is none.  Braces
+    are tried in order until one begins a valid object; the later ones are not parsed."""
+    parts = F.split(F.coalesce(response, F.lit("")), r"\{", -1)
+
+    def parsed(i: Column) -> Column:
+        return F.get_json_object(F.concat(F.lit("{"), F.array_join(F.slice(parts, i, F.size(parts)), "{")), "$")
+    found = F.aggregate(F.sequence(F.lit(2), F.size(parts)), F.lit(None).cast("string"), lambda done, i: F.coalesce(done, parsed(i)))
+    return F.when(F.size(parts) > 1, found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.functions.scale import anchored_contains, contained_maps, first_per_key
+from statproof.functions.scale import anchored_contains, contained_maps, first_per_key, stable
 
 LEVELS = range(1, 9)
 CURRENT_AGENCY = "국가데이터처"
@@ -50,6 +50,40 @@ def build_snapshots(stats: DataFrame) -> DataFrame:
     return head.withColumn("snapshot_id", F.concat(F.lit("snap-"), F.substring("content_hash", 1, 16)))
 
 
+LEAF = 64
+
+
+def snapshot_tree(stats: DataFrame) -> DataFrame:
+    """Snapshot header per table like `build_snapshots`, with a hash tree that has as many levels as the table needs.
+
+    A record's digest is the hash of its text; equal records make one entry with their count.  A node of the tree holds the
+    entries whose digests share a prefix: up to `LEAF` entries hash as their sorted list, more hash as the hashes of the
+    sixteen nodes below, each with its digit.  So the hash depends on the records alone, not on partitions, order or depth
+    of the computation, and no group gathers more than sixteen leaves.  The levels follow the largest table: at the deepest
+    one a node is expected to hold 1/16 of an entry, so more than `LEAF` there would need colliding digests."""
+    r = snapshot_records(stats)
+    line = F.sha2(F.concat_ws("|", "period", "indicator", canonical_map(F.col("selection")), "value", "unit", "last_changed"), 256)
+    entries = r.select("org_id", "tbl_id", line.alias("h")).groupBy("org_id", "tbl_id", "h").agg(F.count(F.lit(1)).alias("c"))
+    entries = stable(entries)
+    largest = entries.groupBy("org_id", "tbl_id").count().agg(F.max("count")).first()[0] or 0
+    depth = len(f"{largest:x}") + 1
+    nodes = entries.select("org_id", "tbl_id", F.substring("h", 1, depth).alias("at"), F.col("c").alias("n"),
+                           F.array(F.concat_ws("*", "h", "c")).alias("few"), F.lit("").alias("d"))
+    for level in range(depth, -1, -1):
+        child = F.struct(F.substring("at", -1, 1).alias("digit"), "n", "few", "d")
+        merged = nodes.groupBy("org_id", "tbl_id", F.substring("at", 1, level).alias("at")).agg(F.collect_list(child).alias("below"))
+        # A level adds nothing where every node below is still a list that fits here as well.
+        lists = F.sort_array(F.flatten("below.few"))
+        small = F.forall("below", lambda x: F.size(x["few"]) > 0) & (F.size(lists) <= LEAF)
+        closed = F.transform(F.sort_array("below"), lambda x: F.concat(x["digit"], F.when(F.size(x["few"]) > 0, F.sha2(F.array_join(x["few"], ";"), 256)).otherwise(x["d"])))
+        total = F.aggregate("below", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        nodes = merged.select("org_id", "tbl_id", "at", total.alias("n"), F.when(small, lists).otherwise(F.array().cast("array<string>")).alias("few"),
+                              F.when(~small, F.sha2(F.array_join(closed, ";"), 256)).otherwise(F.lit("")).alias("d"))
+    root = F.when(F.size("few") > 0, F.sha2(F.array_join("few", ";"), 256)).otherwise(F.col("d"))
+    return nodes.select("org_id", "tbl_id", F.col("n").alias("n_records"), root.alias("content_hash")).withColumn(
+        "snapshot_id", F.concat(F.lit("snap-"), F.substring("content_hash", 1, 16)))
+
+
 def evidence_id(table: Column, indicator: Column, selection: Column) -> Column:
     t = _clean(table)
     return F.concat(t, F.lit(":"), F.substring(F.sha2(F.concat_ws("|", t, _clean(indicator), canonical_map(selection)), 256), 1, 16))

@@ -24,6 +24,10 @@ def d15(spark, d):
     return op.build_snapshots(Tables(spark, d).official_stats).select("org_id", "tbl_id", "n_records", "snapshot_id", "content_hash")
 
 
+def d15_tree(spark, d):
+    return op.snapshot_tree(Tables(spark, d).official_stats).select("org_id", "tbl_id", "n_records", "snapshot_id", "content_hash")
+
+
 def d16(spark, d):
     s = Tables(spark, d).snapshot_before
     a = op.evidence_id(F.col("tbl_id"), F.col("indicator"), _map(flag=F.col("flag"), status=F.col("status")))
@@ -170,7 +174,7 @@ def d30(spark, d):
     return op.pending_requests(r, done).select("request_id")
 
 
-QUERIES = {"d15_build_snapshots": d15, "d16_evidence_id": d16, "d17_diff_snapshots": d17, "d17_diff_counts": d17_counts, "d18_revision_impact": d18, "d19_revision_queue": d19, "d20_compare_snapshot": d20, "d21_rank_records": d21, "d21_record_order": d21_order,
+QUERIES = {"d15_build_snapshots": d15, "d15_snapshot_tree": d15_tree, "d16_evidence_id": d16, "d17_diff_snapshots": d17, "d17_diff_counts": d17_counts, "d18_revision_impact": d18, "d19_revision_queue": d19, "d20_compare_snapshot": d20, "d21_rank_records": d21, "d21_record_order": d21_order,
            "d22_table_structure": d22, "d23_coordinate_axes": d23, "d24_recommend_coords": d24, "d24_rows_at": d24_rows, "d25_evidence_draft": d25, "d26_complete_claims": d26, "d27_freeze_completions": d27, "d28_evaluate_formulas": d28,
            "d29_expand_coords": d29, "d30_pending_requests": d30}
 
@@ -185,7 +189,15 @@ _G20 = _O + """, g AS (SELECT claim_id, CASE WHEN k = 9 THEN 'no_quantity' WHEN
 _AX = _O + """, ax AS (SELECT tbl_id, '국가' AS label, c1_nm AS value FROM official_stats UNION SELECT tbl_id, c2_obj_nm, c2_nm FROM official_stats WHERE c2_nm <> '' UNION SELECT tbl_id, '항목', itm_nm FROM official_stats
   UNION SELECT tbl_id, '시점', prd_de FROM official_stats UNION SELECT tbl_id, '단위', unit_nm FROM official_stats WHERE unit_nm <> '')"""
 _C24 = "CASE WHEN c1 = '전국' THEN c1 ELSE '국가 : ' || c1 END"
+# The hash tree from the definition: every level from the entries, children hashed where a node holds more than a leaf.
+_TREE_DEPTH = 6
+_TREE = _O + """, e AS (SELECT org_id, tbl_id, h, h || '*' || count(*) AS x, count(*) AS c FROM (SELECT org_id, tbl_id,
+    sha256(concat_ws('|', prd_de, itm_nm, concat(c1_obj_nm, '=', c1_nm, CASE WHEN c2_nm = '' THEN '' ELSE concat(';', c2_obj_nm, '=', c2_nm) END), dt, unit_nm, lst_chn_de)) AS h FROM official_stats) GROUP BY org_id, tbl_id, h)""" + "".join(
+    f""", t{k} AS (SELECT org_id, tbl_id, a.node, n, CASE WHEN m <= {op.LEAF} THEN a.s ELSE b.s END AS d FROM (SELECT org_id, tbl_id, substr(h, 1, {k}) AS node, sum(c)::BIGINT AS n, count(*) AS m, sha256(string_agg(x, ';' ORDER BY x)) AS s FROM e GROUP BY ALL) a
+    LEFT JOIN """ + (f"(SELECT org_id, tbl_id, substr(node, 1, {k}) AS node, sha256(string_agg(substr(node, {k + 1}, 1) || d, ';' ORDER BY node)) AS s FROM t{k + 1} GROUP BY ALL)" if k < _TREE_DEPTH else
+                     "(SELECT NULL AS s, '' AS org_id, '' AS tbl_id, '' AS node)") + " b USING (org_id, tbl_id, node))" for k in range(_TREE_DEPTH, -1, -1))
 ORACLE = {
+    "d15_snapshot_tree": _TREE + " SELECT org_id, tbl_id, n AS n_records, 'snap-' || substr(d, 1, 16) AS snapshot_id, d AS content_hash FROM t0",
     "d15_build_snapshots": _O + """, l AS (SELECT org_id, tbl_id, sha256(concat_ws('|', prd_de, itm_nm, concat(c1_obj_nm, '=', c1_nm, CASE WHEN c2_nm = '' THEN '' ELSE concat(';', c2_obj_nm, '=', c2_nm) END), dt, unit_nm, lst_chn_de)) AS h FROM official_stats),
       p AS (SELECT org_id, tbl_id, substr(h, 1, 3) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM l GROUP BY ALL),
       c AS (SELECT org_id, tbl_id, sum(n)::BIGINT AS n_records, sha256(string_agg(d, '' ORDER BY p)) AS content_hash FROM p GROUP BY ALL)
