@@ -171,9 +171,9 @@ SELECT claim_id, c1, y, n, prev_n, tenths, k,
 FROM claim_seeds""")
 
 _define("cube_claims", "claims monthly_counts", f"""
-SELECT claim_id, c1, y, 0 AS m, k, article_date, sentence FROM claims
+SELECT claim_id, c1, y, 0 AS m, k, n, tenths, article_date, sentence FROM claims
 UNION ALL
-SELECT 1000000000 + t.claim_id, t.c1, t.y, t.m, 12, concat({_str('t.y + 1')}, '-06-15'),
+SELECT 1000000000 + t.claim_id, t.c1, t.y, t.m, 12, a.n, NULL, concat({_str('t.y + 1')}, '-06-15'),
   concat({_str('t.y')}, '년 ', {_str('t.m')}, '월 ', t.c1, ' 월간 발주량은 ', {_thousands('a.n')}, '건이다.')
 FROM (SELECT c_custkey AS claim_id, CASE WHEN c_custkey % 10 = 9 THEN '전국' ELSE n_name END AS c1,
         1995 + c_custkey % 7 AS y, 1 + c_custkey % 12 AS m

@@ -1,4 +1,4 @@
-"""D01-D07 and D09 on every table that a claim's own search finds, with their DuckDB oracles.
+"""D01-D07, D09, D20 and D24 on every table that a claim's own search finds, with their DuckDB oracles.
 
 The claims name orders, rates, indexes and monthly counts, so that the ranked hits reach all tables of the cube."""
 from __future__ import annotations
@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statproof.functions.scale import stable
-from statproof.operators import evidence as op
+from statproof.operators import evidence as op, snapshots as snap
 from statproof.plans.fixtures import Tables, with_clause
 from statproof.plans.ranking_queries import _GRAMS
+from statproof.plans.snapshot_queries import _stats
 
 PAIR = ["claim_id.claim_id", "claim_id.tbl_id"]
 
@@ -70,8 +71,30 @@ def d09(spark, d):
     return rates.select(*PAIR, F.round("rate", 6).alias("rate"), "direction")
 
 
+def _subjects(t):
+    """Pairs with the cube's name of the claim's nation."""
+    subject = F.when(F.col("c1") == "전국", F.col("c1")).otherwise(F.concat(F.lit("국가 : "), "c1"))
+    return op.per_table(ranked(t).join(t.cube_claims.select("claim_id", subject.alias("subject")), "claim_id"))
+
+
+def d20(spark, d):
+    """Every pair against the stored records of the table's first indicator."""
+    t = Tables(spark, d)
+    records = snap.snapshot_records(t.official_stats)
+    first = records.groupBy("tbl_id").agg(F.min("indicator").alias("evidence_indicator"))
+    claims = _subjects(t).join(first, "tbl_id").select("claim_id", "sentence", F.col("article_date").alias("date"), "tbl_id", "evidence_indicator",
+                                                       F.create_map(F.lit("국가"), "subject").alias("evidence_selection"))
+    return snap.compare_snapshot(claims, records).select(*PAIR, "status", "gate")
+
+
+def d24(spark, d):
+    t = Tables(spark, d)
+    claims = _subjects(t).select("claim_id", "tbl_id", "subject", "period", F.lit("건").alias("unit"), F.lit("").alias("comparison"))
+    return snap.recommend_coords(snap.coordinate_axes(_stats(t)), claims).select(*PAIR, "label", "value")
+
+
 QUERIES = {"d01_ranked_evidence": d01, "d02_ranked_category": d02, "d03_ranked_basis": d03, "d04_ranked_totals": d04,
-           "d05_ranked_guards": d05, "d09_ranked_rates": d09}
+           "d05_ranked_guards": d05, "d09_ranked_rates": d09, "d20_ranked_snapshot": d20, "d24_ranked_coords": d24}
 
 _CAND = with_clause("cube_claims", "official_stats", "catalog_tables") + f""",
   dg AS (SELECT tbl_id, tbl_nm, CAST(substr(first_prd, 1, 4) AS INT) AS lo, CAST(substr(last_prd, 1, 4) AS INT) AS hi,
@@ -93,6 +116,7 @@ _PICK = _CAND + """,
     LEFT JOIN (SELECT tbl_id, p, c1_nm FROM cats WHERE c1_nm = '전국') whole USING (tbl_id, p)),
   ev AS (SELECT pick.*, c1_nm, c2_nm, itm_nm, prd_de, lst_chn_de, value FROM pick JOIN cube ON cube.tbl_id = pick.tbl_id AND cube.p = pick.p AND c1_nm = c1_pick
     UNION ALL SELECT pick.*, c1_nm, c2_nm, itm_nm, prd_de, lst_chn_de, value FROM pick JOIN cube ON cube.tbl_id = pick.tbl_id AND cube.p = pick.p WHERE c1_pick IS NULL)"""
+_NATION = "CASE WHEN c1 = '전국' THEN c1 ELSE concat('국가 : ', c1) END"
 
 ORACLE = {
     "d01_ranked_evidence": _CAND + """ SELECT claim_id, tbl_id, rank, CASE WHEN k = 12 THEN 'M' ELSE 'Y' END AS prd_se, count(*) AS n, round(sum(value), 3) AS total
@@ -111,4 +135,17 @@ ORACLE = {
         JOIN cube a ON a.tbl_id = c.tbl_id AND a.p = c.p AND a.c1_nm = c1_pick AND a.c2_nm = '계'
         JOIN cube b ON b.tbl_id = c.tbl_id AND b.p = CAST(c.yy - 1 AS STRING) AND b.c1_nm = c1_pick AND b.c2_nm = '계' WHERE k IN (5, 10))
       SELECT claim_id, tbl_id, round(rate, 6) AS rate, CASE WHEN rate > 0 THEN 'up' ELSE 'down' END AS direction FROM z""",
+    "d20_ranked_snapshot": _CAND + f""", q AS (SELECT *, {_NATION} AS subject, CASE WHEN k IN (5, 6) THEN '%' WHEN k = 10 THEN '명' WHEN k = 8 THEN '' ELSE '건' END AS qu,
+        CASE k WHEN 1 THEN n + 7 + n // 5 WHEN 2 THEN n - 1 WHEN 3 THEN n - 5 WHEN 8 THEN (1000 + coalesce(tenths, 15)) / 10 WHEN 10 THEN n * 10000 ELSE n END AS qv FROM cand),
+      ind AS (SELECT tbl_id, min(itm_nm) AS itm_nm FROM official_stats GROUP BY 1),
+      own AS (SELECT o.* FROM official_stats o JOIN ind USING (tbl_id, itm_nm)),
+      slices AS (SELECT DISTINCT tbl_id, prd_de AS p, TRUE AS here FROM own),
+      rec AS (SELECT tbl_id, prd_de AS p, c1_nm AS subject, first(unit_nm ORDER BY c2_nm, dt) AS ru, first(TRY_CAST(replace(dt, ',', '') AS DOUBLE) ORDER BY c2_nm, dt) AS rv, TRUE AS held FROM own GROUP BY ALL),
+      g AS (SELECT claim_id, tbl_id, qv, rv, CASE WHEN k = 9 THEN 'no_quantity' WHEN here IS NULL THEN 'period' WHEN held IS NULL THEN 'selection' WHEN qu = '%' THEN 'value_kind'
+        WHEN qu <> ru THEN 'unit' WHEN rv IS NULL THEN 'unreadable_value' END AS gate FROM q LEFT JOIN slices USING (tbl_id, p) LEFT JOIN rec USING (tbl_id, p, subject))
+      SELECT claim_id, tbl_id, CASE WHEN gate IS NOT NULL THEN 'not_comparable' WHEN abs(qv - rv) <= 0 THEN 'match' ELSE 'mismatch' END AS status, coalesce(gate, 'compared') AS gate FROM g""",
+    "d24_ranked_coords": _CAND + f""", q AS (SELECT claim_id, tbl_id, p, {_NATION} AS subject FROM cand)
+      SELECT claim_id, tbl_id, '시점' AS label, p AS value FROM q WHERE EXISTS (SELECT 1 FROM official_stats o WHERE o.tbl_id = q.tbl_id AND o.prd_de = q.p)
+      UNION ALL SELECT claim_id, tbl_id, '단위', '건' FROM q WHERE EXISTS (SELECT 1 FROM official_stats o WHERE o.tbl_id = q.tbl_id AND o.unit_nm = '건')
+      UNION ALL SELECT claim_id, tbl_id, '국가', subject FROM q WHERE EXISTS (SELECT 1 FROM official_stats o WHERE o.tbl_id = q.tbl_id AND o.c1_nm = q.subject)""",
 }
