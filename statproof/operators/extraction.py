@@ -74,10 +74,13 @@ def apply_aliases(df: DataFrame, column: str, aliases) -> DataFrame:
     return df.withColumn(column, tx.substitute_aliases(F.col(column), aliases))
 
 
-def claim_profiles(sent: DataFrame, article: str = "article_id", order: str = "sentence_idx") -> DataFrame:
-    """Profile per sentence; a vague indicator with an anaphor inherits from the nearest earlier sentence that has one."""
+def claim_profiles(sent: DataFrame, article: str = "article_id", order: str = "sentence_idx", tie: str = "row_no") -> DataFrame:
+    """Profile per sentence; a vague indicator with an anaphor inherits from the nearest earlier sentence that has one.
+
+    Rows without URL can share an article id by their title and date; their sentences of equal index stand in `tie` order,
+    if the input has that column."""
     own = sent.withColumn("p", tx.claim_profile(S()))
-    prior = last_known_by_bucket(own, [article], F.floor(F.col(order) / 1000), [order],
+    prior = last_known_by_bucket(own, [article], F.floor(F.col(order) / 1000), [order, tie] if tie in sent.columns else [order],
                                  F.when(F.col("p.indicator") != "", F.col("p")), "prior")
     inherit = (F.col("p.indicator").isin(lx.GENERIC_INDICATORS) & F.col("prior").isNotNull() & S().rlike(lx.ANAPHOR))
 
