@@ -128,7 +128,7 @@ def a14(spark, d):
 
 def a14_rows(spark, d):
     runs = Tables(spark, d).detector_rows.select("run_id", "doc_id", "lang", F.concat(F.lit("="), "review").alias("review"))
-    return src.bounded_export(runs, [F.desc("run_id"), "doc_id"])
+    return src.export_parts(runs, "doc_id", [F.desc("run_id"), "doc_id"]).select(*runs.columns)
 
 
 HOSTS = ["example.com", "example.org"]

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from statproof.functions import lexicon as lx
+from statproof.functions.scale import with_row_number
 from statproof.sources.split_csv import read_csv_splits
 
 
@@ -67,3 +68,15 @@ def bounded_export(df: DataFrame, order: list, max_rows: int = 50_000, max_bytes
     ok = export_size(safe, max_rows, max_bytes).select("allowed").scalar()
     guard = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("export exceeds the row or byte limit")).cast("boolean"))
     return safe.where(guard).orderBy(*order)
+
+
+def export_parts(df: DataFrame, key: str, order: list, max_rows: int = 50_000, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
+    """Every export row with the file it belongs to (`part`, from 0): a table beyond the limits of one export leaves whole, in
+    several files.  Files follow the order of the unique numeric `key`, rows inside a file stand in `order`.  A file holds as
+    many rows as fit both limits at the size of the largest row; a single row beyond the byte limit is an error."""
+    safe = spreadsheet_safe(df)
+    text = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+    largest = safe.agg(F.coalesce(F.max(F.octet_length(text) + 1), F.lit(1)).alias("n")).scalar()
+    rows = F.least(F.lit(max_rows), F.floor(F.lit(max_bytes) / largest))
+    rows = F.when(rows >= 1, rows).otherwise(F.raise_error(F.lit("a row exceeds the byte limit")).cast("long"))
+    return with_row_number(safe, key, "_row").withColumn("part", F.floor((F.col("_row") - 1) / rows)).drop("_row").orderBy("part", *order)

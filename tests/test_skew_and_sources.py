@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statproof.functions import scale
 from statproof.operators import corpus, ranking, snapshots
+from statproof.plans import corpus_queries
 from statproof.sources import articles as src
 from statproof.streaming import jobs
 
@@ -58,6 +59,24 @@ def test_bounded_export_refuses_instead_of_cutting(spark):
         src.bounded_export(df, [F.desc("id")], max_rows=19).collect()
 
 
+def test_export_parts_hold_every_row_within_the_limits(spark):
+    df = spark.range(25).select("id", F.concat(F.lit("="), F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("c"))
+    got = src.export_parts(df, "id", [F.desc("id")], max_rows=10, max_bytes=10_000)
+    assert [(r["part"], r["id"]) for r in got.collect()] == [(p, i) for p, ids in ((0, range(9, -1, -1)), (1, range(19, 9, -1)), (2, range(24, 19, -1))) for i in ids]
+    sizes = src.export_parts(df, "id", ["id"], max_rows=10, max_bytes=100).groupBy("part").agg(F.sum(F.length("id") + F.length("c") + 2).alias("n"), F.count("id").alias("k")).collect()
+    assert sum(r["k"] for r in sizes) == 25 and max(r["n"] for r in sizes) <= 100
+    assert src.export_parts(df.where("id < 0"), "id", ["id"]).count() == 0
+    with pytest.raises(Exception, match="byte limit"):
+        src.export_parts(df, "id", ["id"], max_bytes=20).collect()
+
+
+def test_export_query_gives_more_rows_than_one_export_may_hold(spark, tmp_path):
+    docs = spark.range(50_001).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit("t").alias("text"), F.lit(1).alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_queries.QUERIES["a14_export_rows"](spark, str(tmp_path)).count() == 50_001
+
+
 def test_catalog_cycles_and_row_range(spark):
     edges = spark.createDataFrame([("r", "a", False), ("a", "b", False), ("b", "a", False), ("b", "T1", True), ("r", "T1", True), ("x", "T2", True)], "parent_id string, child_id string, is_table boolean")
     got = ranking.expand_catalog(edges, spark.createDataFrame([("r",)], "root_id string")).collect()
