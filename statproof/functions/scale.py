@@ -6,6 +6,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BUCKETS = 256
+SALTS = 16
+BITMAP_WORDS = 1 << 14  # 64-bit words of a bitmap (128 KB); more values only let more through to the join
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -117,19 +119,47 @@ def last_known_by_bucket(df: DataFrame, keys: list, bucket: Column, order: list,
             .withColumn(name, F.coalesce("_in", "_carry")).drop("_tb", "_v", "_in", "_carry"))
 
 
+def _slot(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(64 * BITMAP_WORDS))
+
+
+def bitmap_of(values: DataFrame, value: str) -> Column:
+    """Bitmap of fixed size (128 KB) over the hashes of a column, as a scalar."""
+    slots = values.select(_slot(F.col(value)).alias("s")).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("w"))
+    every = values.sparkSession.range(BITMAP_WORDS).select(F.col("id").alias("at")).join(slots, "at", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"])).scalar()
+
+
+def likely_in(bits: str, value: Column) -> Column:
+    """False only if `value` is none of the values of the bitmap in column `bits`."""
+    found = F.transform(F.array(_slot(value)), lambda s: F.getbit(F.element_at(F.col(bits), (F.shiftright(s, 6) + 1).cast("int")), (s % 64).cast("int")) == 1)
+    return F.get(found, F.lit(0))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list, spread: list, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join many rows with a small table on keys of few values.  The rows of one key are dealt to `salts` groups by a hash of
+    the `spread` columns and the small table is copied to each group; neither side is broadcast, whatever its estimate."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts))).join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def anchored_contains(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list | None = None,
-                      gram: int = 2) -> DataFrame:
+                      gram: int = 2, salts: int = 1) -> DataFrame:
     """Pairs where the needle occurs in the text, as an equi-join: each needle is filed under its first `gram`
-    characters and each text under its distinct grams, then the hit is confirmed.  Shorter needles are filed under
-    their own full length, so the join is exact for any length.  `on` adds equality keys."""
+    characters and each text under those of its distinct grams that may begin a needle, then the hit is confirmed.  Shorter
+    needles are filed under their own full length, so the join is exact for any length.  `on` adds equality keys.
+
+    Sizes are estimated before texts are cut into grams, so the join is sorted rather than broadcast on such an estimate.
+    With few needles for many texts, `salts` deals the texts of one gram to so many groups and copies the needles to each."""
     on = on or []
     filed = (needles.where(F.length(needle) > 0)
              .withColumn("_gram", F.substring(needle, F.lit(1), F.least(F.length(needle), F.lit(gram)))))
     def windows(g: int) -> Column:
         last = F.greatest(F.length(text) - g + 1, F.lit(1))
         return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(g)))
-    grams = F.array_distinct(F.flatten(F.array(*[windows(g) for g in range(1, gram + 1)])))
-    return (texts.withColumn("_gram", F.explode(grams)).join(filed, [*on, "_gram"])
+    grams = F.filter(F.array_distinct(F.flatten(F.array(*[windows(g) for g in range(1, gram + 1)]))), lambda w: likely_in("_bits", w))
+    cut = texts.withColumn("_bits", bitmap_of(filed.select("_gram").distinct(), "_gram")).withColumn("_gram", F.explode(grams)).drop("_bits")
+    return (salted_join(cut, filed, [*on, "_gram"], texts.columns, salts=salts)
             .where(F.col(text).contains(F.col(needle))).drop("_gram"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from statproof.functions import lexicon as lx, text as tx, verdict as vd
-from statproof.functions.scale import anchored_contains, stable
+from statproof.functions.scale import SALTS, anchored_contains, salted_join, stable
 from statproof.operators.ranking import filter_coverage, search_overlap
 
 _ROW_ORDER = ["c1_nm", "c2_nm", "itm_nm", "prd_de"]
@@ -62,14 +62,15 @@ def _category_tail(c: Column) -> Column:
 
 def pick_category(claims: DataFrame, stats: DataFrame) -> DataFrame:
     """Add `c1_pick`: the longest category named in the sentence, else the national total, else null (= all rows)."""
-    asked = claims.withColumn("pkey", F.replace("period", F.lit("-"), F.lit("")))
-    cats = official_rows(stats).select("tbl_id", "pkey", "c1_nm").distinct().withColumn("tail", _category_tail(F.col("c1_nm")))
+    asked = stable(claims.withColumn("pkey", F.replace("period", F.lit("-"), F.lit(""))))  # a parse behind it runs once
+    cats = (official_rows(stats).select("tbl_id", "pkey", "c1_nm").distinct().join(asked.select("tbl_id", "pkey").distinct(), ["tbl_id", "pkey"], "left_semi")
+            .withColumn("tail", _category_tail(F.col("c1_nm"))))
     forms = F.array_distinct(F.array("tail", F.regexp_replace("tail", "[특별시광역시도]+$", "")))
     needles = cats.withColumn("needle", F.explode(forms))
-    named = (anchored_contains(asked.select("claim_id", "tbl_id", "pkey", "sentence"), "sentence", needles, "needle", on=["tbl_id", "pkey"])
+    named = (anchored_contains(asked.select("claim_id", "tbl_id", "pkey", "sentence"), "sentence", needles, "needle", on=["tbl_id", "pkey"], salts=SALTS)
              .groupBy("claim_id").agg(F.min_by("c1_nm", F.struct(-F.length("tail"), F.col("c1_nm"))).alias("_named")))
     national = cats.where("c1_nm = '전국'").select("tbl_id", "pkey", F.lit("전국").alias("_total"))
-    return (asked.join(named, "claim_id", "left").join(national, ["tbl_id", "pkey"], "left")
+    return (salted_join(asked.join(named.hint("merge"), "claim_id", "left"), national, ["tbl_id", "pkey"], ["claim_id"], "left")
             .withColumn("c1_pick", F.coalesce("_named", "_total")).drop("_named", "_total"))
 
 
@@ -77,8 +78,9 @@ def category_evidence(claims: DataFrame, stats: DataFrame) -> DataFrame:
     """Evidence rows of the picked category.  Claims without any category fall back to their whole slice."""
     picked = stable(pick_category(claims, stats))  # read for both kinds of pick
     rows = official_rows(stats).select("tbl_id", "pkey", "c1_nm", "c2_nm", "itm_nm", "prd_de", "value", "unit", "lst_chn_de")
-    exact = picked.where("c1_pick IS NOT NULL").join(rows.withColumnRenamed("c1_nm", "c1_pick"), ["tbl_id", "pkey", "c1_pick"]).withColumn("c1_nm", F.col("c1_pick"))
-    whole = picked.where("c1_pick IS NULL").join(rows, ["tbl_id", "pkey"])
+    rows = rows.join(picked.select("tbl_id", "pkey").distinct(), ["tbl_id", "pkey"], "left_semi")  # only these are copied below
+    exact = salted_join(picked.where("c1_pick IS NOT NULL"), rows.withColumnRenamed("c1_nm", "c1_pick"), ["tbl_id", "pkey", "c1_pick"], ["claim_id"]).withColumn("c1_nm", F.col("c1_pick"))
+    whole = salted_join(picked.where("c1_pick IS NULL"), rows, ["tbl_id", "pkey"], ["claim_id"])
     return exact.unionByName(whole).withColumn("dim", F.coalesce(F.nullif("c2_nm", F.lit("")), "itm_nm"))
 
 
@@ -153,14 +155,14 @@ def change_rate(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def share_metric(claims: DataFrame, registry: DataFrame) -> DataFrame:
     """Registered share (numerator / denominator) of the claim year and the year before.  registry(metric, alias,
-    year, numerator, denominator); the first registered metric named in the sentence counts."""
+    year, numerator, denominator); the first registered metric named in the sentence counts.  Claim ids are unique."""
     year = F.when(F.col("period").rlike(r"^\d{4}$"), F.col("period").cast("int"))
     asked = claims.where(tx.contains_any(F.col("sentence"), ["비중", "구성비"])).withColumn("_year", year).where("_year IS NOT NULL")
-    pairs = anchored_contains(asked.select("claim_id", "sentence"), "sentence", registry.select("metric", "alias").distinct(), "alias")
-    chosen = pairs.groupBy("claim_id").agg(F.min("metric").alias("metric"))
+    pairs = anchored_contains(asked.select("claim_id", "_year", "sentence"), "sentence", registry.select("metric", "alias").distinct(), "alias", salts=SALTS)
+    chosen = pairs.groupBy("claim_id", "_year").agg(F.min("metric").alias("metric"))
     now = registry.select("metric", F.col("year").alias("_year"), (F.col("numerator") / F.col("denominator") * 100).alias("share")).distinct()
     before = now.select("metric", (F.col("_year") + 1).alias("_year"), F.col("share").alias("previous_share"))
-    return (asked.join(chosen, "claim_id").join(now, ["metric", "_year"]).join(before, ["metric", "_year"])
+    return (chosen.join(now, ["metric", "_year"]).join(before, ["metric", "_year"])
             .select("claim_id", "metric", "share", "previous_share", (F.col("share") - F.col("previous_share")).alias("point_change")))
 
 
