@@ -41,8 +41,9 @@ def _distinct_texts(df: DataFrame, key: str, text: str, gid: str) -> DataFrame:
 def _expand(scored: DataFrame, queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """Scores of distinct (text, text) pairs -> top-k tables of every query, ties in catalog order."""
     groups = top_per_key(scored, ["qg"], [F.desc("sort_score"), "dg"], k, "_g")
-    members = top_per_key(catalog.select("ord", F.col("doc").alias("text")).join(
-        _distinct_texts(catalog, "ord", "doc", "dg"), "text"), ["dg"], ["ord"], k, "_m").select("dg", "ord")
+    # the first table of a text names it: no table meets the distinct texts again, whose size an estimate may take for small
+    members = top_per_key(catalog.select("ord", F.col("doc").alias("text")), ["text"], ["ord"], k, "_m").select(
+        F.min("ord").over(Window.partitionBy("text")).alias("dg"), "ord")
     best = top_per_key(groups.join(members, "dg"), ["qg"], [F.desc("sort_score"), "ord"], k)
     asked = queries.select("qid", F.col("query").alias("text")).join(_distinct_texts(queries, "qid", "query", "qg"), "text").select("qid", "qg")
     return asked.join(best.select("qg", "ord", "rank", "score"), "qg").select("qid", "rank", "ord", "score")

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from statproof.functions import scale
-from statproof.operators import evidence
+from statproof.operators import evidence, ranking
 
 
 def _plan(df):
@@ -26,3 +26,12 @@ def test_one_key_is_dealt_to_groups(spark):
         got = scale.salted_join(big, small, ["key"], ["id"], how)
         assert got.columns == ["key", "id", "v"] and got.count() == n == got.distinct().count()
         assert "_salt" in _plan(got) and "BroadcastHashJoin" not in _plan(got)
+
+
+def test_the_catalog_is_not_joined_with_its_own_texts(spark, tmp_path):
+    spark.range(30).select(F.col("id").alias("ord"), F.concat(F.lit("t"), F.col("id") % 3).alias("doc")).write.parquet(str(tmp_path / "c"))
+    scored = spark.createDataFrame([(7, 1, 0.5, 0.5), (7, 0, 0.4, 0.4)], "qg long, dg long, score double, sort_score double")
+    got = ranking._expand(scored, spark.createDataFrame([(7, "q"), (9, "q")], "qid long, query string"), spark.read.parquet(str(tmp_path / "c")), 12)
+    assert _plan(got).count("FileScan parquet") == 1
+    want = [(i + 1, o, 0.5) for i, o in enumerate(range(1, 30, 3))] + [(11, 0, 0.4), (12, 3, 0.4)]
+    assert sorted((r["qid"], r["rank"], r["ord"], r["score"]) for r in got.collect()) == [(q, *w) for q in (7, 9) for w in want]
