@@ -1,6 +1,8 @@
 """Column expressions for claim text: Column in, Column out, evaluated inside the JVM."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from statproof.functions import lexicon as lx
@@ -45,6 +47,11 @@ def first_alias_in(squeezed: Column, table) -> Column:
     return F.coalesce(*cases, F.lit(""))
 
 
+def _replaced(c: Column, pattern: str, needed) -> Column:
+    """`pattern` removed; a text without any of the `needed` words, one of which every match holds, is not scanned for it."""
+    return F.when(contains_any(c, needed), F.regexp_replace(c, pattern, "")).otherwise(c)
+
+
 def present(*flagged) -> Column:
     """array of the labels whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(cond, label if isinstance(label, Column) else F.lit(label))
@@ -58,7 +65,8 @@ _FOOT = r"(?s)(?:" + "|".join(r"\Q" + m + r"\E" for m in lx.FOOTER_MARKERS) + r"
 
 def strip_chrome(body: Column) -> Column:
     """Body after the first byline stamp and before the earliest footer marker: two linear passes."""
-    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), _HEAD, ""), _FOOT, ""))
+    headless = let(F.coalesce(body, F.lit("")), lambda b: _replaced(b, _HEAD, ["입력"]))
+    return strip(let(headless, lambda b: _replaced(b, _FOOT, lx.FOOTER_MARKERS)))
 
 
 def anchored(body: Column) -> Column:
@@ -67,9 +75,11 @@ def anchored(body: Column) -> Column:
 
 def clean_body(body: Column) -> Column:
     lines = F.split(body, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
-    tidy = F.transform(lines, lambda l: strip(F.regexp_replace(
-        strip(F.regexp_replace(l, lx.EMAIL, "")), lx.REPORTER_TAIL, "")))
-    kept = F.filter(tidy, lambda s: (s != "") & ~s.rlike(lx.COPYRIGHT) & ~s.rlike(lx.REPORTER_LINE))
+    bare = F.transform(lines, lambda l: strip(_replaced(l, lx.EMAIL, ["@"])))
+    tidy = F.transform(bare, lambda l: F.when(l.contains("기자"), strip(F.regexp_replace(l, lx.REPORTER_TAIL, ""))).otherwise(l))
+    notice = ["무단", "재배포", "저작권자", "ⓒ", "©"]
+    kept = F.filter(tidy, lambda s: (s != "") & ~((contains_any(s, notice) | F.lower(s).contains("copyright")) & s.rlike(lx.COPYRIGHT))
+                    & ~(s.contains("기자") & s.rlike(lx.REPORTER_LINE)))
     return strip(F.regexp_replace(F.array_join(kept, " "), "[ \t ]+", " "))
 
 
@@ -133,6 +143,8 @@ def _scale_factor(scale: Column) -> Column:
 
 def quantities(sentence: Column) -> Column:
     """array<struct> of quantities: a unit, a scale word or a decimal point is required."""
+    empty = F.array().cast("array<struct<value:double,scale:string,unit:string,composed_unit:string,normalized_value:double,"
+                           "span_start:int,span_end:int,raw:string,decimals:int>>")
     useful = F.filter(number_parts(sentence), lambda q: (q["f"][4] != "") | (q["f"][3] != "")
                       | q["f"][2].contains("."))
 
@@ -147,7 +159,7 @@ def quantities(sentence: Column) -> Column:
             (q["start"] + F.length(f[0])).cast("int").alias("span_end"), strip(f[0]).alias("raw"),
             # a whole number prints as "23.0" in the original value type, so it still counts one decimal
             F.greatest(digits, F.lit(1)).cast("int").alias("decimals"))
-    return F.transform(useful, shape)
+    return F.when(~sentence.rlike(r"\d"), empty).otherwise(F.transform(useful, shape))
 
 
 
@@ -158,11 +170,11 @@ def _parts_only(sentence: Column) -> Column:
 
 
 def has_number(sentence: Column) -> Column:
-    return F.size(_parts_only(sentence)) > 0
+    return sentence.rlike(r"\d") & (F.size(_parts_only(sentence)) > 0)
 
 
 def has_unit_quantity(sentence: Column) -> Column:
-    return F.exists(_parts_only(sentence), lambda f: (f[4] != "") | (f[3] != ""))
+    return sentence.rlike(r"\d") & F.exists(_parts_only(sentence), lambda f: (f[4] != "") | (f[3] != ""))
 
 
 def primary_quantity(qs: Column) -> Column:
@@ -191,11 +203,12 @@ def _relative_year(base: Column, word: Column) -> Column:
 
 
 def period(sentence: Column, date_text: Column) -> Column:
-    """'YYYY' | 'YYYY-MM' | 'YYYY-Qn' | ''.  Comparison bases are removed before anything is read."""
+    """'YYYY' | 'YYYY-MM' | 'YYYY-Qn' | ''.  Comparison bases are removed before anything is read.  Every pattern and every
+    base holds one of `PERIOD_WORDS`; sentences without any are not read further."""
     s = sentence
     for noise in lx.PERIOD_NOISE:
         s = F.regexp_replace(s, noise, " ")
-    return let(s, lambda clean: _period_of(clean, article_day(date_text)))
+    return F.when(contains_any(sentence, lx.PERIOD_WORDS), let(s, lambda clean: _period_of(clean, article_day(date_text)))).otherwise("")
 
 
 def _period_of(s: Column, day: Column) -> Column:
@@ -273,9 +286,26 @@ def _longest_keyword(squeezed: Column, group: dict) -> Column:
 def source_label(s: Column, routing: dict = lx.DEFAULT_ROUTING) -> Column:
     """struct(source_type, domain, claim_type, route, confidence, reason, matched_keyword)."""
     groups = ["kosis_domestic", "platform_source", "private_source", "other_official"]
-    return let(compact(s), lambda z: let(
+    label = let(compact(s), lambda z: let(
         F.struct(claim_type(s).alias("kind"), *[_longest_keyword(z, routing[g]).alias(g) for g in groups]),
         lambda found: _label_of(s, z, found, routing)))
+    plain = _source_struct("UNKNOWN", F.lit(lx.DEFAULT_CLAIM_TYPE), F.lit("-"), F.lit(""))
+    return F.when(~s.rlike(_source_hint(routing, groups)), plain).otherwise(label)
+
+
+def _source_hint(routing: dict, groups: list) -> str:
+    """A pattern that every text with a routing word, marker or claim wording matches: a Hangul syllable, `%p`, or one of
+    the words that hold no syllable (keywords ignore white space)."""
+    words = [k for g in groups for ks in routing[g].values() for k in ks] + list(routing["overseas_markers"])
+    foreign = sorted({w for w in words if not re.search("[가-힣]", w)})
+    return "|".join(["[가-힣]", "%p", *[r"\s*".join(re.escape(ch) for ch in "".join(w.split())) for w in foreign]])
+
+
+def _source_struct(name: str, kind: Column, domain: Column, keyword: Column) -> Column:
+    return F.struct(
+        F.lit(name).alias("source_type"), domain.alias("domain"), kind.alias("claim_type"),
+        F.lit(lx.ROUTE_OF[name]).alias("route"), F.lit(lx.CONFIDENCE_OF[name]).alias("confidence"),
+        F.lit(lx.REASON_OF[name]).alias("reason"), keyword.alias("matched_keyword"))
 
 
 def _label_of(s: Column, squeezed: Column, found: Column, routing: dict) -> Column:
@@ -285,10 +315,7 @@ def _label_of(s: Column, squeezed: Column, found: Column, routing: dict) -> Colu
     none = F.struct(F.lit("-").alias("domain"), F.lit("").alias("keyword"), F.lit(0).alias("len"))
 
     def label(name, match=none):
-        return F.struct(
-            F.lit(name).alias("source_type"), match["domain"].alias("domain"), kind.alias("claim_type"),
-            F.lit(lx.ROUTE_OF[name]).alias("route"), F.lit(lx.CONFIDENCE_OF[name]).alias("confidence"),
-            F.lit(lx.REASON_OF[name]).alias("reason"), match["keyword"].alias("matched_keyword"))
+        return _source_struct(name, kind, match["domain"], match["keyword"])
     out = (F.when(kind == "전망형", label("FORECAST_OR_OPINION"))
             .when(contains_any(s, routing["overseas_markers"]), label("OVERSEAS_SOURCE"))
             .when(s.contains("해외") & ~home_activity, label("OVERSEAS_SOURCE"))

@@ -8,7 +8,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from statproof.functions import lexicon as lx, text as tx
-from statproof.functions.scale import stable, value_positions
+from statproof.functions.scale import stable, stored, value_positions
 from statproof.operators.extraction import _rule_label
 
 ARTICLE_END = r"(?s)(?:관련 기사|기자 프로필|기자 약력|구독).*$"
@@ -23,6 +23,15 @@ def _nfkc(s):  # Unicode compatibility folding has no SQL function
     return s.map(lambda v: unicodedata.normalize("NFKC", v) if v is not None else None)
 
 
+# Starters that NFKC leaves alone and that never join the character before them: a text of these only is its own folding.
+FOLDED = r"\x00-\x7F\u00A1\u00A7\u00A9\u00AB\u00B0\u00B7\u00BB\u00BF\u00C0-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u4E00-\u9FFF\uAC00-\uD7A3"
+
+
+def _fold(c: Column, wanted: Column) -> Column:
+    """NFKC of the wanted values (the others are not used); only texts with a character it may change go to Python."""
+    return F.coalesce(_nfkc(F.when(wanted & c.rlike(f"[^{FOLDED}]"), c)), c)
+
+
 def _squeeze(c: Column) -> Column:
     return tx.strip(F.regexp_replace(c, r"\s+", " "))
 
@@ -39,12 +48,12 @@ def quality_rows(raw: DataFrame) -> DataFrame:
     clean = tx.clean_body(tx.strip(F.regexp_replace(tx.strip_chrome(F.col("body")), ARTICLE_END, "")))
     r = raw.withColumn("_c", F.explode(F.array(F.struct(clean.alias("clean"), (tx.strip(F.coalesce("body", F.lit(""))) == "").alias("blank")))))
     r = r.select("row_no", "title", "date", "url", F.length(F.coalesce("body", F.lit(""))).alias("raw_length"), "_c.clean", "_c.blank")
-    bare = F.col("url") == ""
-    folded = F.sha2(F.concat(F.lower(_squeeze(_nfkc(F.col("title")))), F.lit("\x00"), _squeeze(_nfkc(F.col("clean")))), 256)
+    bare = F.coalesce(F.col("url"), F.lit("")) == ""
+    r = r.withColumn("_title", _fold(F.col("title"), bare)).withColumn("_text", _fold(F.col("clean"), bare))
+    folded = F.sha2(F.concat(F.lower(_squeeze(F.col("_title"))), F.lit("\x00"), _squeeze(F.col("_text"))), 256)
     usable = ~F.col("blank") & (F.col("clean") != "")
-    with_url = r.where(~bare).withColumn("_key", F.concat(F.lit("u:"), F.col("url")))
-    no_url = r.where(bare).withColumn("_key", F.concat(F.lit("f:"), folded))
-    keyed = with_url.unionByName(no_url)
+    # stored: the cleaning runs once, though first rows and rows are read apart here and the rows again by every view
+    keyed = stored(r.withColumn("_key", F.when(bare, F.concat(F.lit("f:"), folded)).otherwise(F.concat(F.lit("u:"), F.col("url")))).drop("_title", "_text"), "quality-rows")
     first = keyed.where(usable).groupBy("_key").agg(F.min("row_no").alias("_first"))
     j = keyed.join(first, "_key", "left")
     exclusion = (F.when(F.col("blank"), "missing_body").when(F.col("clean") == "", "empty_after_cleaning").when(F.col("_first") < F.col("row_no"), "duplicate"))
@@ -120,13 +129,16 @@ def outliers(df: DataFrame, value: str) -> DataFrame:
 def eda_counts(profile: DataFrame) -> DataFrame:
     """(kind, key, n): totals over sentences, quantity types over all of them, classes over the candidates."""
     c, num = F.col("candidate"), F.col("numeric")
-    totals = profile.agg(F.count(F.lit(1)).alias("total_sentences"), F.count_if(num).alias("numeric_sentences"), F.count_if(c).alias("candidates"), F.count_if(c & num).alias("numeric_candidates"),
-                         F.count_if(c & ~num).alias("nonnumeric_candidates"), F.count_if(c & (F.col("source.route") == "KOSIS_RETRIEVAL")).alias("retrieval_candidates"))
-    long = totals.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(n).alias("key"), F.col(n).alias("n")) for n in totals.columns])).alias("t")).select("t.*")
-    tags = F.concat(F.transform("quantities", lambda q: F.struct(F.lit("quantity").alias("kind"), quantity_type(q["unit"]).alias("key"))),
+    names = [("total_sentences", F.lit(True)), ("numeric_sentences", num), ("candidates", c), ("numeric_candidates", c & num),
+             ("nonnumeric_candidates", c & ~num), ("retrieval_candidates", c & (F.col("source.route") == "KOSIS_RETRIEVAL"))]
+    # One pass over the sentences: its groups are few, and the totals are read out of them.
+    tags = F.concat(F.array_compact(F.array(*[F.when(x, F.struct(F.lit("total").alias("kind"), F.lit(n).alias("key"))) for n, x in names])), F.transform("quantities", lambda q: F.struct(F.lit("quantity").alias("kind"), quantity_type(q["unit"]).alias("key"))),
                     F.when(c, F.array(F.struct(F.lit("period").alias("kind"), F.col("period_class").alias("key")), F.struct(F.lit("claim_type").alias("kind"), F.col("source.claim_type").alias("key")),
                                       F.struct(F.lit("route").alias("kind"), F.col("source.route").alias("key")))).otherwise(F.array().cast("array<struct<kind:string,key:string>>")))
-    return long.unionByName(profile.select(F.explode(tags).alias("t")).select("t.*").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
+    found = stable(profile.select(F.explode(tags).alias("t")).select("t.*").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
+    totals = found.agg(*[F.coalesce(F.sum(F.when((F.col("kind") == "total") & (F.col("key") == n), F.col("n"))), F.lit(0)).alias(n) for n, _ in names])
+    long = totals.select(F.explode(F.array(*[F.struct(F.lit("total").alias("kind"), F.lit(n).alias("key"), F.col(n).alias("n")) for n, _ in names])).alias("t")).select("t.*")
+    return long.unionByName(found.where("kind <> 'total'"))
 
 
 def histogram(df: DataFrame, value: str, limit: int = 10) -> DataFrame:

@@ -42,7 +42,10 @@ def apply_rules(sent: DataFrame, rules) -> DataFrame:
 
 
 def _rule_label(rules=()) -> Column:
-    path = tx.detection_path(S(), rules)
+    return tx.let(tx.detection_path(S(), rules), _label_of_path)
+
+
+def _label_of_path(path: Column) -> Column:
     numeric, any_digit = tx.has_number(S()), S().rlike(lx.NUMBER)
     return (F.when(path == "number_unit", "NUMERIC_UNIT").when(path == "number_trend", "NUMERIC_TREND")
              .when(path == "superlative", "SUPERLATIVE").when(path.startswith("rule:"), F.regexp_replace(path, "^rule:", ""))

@@ -14,8 +14,8 @@ def _rows(spark, d):
     return op.quality_rows(Tables(spark, d).news)
 
 
-def _profile(spark, d):
-    return op.profile_sentences(op.valid_articles(_rows(spark, d)))
+def _profile(rows):
+    return op.profile_sentences(op.valid_articles(rows))
 
 
 def h01(spark, d):
@@ -27,7 +27,7 @@ def h02(spark, d):
 
 
 def h03(spark, d):
-    return _profile(spark, d).select("row_no", "sentence_idx", F.array_join(F.transform("quantities", lambda q: q["raw"]), "|").alias("quantities"), "numeric", "period", "period_class",
+    return _profile(_rows(spark, d)).select("row_no", "sentence_idx", F.array_join(F.transform("quantities", lambda q: q["raw"]), "|").alias("quantities"), "numeric", "period", "period_class",
                                      "source.claim_type", "source.source_type", "source.route", "rule", "candidate")
 
 
@@ -40,7 +40,7 @@ def h04_outliers(spark, d):
 
 
 def h05(spark, d):
-    return op.eda_counts(_profile(spark, d))
+    return op.eda_counts(_profile(_rows(spark, d)))
 
 
 def h06(spark, d):
@@ -56,11 +56,13 @@ def h07_problems(spark, d):
 
 
 def h08(spark, d):
-    return op.kpi_view(_rows(spark, d), _profile(spark, d))
+    rows = _rows(spark, d)
+    return op.kpi_view(rows, _profile(rows))
 
 
 def h09(spark, d):
-    return op.filter_articles(_rows(spark, d), _profile(spark, d), quality="clean", band="typical", min_candidates=1).select("row_no", "n_candidates", "clean_length")
+    rows = _rows(spark, d)
+    return op.filter_articles(rows, _profile(rows), quality="clean", band="typical", min_candidates=1).select("row_no", "n_candidates", "clean_length")
 
 
 QUERIES = {"h01_quality_issues": h01, "h02_mark_duplicates": h02, "h03_profile_sentences": h03, "h04_structure_stats": h04, "h04_outliers": h04_outliers, "h05_eda_counts": h05,
