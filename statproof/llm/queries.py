@@ -46,7 +46,7 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return sharding.place(documents(spark, folder), sharding.tree_of(8))
+    return sharding.place(documents(spark, folder), sharding.levelled_tree(8))
 
 
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:

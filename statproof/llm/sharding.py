@@ -40,6 +40,18 @@ def tree_of(shards: int) -> Tree:
     return tree
 
 
+def levelled_tree(shards: int, first: int = 8) -> Tree:
+    """The tree of a layout that began with `first` shards in regions and racks: every level draws among them, and each
+    shard beyond hangs in a region of its own.  `levelled_tree(n + 1)` is `levelled_tree(n)`, grown, for every n >= first, so
+    one more shard takes rows only into itself.  `first` belongs to the layout and stays when it grows."""
+    if shards < first:
+        raise ValueError("a layout has at least the shards it began with")
+    tree = uniform_tree(first)
+    for s in range(first, shards):
+        tree = grow(tree, s)
+    return tree
+
+
 def _weight(node) -> float:
     return sum(map(_weight, node.values())) if isinstance(node, dict) else float(node)
 
