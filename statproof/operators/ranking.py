@@ -39,14 +39,15 @@ def _distinct_texts(df: DataFrame, key: str, text: str, gid: str) -> DataFrame:
 
 
 def _expand(scored: DataFrame, queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
-    """Scores of distinct (text, text) pairs -> top-k tables of every query, ties in catalog order."""
+    """Scores of distinct (text, text) pairs -> top-k tables of every query, ties in catalog order.  Estimates of the sides rest
+    on the file size of the catalog, not on its rows, so the joins are sorted rather than broadcast on them."""
     groups = top_per_key(scored, ["qg"], [F.desc("sort_score"), "dg"], k, "_g")
     # the first table of a text names it: no table meets the distinct texts again, whose size an estimate may take for small
     members = top_per_key(catalog.select("ord", F.col("doc").alias("text")), ["text"], ["ord"], k, "_m").select(
         F.min("ord").over(Window.partitionBy("text")).alias("dg"), "ord")
-    best = top_per_key(groups.join(members, "dg"), ["qg"], [F.desc("sort_score"), "ord"], k)
-    asked = queries.select("qid", F.col("query").alias("text")).join(_distinct_texts(queries, "qid", "query", "qg"), "text").select("qid", "qg")
-    return asked.join(best.select("qg", "ord", "rank", "score"), "qg").select("qid", "rank", "ord", "score")
+    best = top_per_key(groups.join(members.hint("merge"), "dg"), ["qg"], [F.desc("sort_score"), "ord"], k)
+    asked = queries.select("qid", F.col("query").alias("text")).join(_distinct_texts(queries, "qid", "query", "qg").hint("merge"), "text").select("qid", "qg")
+    return asked.join(best.select("qg", "ord", "rank", "score").hint("merge"), "qg").select("qid", "rank", "ord", "score")
 
 
 def search_overlap(queries: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
@@ -70,7 +71,7 @@ def search_tfidf(queries: DataFrame, catalog: DataFrame, k: int = 3, keywords: s
 
     def vectors(frame, key, text, gid, w, size):
         tf = (_distinct_texts(frame, key, text, gid).select(gid, F.explode(tfidf_grams(F.col("text"))).alias("g"))
-              .groupBy(gid, "g").agg(F.count(F.lit(1)).alias("tf"))).join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
+              .groupBy(gid, "g").agg(F.count(F.lit(1)).alias("tf"))).join(idf.hint("merge"), "g").withColumn("w", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(gid)))
         return tf.select(gid, "g", (F.col("w") / norm).alias(w), F.lit(1).alias(size))
     pairs = top_candidates(vectors(queries, "qid", "query", "qg", "wq", "aq"), vectors(catalog, "ord", "doc", "dg", "wd", "ad"), k,
@@ -88,7 +89,7 @@ def search_substring(queries: DataFrame, catalog: DataFrame, k: int = 10) -> Dat
     pairs = (anchored_contains(dw, "dw", qw, "qw").select("qw", "dw")
              .unionByName(anchored_contains(qw, "qw", dw, "dw").select("qw", "dw")).distinct())
     one = F.lit(1)
-    asked = q.withColumnRenamed("w", "qw").join(pairs, "qw").groupBy("qg", F.col("dw").alias("g")).agg(F.count(one).cast("double").alias("wq")).withColumn("aq", one)
+    asked = q.withColumnRenamed("w", "qw").join(pairs.hint("merge"), "qw").groupBy("qg", F.col("dw").alias("g")).agg(F.count(one).cast("double").alias("wq")).withColumn("aq", one)
     hits = top_candidates(asked, d.select("dg", F.col("w").alias("g"), F.lit(1.0).alias("wd"), one.alias("ad")), k, lambda dot, aq, ad: dot, lambda rest, aq: rest)
     return _expand(hits.withColumn("score", F.round("dot").cast("long")).withColumn("sort_score", F.col("score")), queries, catalog, k)
 

@@ -29,13 +29,13 @@ def opened_grams(asked: DataFrame, postings: DataFrame, k: int, final: Callable,
     rarest = Window.partitionBy("qg").orderBy("df", "g")
     ahead = rarest.rowsBetween(Window.unboundedPreceding, -1)
     behind = rarest.rowsBetween(0, Window.unboundedFollowing)
-    ranked = stable(asked.join(stats, "g").select(
+    ranked = stable(asked.join(stats.hint("merge"), "g").select(
         "qg", "g", "wq", "aq", F.coalesce((F.sum("df").over(ahead) + F.col("df")) <= OPENED * k, F.lit(True)).alias("early"), F.sum(F.col("wq") * F.col("top")).over(behind).alias("rest")))
-    first = ranked.where("early").join(postings, "g").groupBy("qg", "dg").agg(
+    first = ranked.where("early").join(postings.hint("merge"), "g").groupBy("qg", "dg").agg(
         F.sum(F.col("wq") * F.col("wd")).alias("dot"), F.first("aq").alias("aq"), F.first("ad").alias("ad"))
     scored = first.select("qg", "dg", final(F.col("dot"), F.col("aq"), F.col("ad")).alias("s"))
     floors = top_per_key(scored, ["qg"], [F.desc("s"), "dg"], k, "_r").where(F.col("_r") == k).select("qg", F.col("s").alias("floor"))
-    known = ranked.join(floors, "qg", "left").withColumn("opened", F.col("floor").isNull() | (unseen(F.col("rest"), F.col("aq")) >= F.col("floor") - SLACK))
+    known = ranked.join(floors.hint("merge"), "qg", "left").withColumn("opened", F.col("floor").isNull() | (unseen(F.col("rest"), F.col("aq")) >= F.col("floor") - SLACK))
     closed = F.coalesce(F.max(F.when(~F.col("opened"), F.col("rest"))).over(Window.partitionBy("qg")), F.lit(0.0))
     return known.withColumn("closed", closed).select("qg", "g", "wq", "aq", "floor", "closed", "early", "opened")
 
@@ -47,10 +47,10 @@ def top_candidates(asked: DataFrame, postings: DataFrame, k: int, final: Callabl
     and grams that no document holds, give nothing."""
     postings = stable(postings)
     plan = stable(opened_grams(asked, postings, k, final, unseen))
-    seen = plan.where("opened").join(postings, "g").groupBy("qg", "dg").agg(
+    seen = plan.where("opened").join(postings.hint("merge"), "g").groupBy("qg", "dg").agg(
         F.sum(F.col("wq") * F.col("wd")).alias("seen"), F.first("aq").alias("aq"), F.first("ad").alias("ad"), F.first("floor").alias("floor"), F.first("closed").alias("closed"))
     best = final(F.col("seen") + F.col("closed"), F.col("aq"), F.col("ad"))
     left = stable(seen.where(F.col("floor").isNull() | (best >= F.col("floor") - SLACK)))
-    rest = (left.where("closed > 0").select("qg", "dg").join(plan.where("NOT opened").select("qg", "g", "wq"), "qg")
-            .join(postings.select("dg", "g", "wd"), ["dg", "g"]).groupBy("qg", "dg").agg(F.sum(F.col("wq") * F.col("wd")).alias("more")))
-    return left.join(rest, ["qg", "dg"], "left").select("qg", "dg", (F.col("seen") + F.coalesce("more", F.lit(0.0))).alias("dot"), "aq", "ad")
+    rest = (left.where("closed > 0").select("qg", "dg").join(plan.where("NOT opened").select("qg", "g", "wq").hint("merge"), "qg")
+            .join(postings.select("dg", "g", "wd").hint("merge"), ["dg", "g"]).groupBy("qg", "dg").agg(F.sum(F.col("wq") * F.col("wd")).alias("more")))
+    return left.join(rest.hint("merge"), ["qg", "dg"], "left").select("qg", "dg", (F.col("seen") + F.coalesce("more", F.lit(0.0))).alias("dot"), "aq", "ad")
