@@ -14,15 +14,25 @@ from statproof.operators.ranking import filter_coverage, search_overlap
 _ROW_ORDER = ["c1_nm", "c2_nm", "itm_nm", "prd_de"]
 
 
+def per_text(df: DataFrame, found: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """`df` with the columns that `found` holds for its `keys`; nulls meet nulls.  What depends on these keys alone is worked
+    out once for each of their values, however many rows share it.  Spark splits a value that most rows share."""
+    other = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(other.hint("merge"), same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 # --- tables of a claim --------------------------------------------------------------------------------------
 def candidate_tables(claims: DataFrame, catalog: DataFrame, depth: int = 10) -> DataFrame:
     """claims(claim_id, sentence, period, ...) x the `depth` best tables of each sentence that can hold its year.
 
     catalog(ord, tbl_id, org_id, tbl_nm, doc, start_prd, end_prd).  `rank` counts the tables that stay, `orig_rank` all hits;
-    an unknown year or range excludes nothing.  A claim whose sentence shares no word part with any table has no row."""
-    hits = search_overlap(claims.select(F.col("claim_id").alias("qid"), F.col("sentence").alias("query")), catalog.select("ord", "doc"), depth)
-    met = claims.join(hits.select(F.col("qid").alias("claim_id"), "ord", "rank"), "claim_id").join(catalog.drop("doc"), "ord")
-    return filter_coverage(met, depth).drop("ord", "score", "start_prd", "end_prd")
+    an unknown year or range excludes nothing.  A claim whose sentence shares no word part with any table has no row.
+    Claims of one sentence and period are searched and cut once."""
+    asked = stable(claims.select("sentence", "period").where("sentence IS NOT NULL").distinct().withColumn("claim_id", F.struct("sentence", "period")))
+    hits = search_overlap(asked.select("sentence").distinct().select(F.col("sentence").alias("qid"), F.col("sentence").alias("query")), catalog.select("ord", "doc"), depth)
+    met = asked.join(hits.select(F.col("qid").alias("sentence"), "ord", "rank").hint("merge"), "sentence").join(catalog.drop("doc"), "ord")
+    return per_text(claims, filter_coverage(met, depth).drop("ord", "score", "start_prd", "end_prd", "claim_id"), ["sentence", "period"])
 
 
 def per_table(claims: DataFrame) -> DataFrame:
@@ -61,17 +71,21 @@ def _category_tail(c: Column) -> Column:
 
 
 def pick_category(claims: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add `c1_pick`: the longest category named in the sentence, else the national total, else null (= all rows)."""
+    """Add `c1_pick`: the longest category named in the sentence, else the national total, else null (= all rows).  It is
+    picked once for all claims that share slice and sentence."""
+    keys = ["tbl_id", "pkey", "sentence"]
     asked = stable(claims.withColumn("pkey", F.replace("period", F.lit("-"), F.lit(""))))  # a parse behind it runs once
-    cats = (official_rows(stats).select("tbl_id", "pkey", "c1_nm").distinct().join(asked.select("tbl_id", "pkey").distinct(), ["tbl_id", "pkey"], "left_semi")
+    texts = stable(asked.select(*keys).distinct())
+    cats = (official_rows(stats).select("tbl_id", "pkey", "c1_nm").distinct().join(texts.select("tbl_id", "pkey").distinct(), ["tbl_id", "pkey"], "left_semi")
             .withColumn("tail", _category_tail(F.col("c1_nm"))))
     forms = F.array_distinct(F.array("tail", F.regexp_replace("tail", "[특별시광역시도]+$", "")))
     needles = cats.withColumn("needle", F.explode(forms))
-    named = (anchored_contains(asked.select("claim_id", "tbl_id", "pkey", "sentence"), "sentence", needles, "needle", on=["tbl_id", "pkey"], salts=SALTS)
-             .groupBy("claim_id").agg(F.min_by("c1_nm", F.struct(-F.length("tail"), F.col("c1_nm"))).alias("_named")))
+    named = (anchored_contains(texts, "sentence", needles, "needle", on=["tbl_id", "pkey"], salts=SALTS)
+             .groupBy(*keys).agg(F.min_by("c1_nm", F.struct(-F.length("tail"), F.col("c1_nm"))).alias("_named")))
     national = cats.where("c1_nm = '전국'").select("tbl_id", "pkey", F.lit("전국").alias("_total"))
-    return (salted_join(asked.join(named.hint("merge"), "claim_id", "left"), national, ["tbl_id", "pkey"], ["claim_id"], "left")
-            .withColumn("c1_pick", F.coalesce("_named", "_total")).drop("_named", "_total"))
+    picks = (salted_join(texts.join(named.hint("merge"), keys, "left"), national, ["tbl_id", "pkey"], ["sentence"], "left")
+             .select(*keys, F.coalesce("_named", "_total").alias("c1_pick")))
+    return per_text(asked, picks, keys, "left")
 
 
 def category_evidence(claims: DataFrame, stats: DataFrame) -> DataFrame:
@@ -168,15 +182,17 @@ def share_metric(claims: DataFrame, registry: DataFrame) -> DataFrame:
 
 # --- end to end ---------------------------------------------------------------------------------------------
 def parse_for_verdict(claims: DataFrame, rules=()) -> DataFrame:
+    """Claims with path, q, op, trend, period and early; each distinct sentence of a date is parsed once."""
     s = F.col("sentence")
-    p = (claims.withColumn("path", tx.detection_path(s, rules)).withColumn("_q", tx.quantities(s)).withColumn("q", tx.primary_quantity(F.col("_q"))).drop("_q")
+    p = (claims.select("sentence", "article_date").distinct().withColumn("path", tx.detection_path(s, rules)).withColumn("_q", tx.quantities(s)).withColumn("q", tx.primary_quantity(F.col("_q"))).drop("_q")
          .withColumn("op", tx.comparison_op(s)).withColumn("trend", tx.trend(s)).withColumn("_p", tx.period(s, F.col("article_date")))
          .withColumn("period", F.coalesce(F.nullif("_p", F.lit("")), F.substring("article_date", 1, 4))).drop("_p"))
     early = (F.when(F.col("path").isin("empty", "noise", "site_chrome", "none"), "not_claim").when(tx.mixed_fragments(s), "mixed_fragments")
               .when(F.col("q").isNull(), "no_quantity").when(tx.contains_any(s, ["전망", "예상된다"]), "forecast"))
     # One generated struct is a barrier: filters and later projections use its fields instead of re-running the parse.
     done = p.withColumn("early", early)
-    return done.select(F.explode(F.array(F.struct(*done.columns))).alias("c")).select("c.*")
+    parsed = done.select(F.explode(F.array(F.struct(*done.columns))).alias("c")).select("c.*")
+    return per_text(claims, parsed, ["sentence", "article_date"])
 
 
 def verify_claims(claims: DataFrame, catalog: DataFrame, stats: DataFrame, registry: DataFrame | None = None, rules=()) -> DataFrame:
