@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import partitions, written
+from .shared import partitions, slices, written
 
 DIRECTORY_BITS = 12
 BUCKET_ROWS = 20_000
@@ -108,7 +108,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=names)
     current, chain = None, []
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
         for h, key, row, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
             if h != current:
                 out += entries(chain)

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .shared import written
+from .shared import slices, written
 
 ORDER = 3
 SAMPLE_DOCS = 256        # labelled texts per language
@@ -208,13 +207,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def _slices(batch: pa.RecordBatch, at_text: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of some `SLICE` bytes of text, so that little more than one slice is held besides it."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    first = 0
-    while first < len(ends):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE, side="right")))
-        yield batch.slice(first, last - first)
-        first = last
+    return slices(batch, at_text, SLICE)
 
 
 def predict(df: DataFrame, model: tuple[list[str], list], keep: list[str], text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .shared import numbered, partitions, written
+from .shared import numbered, partitions, slices, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -79,7 +79,7 @@ class Signer:
 def _signatures(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = shingles(text, words)
@@ -95,7 +95,7 @@ def _signatures(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             texts = [shingles(t, words).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "_set"])
     return run
@@ -160,7 +160,7 @@ def _verify(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, members, out = None, [], []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             for cluster, level, i, j, c, copies, visitor, block, grams in zip(*(col.to_pylist() for col in batch.columns)):
                 if (cluster, level, i, j) != current:
                     out += compare(members) if len(members) > 1 else []

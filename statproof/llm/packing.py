@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import slices, written
 from .words import Memo
 
 LIMIT = 4096
@@ -79,7 +79,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, seen = word_tokens(path), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             keys, rows = batch.column(0).to_pylist(), []
             for k, t in zip(keys, batch.column(1).to_pylist()):
                 ids = memoryview(tokens.ids(t or "") + end)

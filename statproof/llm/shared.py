@@ -2,7 +2,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from statproof.functions.scale import shared_folder
@@ -29,6 +33,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+SLICE = 1 << 22  # bytes of text or sets taken from an Arrow batch at a time
+
+
+def slices(batch: pa.RecordBatch, at: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some `size` bytes of its column `at` (text or binary), one row at least: a task holds the
+    Python values of little more than one slice besides the batch.  Unused memory of Arrow goes back after the last one."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+    pa.default_memory_pool().release_unused()
+
+
 BITMAP = 1 << 20  # bits
 
 
