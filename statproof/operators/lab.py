@@ -128,10 +128,10 @@ def shadow_summary(rows: DataFrame) -> DataFrame:
 
 def shadow_export(rows: DataFrame, parts: dict, key: list) -> DataFrame:
     """One flat line per row; every detail table is joined into one ` | ` text in its own order before the join.
-    parts = {name: (df, value column, order column)}."""
+    parts = {name: (df, value column, order columns)}; the value itself comes last in the order."""
     out = rows
     for name, (df, value, order) in parts.items():
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))), lambda x: x["v"]), " | ")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col(value).cast("string").alias("v")))), lambda x: x["v"]), " | ")
         out = out.join(df.groupBy(*key).agg(text.alias(name), F.count(F.lit(1)).alias(f"n_{name}")), key, "left")
     return out.na.fill("", list(parts)).na.fill(0, [f"n_{n}" for n in parts])
 

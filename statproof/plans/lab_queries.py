@@ -80,10 +80,13 @@ def _li(t):
 
 
 def g10(spark, d):
+    """Lines that the export leaves in equal order stand as in the file of the table."""
     t = Tables(spark, d)
-    li = _li(t).withColumn("o", F.col("l_linenumber") * 1_000_000 + F.col("l_partkey"))
+    li = t.lineitem.select(F.col("l_orderkey").alias("row_id"), "l_partkey", "l_returnflag", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("o"),
+                           F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = t.orders.select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
-    x = op.shadow_export(rows, {"mappings": (li.where("l_returnflag <> 'N'"), "l_partkey", "o"), "comparisons": (li.where("l_returnflag = 'N'"), "l_returnflag", "o")}, ["row_id"])
+    order = ["o", "file", "row"]
+    x = op.shadow_export(rows, {"mappings": (li.where("l_returnflag <> 'N'"), "l_partkey", order), "comparisons": (li.where("l_returnflag = 'N'"), "l_returnflag", order)}, ["row_id"])
     return x
 
 
