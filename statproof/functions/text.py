@@ -357,9 +357,12 @@ def _strip_particle(tok: Column) -> Column:
 
 
 def _useful_tokens(text: Column) -> Column:
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(f"({lx.QUERY_TOKEN})"), F.lit(1)), _strip_particle)
+    """Tokens without particles and noise words.  Both are Hangul, so a token that does not end or begin with a syllable is
+    not searched for them."""
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(f"({lx.QUERY_TOKEN})"), F.lit(1)),
+                         lambda t: F.when(F.substring(t, -1, 1) >= "가", _strip_particle(t)).otherwise(t))
     noise = "^(?:" + "|".join(lx.STOP_PREFIX) + ")"
-    return F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(lx.STOP_TIME) & ~t.rlike(noise))
+    return F.filter(tokens, lambda t: (F.length(t) >= 2) & ((F.substring(t, 1, 1) < "가") | (~t.isin(lx.STOP_TIME) & ~t.rlike(noise))))
 
 
 def make_query(sentence: Column, aliases=()) -> Column:
@@ -371,10 +374,11 @@ def query_of(text: Column, sentence: Column) -> Column:
     lead = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(lx.QUERY_HOUSEHOLD)) - 1)
     households = F.transform(F.regexp_extract_all(text, F.lit(lx.QUERY_HOUSEHOLD), F.lit(1)),
                              lambda n: F.concat(n, F.lit("인가구")))
-    bare = F.regexp_replace(F.regexp_replace(text, lx.QUERY_DATE, " "), lx.QUERY_QUANTITY, " ")
+    dateless = F.when(contains_any(text, ["년", "월", "일", "분기"]), F.regexp_replace(text, lx.QUERY_DATE, " ")).otherwise(text)
+    bare = F.regexp_replace(dateless, lx.QUERY_QUANTITY, " ")
     plain = let(F.array_join(F.array_distinct(_useful_tokens(bare)), " "),
                 lambda p: F.when(p == "", strip(sentence)).otherwise(p))
-    return F.when(text.rlike(lx.QUERY_HOUSEHOLD), F.array_join(F.concat(_useful_tokens(lead), households), " ")).otherwise(plain)
+    return F.when(text.contains("가구") & text.rlike(lx.QUERY_HOUSEHOLD), F.array_join(F.concat(_useful_tokens(lead), households), " ")).otherwise(plain)
 
 
 def query_variants(sentence: Column, aliases=()) -> Column:

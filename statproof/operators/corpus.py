@@ -6,7 +6,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from statproof.functions import text as tx
-from statproof.functions.scale import first_per_key, with_row_number
+from statproof.functions.scale import first_per_key, stored, with_row_number
 
 MAX_RANGE = 1000
 SECRET_PATTERNS = [  # fixed values
@@ -144,11 +144,13 @@ def ingest_report(raw: DataFrame, existing_ids: DataFrame) -> DataFrame:
 
 
 def import_previews(raw: DataFrame) -> DataFrame:
-    """Retrieval-routed candidates, newest article first, unreadable dates last."""
+    """Retrieval-routed candidates, newest article first, unreadable dates last.  They are stored before the sort, which
+    reads its input twice: once for the bounds of its ranges."""
     cand = candidate_sentences(prepare_articles(raw)).where(F.col("source.route") == "KOSIS_RETRIEVAL")
     s = F.col("sentence")
-    return (cand.select("article_id", "title", "date", "sentence_idx", "sentence", "source.source_type", tx.period(s, F.col("date")).alias("period"),
+    found = cand.select("article_id", "title", "date", "sentence_idx", "sentence", "source.source_type", tx.period(s, F.col("date")).alias("period"),
                         F.array_join(F.transform(tx.quantities(s), lambda q: q["raw"]), " · ").alias("quantity_display"))
+    return (stored(found, "previews")
             .orderBy(tx.article_day(F.col("date")).desc_nulls_last(), "article_id", "sentence_idx"))
 
 

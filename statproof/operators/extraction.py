@@ -70,7 +70,8 @@ def search_terms(sent: DataFrame, routing: dict = lx.DEFAULT_ROUTING) -> DataFra
 
 
 def make_queries(sent: DataFrame, aliases=()) -> DataFrame:
-    return sent.withColumn("query", tx.make_query(S(), aliases)).withColumn("variants", tx.query_variants(S(), aliases))
+    """Adds query and variants; the variants read the query of the row instead of making it again."""
+    return sent.withColumn("query", tx.make_query(S(), aliases)).withColumn("variants", tx.variants_of(F.col("query"), tx.substitute_aliases(S(), aliases)))
 
 
 def apply_aliases(df: DataFrame, column: str, aliases) -> DataFrame:
