@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .best_first import NODES, PAGE, PAGES, blocks, compact, dump, matrix, paged, search, seated, unlimited, usable
+from .best_first import NODES, PAGE, PAGES, blocks, compact, drawn, dump, matrix, paged, search, seated, unlimited, usable
 from .shared import numbered, written
 
 SAMPLE = 4096
@@ -49,7 +49,7 @@ class Ball:
 
     @staticmethod
     def products(queries: np.ndarray, ball: np.ndarray) -> np.ndarray:
-        return queries @ ball[:-2]
+        return queries @ ball[..., :-2].T
 
     @staticmethod
     def bounds(queries: np.ndarray, balls: np.ndarray, parent=None, left=None) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ class Ball:
         if parent is None:
             upper = queries @ balls[:, :-2].T + norm * _margin(balls[:, -2])
         else:
-            upper = parent[:, None] + norm * _margin(balls[:, -1] + balls[:, -2])
+            upper = (parent if parent.ndim == 2 else parent[:, None]) + norm * _margin(balls[:, -1] + balls[:, -2])
             live = left(upper + 0.25, lower)  # centres that stored distances exclude are not touched
             upper[:, live] = np.minimum(upper[:, live], queries @ balls[live, :-2].T + norm * _margin(balls[live, -2]))
         return upper + np.maximum(0.25, 1e-9 * np.abs(upper)), lower
@@ -115,8 +115,9 @@ def top_k(df: DataFrame, key: str = "vec_id", vec: str = "embedding", scale: flo
 
 
 def _top_k(rows: DataFrame, size: int, every: int, k: int, page: int) -> DataFrame:
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("_row")).select("vec").limit(SAMPLE).collect()])
-    routes = sample[_far_first(sample, min(NODES, max(1, round((rows.count() / page) ** 0.5))))]
+    total = rows.count()
+    sample = drawn(rows, total, SAMPLE)
+    routes = sample[_far_first(sample, min(NODES, max(1, round((total / page) ** 0.5))))]
 
     def assign(batches):
         for batch in batches:
@@ -129,5 +130,5 @@ def _top_k(rows: DataFrame, size: int, every: int, k: int, page: int) -> DataFra
     pages = written(paged(tiled, "apart", page).select("_row", "key", "vec", "node", "page").groupBy("node", "page").applyInArrow(_build(size, routes), PAGES), "pages")
     queries = written(seated(tiled.where(F.col("key") % every == 0)).select("block", F.col("_row").alias("query"), F.col("key").alias("query_id"), F.lit(0).alias("label"), "vec"), "queries")
     found = search(pages, blocks(unlimited(queries), size), Ball(routes), k)
-    return (found.join(queries.select("query", "query_id"), "query")
+    return (found.hint("merge").join(queries.select("query", "query_id"), "query")
             .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias("vec_id"), "score"))
