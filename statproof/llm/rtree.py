@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .best_first import NODES, PAGE, PAGES, blocks, compact, dump, matrix, paged, search, seated, unlimited, usable
+from .best_first import NODES, PAGE, PAGES, blocks, compact, drawn, dump, matrix, paged, search, seated, unlimited, usable
 from .shared import numbered, written
 
 SAMPLE = 4096
@@ -85,7 +85,7 @@ def _build(size: int, axis: int):
 def pack(rows: DataFrame, size: int, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
     """The stored pages of rows (_row, key, label, vec) of one length, and the rows with their tile."""
     total = rows.count()
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("_row")).select("vec").limit(SAMPLE).collect()])
+    sample = drawn(rows, total, SAMPLE)
     tiles = Tiles(sample, -(-total // page))
     third, fourth = (int(tiles.axes[min(i, size - 1)]) for i in (2, 3))
 
@@ -126,7 +126,7 @@ def _mined(rows: DataFrame, size: int, every: int, positives: int, negatives: in
     positive = written(positive.select("query", F.col("rank").alias("slot"), F.col("key").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     least, most = F.expr(f"({low} * positive_score + 99) div 100"), F.expr(f"({high} * positive_score) div 100")
     wanted = positive.where("positive_score >= 0").select("query", "slot", least.cast("double").alias("low"), most.cast("double").alias("high"))
-    negative = search(pages, blocks(anchors.join(wanted, "query"), size), Box, negatives, False)
-    return (negative.select("query", "slot", "rank", F.col("key").alias("negative_id"), F.col("score").alias("negative_score")).join(positive, ["query", "slot"])
-            .join(anchors.select("query", F.col("key").alias("anchor_id")), "query")
+    negative = search(pages, blocks(anchors.join(wanted.hint("merge"), "query"), size), Box, negatives, False)
+    return (negative.select("query", "slot", "rank", F.col("key").alias("negative_id"), F.col("score").alias("negative_score")).hint("merge").join(positive, ["query", "slot"])
+            .join(anchors.select("query", F.col("key").alias("anchor_id")).hint("merge"), "query")
             .select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"))
