@@ -69,6 +69,17 @@ def search_terms(sent: DataFrame, routing: dict = lx.DEFAULT_ROUTING) -> DataFra
     return classify_source(sent, routing).withColumn("terms", tx.search_terms(F.col("source")))
 
 
+def counted_terms(sent: DataFrame, routing: dict = lx.DEFAULT_ROUTING) -> DataFrame:
+    """query, domain, n: the first search term of a sentence ('' without one), its domain and how many rows hold the sentence.
+
+    Each distinct sentence is labelled once, spread anew because its work is far above its size; the exploded label keeps
+    filters on the term from making it again."""
+    texts = sent.groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.repartition(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    labelled = texts.select("n", F.explode(F.array(tx.source_label(S(), routing))).alias("source"))
+    return labelled.select(F.coalesce(F.get(tx.search_terms(F.col("source")), F.lit(0)), F.lit("")).alias("query"), "source.domain", "n")
+
+
 def make_queries(sent: DataFrame, aliases=()) -> DataFrame:
     """Adds query and variants; the variants read the query of the row instead of making it again."""
     return sent.withColumn("query", tx.make_query(S(), aliases)).withColumn("variants", tx.variants_of(F.col("query"), tx.substitute_aliases(S(), aliases)))

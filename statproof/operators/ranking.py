@@ -324,14 +324,15 @@ def match_score(pairs: DataFrame) -> DataFrame:
 
 
 # --- planning and catalog -----------------------------------------------------------------------------------
-def query_plan(claims: DataFrame) -> DataFrame:
-    """Distinct search terms with claim count and most frequent domain (domain name breaks ties)."""
-    per = claims.where("query <> ''").groupBy("query", "domain").agg(F.count(F.lit(1)).alias("n"))
+def query_plan(claims: DataFrame, counted: str | None = None) -> DataFrame:
+    """Distinct search terms with claim count and most frequent domain (domain name breaks ties).  A row stands for one claim,
+    or for as many as its column `counted` says."""
+    per = claims.where("query <> ''").groupBy("query", "domain").agg((F.sum(counted) if counted else F.count(F.lit(1))).alias("n"))
     return per.groupBy("query").agg(F.sum("n").alias("n_claims"), F.max_by("domain", F.struct("n", "domain")).alias("domain"))
 
 
-def query_budget(claims: DataFrame, remaining: int) -> DataFrame:
-    plan = query_plan(claims)
+def query_budget(claims: DataFrame, remaining: int, counted: str | None = None) -> DataFrame:
+    plan = query_plan(claims, counted)
     return plan.agg(F.count(F.lit(1)).alias("needed"), F.sum("n_claims").alias("claims"),
                     F.round(F.sum("n_claims") / F.greatest(F.count(F.lit(1)), F.lit(1)), 1).alias("claims_per_query"),
                     F.ceil(F.count(F.lit(1)) / F.lit(max(remaining, 1))).alias("batches"))

@@ -122,7 +122,7 @@ def c12(spark, d):
 
 
 def c12_budget(spark, d):
-    return op.query_budget(_planned(Tables(spark, d)), 3)
+    return op.query_budget(extraction.counted_terms(Tables(spark, d).order_sentences), 3, "n")
 
 
 EDGES = """SELECT 'root' AS parent_id, concat('R', CAST(r_regionkey AS STRING)) AS child_id, FALSE AS is_table FROM region
