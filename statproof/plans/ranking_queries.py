@@ -112,13 +112,8 @@ def c11(spark, d):
     return m.select("claim_id", F.col("rank"), "tbl", "score", "status", F.size("reasons").cast("long").alias("n_reasons"))
 
 
-def _planned(t):
-    s = extraction.search_terms(t.order_sentences)
-    return s.select(F.coalesce(F.get("terms", F.lit(0)), F.lit("")).alias("query"), "source.domain")
-
-
 def c12(spark, d):
-    return op.query_plan(_planned(Tables(spark, d)))
+    return op.query_plan(extraction.counted_terms(Tables(spark, d).order_sentences), "n")
 
 
 def c12_budget(spark, d):

@@ -15,7 +15,7 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["c12_query_budget"])
+@pytest.mark.parametrize("name", ["c12_query_plan", "c12_query_budget"])
 def test_a_sentence_is_labelled_once(spark, folder, name):
     plan = q.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[가-힣]|%p") == 1  # the first pattern of a label
